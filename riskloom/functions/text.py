@@ -1,13 +1,265 @@
-"""Text cleaning and lexical measures as native column expressions."""
+"""Text cleaning, matching forms and lexical measures.
+
+Native column expressions wherever Spark has them. The two Unicode helpers that need Python
+receive only the rows that can change (null otherwise), batched by Arrow.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import html
+import re
+import unicodedata
+from collections.abc import Mapping, Sequence
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.patterns import any_pattern, has_pattern, uni, whole_word
+
 TOKEN = "([a-zA-ZÀ-ỹ]{2,})"
 
 
 def word_tokens(text: Column) -> Column:
     """Runs of two or more Latin letters, accents included."""
     return F.regexp_extract_all(text, F.lit(TOKEN), 1)
+
+
+def without_stopwords(tokens: Column, stop: Sequence[str]) -> Column:
+    return F.filter(tokens, lambda w: ~w.isin(list(stop)))
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def squeeze(text: Column) -> Column:
+    """Whitespace runs to one blank, ends trimmed."""
+    return F.trim(F.regexp_replace(text, uni(r"\s+"), " "))
+
+
+@F.pandas_udf("string")
+def _unescape(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf("string")
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+def unescape_entities(text: Column) -> Column:
+    """Character references resolved; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+def clean_text(text: Column) -> Column:
+    """Entities resolved, zero-width marks and no-break blanks to blanks, whitespace squeezed."""
+    plain = unescape_entities(F.coalesce(text, F.lit("")))
+    return squeeze(F.translate(plain, "\u00a0\u200b\ufeff", "   "))
+
+
+def strip_tags(text: Column) -> Column:
+    """Markup removed, wording kept."""
+    return squeeze(F.regexp_replace(text, "<[^>]+>", " "))
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> tuple[str, str]:
+    """Characters whose compatibility form is one basic letter or digit, and marks to drop.
+
+    Built from the Unicode database: composed letters lose their marks, combining marks vanish.
+    """
+    source, target, marks = [], [], []
+    for code in range(0x80, 0x20000):
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            marks.append(ch)
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        base = {"đ": "d"}.get(base, base)
+        if base != ch and len(base) == 1 and base.isascii() and base.isalnum():
+            source.append(ch)
+            target.append(base)
+    return "".join(source + marks), "".join(target)
+
+
+def match_form(text: Column) -> Column:
+    """Accent- and punctuation-free lower-case form for tolerant matching."""
+    source, target = _fold_table()
+    folded = F.lower(F.translate(F.lower(F.coalesce(text, F.lit(""))), source, target))
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+
+
+def compat_form(text: Column) -> Column:
+    """Compatibility-normalised, lower-cased, separators to blanks."""
+    safe = F.coalesce(text, F.lit(""))
+    wide = F.coalesce(_nfkc(F.when(safe.rlike(r"[^\x00-\x7f]"), safe)), safe)
+    return squeeze(F.regexp_replace(F.lower(wide), r"[\-–—_/|:;,\.\(\)\[\]\{\}!]+", " "))
+
+
+# ---- slang -----------------------------------------------------------------------------------
+
+def expand_slang(text: Column, slang: Mapping[str, str]) -> Column:
+    """Whole-word slang replaced by its expansion, longest key first, any case."""
+    keys = sorted(slang, key=lambda k: (-len(k), k))
+    out = text
+    for key in keys:
+        target = slang[key].replace("\\", "\\\\").replace("$", "\\$")
+        out = F.regexp_replace(out, "(?iU)" + whole_word([key]), target)
+    hit = text.rlike("(?iU)" + whole_word(keys))
+    return F.when(hit, out).otherwise(text)
+
+
+def expand_tokens(tokens: Column, slang: Mapping[str, str]) -> Column:
+    """Each token replaced when its lower-case form is a slang key."""
+    table = F.create_map(*[F.lit(x) for pair in slang.items() for x in pair])
+    return F.transform(tokens, lambda tok: F.coalesce(F.element_at(table, F.lower(tok)), tok))
+
+
+def has_slang(text: Column, words: Sequence[str]) -> Column:
+    """Any of the words standing alone in the text."""
+    return has_pattern(F.lower(text), whole_word(words))
+
+
+# ---- densities ---------------------------------------------------------------------------------
+
+def _count_chars(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def letters(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
+
+
+def digit_substitution_share(text: Column, chars: str = "01345" + "7@$") -> Column:
+    """Share of characters that often stand for a letter."""
+    return _count_chars(F.lower(text), chars) / F.greatest(F.length(text), F.lit(1))
+
+
+def substitution_density(text: Column, chars: str = "043@$17589™®©") -> Column:
+    """Substitution characters per letter, times five, at most 1; 0 without letters."""
+    alpha = letters(text)
+    dense = F.least(F.try_divide(_count_chars(text, chars), alpha) * 5, F.lit(1.0))
+    return F.when(alpha > 0, dense).otherwise(F.lit(0.0))
+
+
+def digit_form_share(text: Column, chars: str = "01345" + "7982") -> Column:
+    """Share of digits that the row noise writes in place of letters."""
+    return _count_chars(F.lower(text), chars) / F.greatest(F.length(text), F.lit(1))
+
+
+def emoji_count(text: Column) -> Column:
+    kept = F.regexp_replace(text, "[\\x{1F001}-\\x{10FFFF}☀-➿]", "")
+    return F.length(text) - F.length(kept)
+
+
+def upper_ratio(text: Column) -> Column:
+    upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
+    return upper / F.greatest(F.length(text), F.lit(1))
+
+
+def capped(hits: Column, step: float, cap: float) -> Column:
+    """hits * step, at most cap."""
+    return F.least(hits * F.lit(step), F.lit(cap))
+
+
+# ---- predicates --------------------------------------------------------------------------------
+
+def is_garbled(text: Column) -> Column:
+    """Mis-decoded text or too many odd symbols; texts under 20 characters pass."""
+    t = F.trim(text)
+    size = F.greatest(F.length(t), F.lit(1))
+    # "�" is counted twice: it is listed twice among the marks.
+    bad = _count_chars(t, "�ÃÂÐÑ") + _count_chars(t, "�")
+    odd = F.length(F.regexp_replace(t, r"[\p{L}\p{N} .,;:!?()\[\]{}\-_/\\@#%&*+=\"'`~|]", ""))
+    judged = (bad / size > 0.015) | (odd / size > 0.08)
+    return F.when(text.isNull() | (text == ""), True).when(F.length(t) < 20, False).otherwise(judged)
+
+
+def is_noise(text: Column) -> Column:
+    """Counters, relative times and short reaction labels."""
+    pattern = (
+        r"^(\d[\d,. ]*[KkMmTỷB]?|\d+\s*(giây|phút|giờ|ngày|tuần|tháng|năm)\s*(trước)?"
+        r"|just now|vừa xong|yesterday|[\x{1F300}-\x{1FAFF}]+)$"
+    )
+    short = (F.length(text) <= 8) & text.rlike("^[a-zA-Z ]+$")
+    return text.isNull() | (text == "") | text.rlike(pattern) | short
+
+
+def worth_scoring(text: Column, strong: Sequence[str], least: int = 20) -> Column:
+    """Cheap pre-filter: skip short texts without a strong keyword."""
+    return (F.length(text) >= least) | F.lower(text).rlike("|".join(re.escape(w) for w in strong))
+
+
+def is_meaningful_transcript(text: Column, markers: Sequence[str], letters_class: str) -> Column:
+    low = F.lower(text)
+    marked = low.rlike("|".join(re.escape(m) for m in markers))
+    return F.coalesce((F.length(F.trim(text)) >= 5) & ~marked & text.rlike(letters_class), F.lit(False))
+
+
+# ---- fragments -------------------------------------------------------------------------------
+
+def distinct_words(df: DataFrame, text: str) -> DataFrame:
+    """Keeps the first occurrence of each word of the column, case ignored, in order."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    tagged = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("k"), i.alias("i"), w.alias("w")))
+    # The sorted array is a column of its own: lambdas below read it, they do not rebuild it.
+    out = df.withColumn("_sorted", F.array_sort(tagged))
+    firsts = F.filter("_sorted", lambda x, j: (j == 0) | (F.get("_sorted", j - 1)["k"] != x["k"]))
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"))))
+    return out.withColumn(text, F.array_join(F.transform(placed, lambda x: x["w"]), " ")).drop("_sorted")
+
+
+def drop_contained(df: DataFrame, parts: str) -> DataFrame:
+    """Keeps the fragments of an array column that lie inside no other (first of equals stays)."""
+    flat = F.transform(parts, lambda p, i: F.struct(
+        F.regexp_replace(F.lower(p), r"\s+", " ").alias("k"), i.alias("i"), p.alias("p")))
+    marked = df.withColumn("_flat", flat)
+    kept = F.filter("_flat", lambda a: ~F.exists(
+        F.col("_flat"),
+        lambda b: (b["i"] != a["i"]) & F.contains(b["k"], a["k"]) & ((b["k"] != a["k"]) | (b["i"] < a["i"]))))
+    return marked.withColumn(parts, F.transform(kept, lambda a: a["p"])).drop("_flat")
+
+
+def assemble(sections: Sequence[tuple[str, Column]], separator: str = "\n") -> Column:
+    """Labelled sections joined; blank ones are left out."""
+    def part(label, col):
+        body = F.nullif(F.trim(col), F.lit(""))
+        return F.concat(F.lit(label), body) if label else body
+    return F.concat_ws(separator, *[part(label, col) for label, col in sections])
+
+
+def in_context(text: Column, word: str, window: int = 20) -> Column:
+    """The word with up to `window` characters on both sides; empty when absent."""
+    at = F.instr(F.lower(text), F.lit(word.lower()))
+    start = F.greatest(at - window, F.lit(1))
+    end = at + len(word) + window
+    return F.when(at > 0, F.trim(F.substring(text, start, end - start))).otherwise("")
+
+
+def hashtags(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(uni(r"#(\w+)")), 1)
+
+
+def personal_data_safety(text: Column, patterns: Sequence[str]) -> Column:
+    """0 when the text holds card- or id-shaped numbers or harmful phrases, else 1."""
+    return F.when(any_pattern(F.lower(text), patterns), 0.0).otherwise(1.0)
+
+
+def parse_number(raw: Column) -> Column:
+    """Number with mixed separators: the right-most of two kinds is the decimal mark;
+    a single kind groups thousands when every group after the first has three digits."""
+    s = F.replace(F.trim(raw), F.lit(" "), F.lit(""))
+    dot, comma = F.contains(s, F.lit(".")), F.contains(s, F.lit(","))
+    dot_last = F.instr(F.reverse(s), F.lit(".")) < F.instr(F.reverse(s), F.lit(","))
+    no_dot, no_comma = F.replace(s, F.lit("."), F.lit("")), F.replace(s, F.lit(","), F.lit(""))
+    merged = (
+        F.when(dot & comma & dot_last, no_comma)
+        .when(dot & comma, F.replace(no_dot, F.lit(","), F.lit(".")))
+        .when(dot & s.rlike(r"^[^.]*(\.[^.]{3})+$"), no_dot)
+        .when(comma & s.rlike(r"^[^,]*(,[^,]{3})+$"), no_comma)
+        .when(comma, F.replace(s, F.lit(","), F.lit(".")))
+        .otherwise(s))
+    return merged.try_cast("double")
