@@ -104,12 +104,15 @@ def prompt_rollup(probs: Column, groups: Mapping[str, Sequence[str]], subscores:
     looked up in the prompt text and to the group whose score stands in when no prompt has one.
     """
     def best(test) -> Column:
-        return F.array_max(F.map_values(F.map_filter(probs, test)))
+        return F.array_max(F.map_values(F.map_filter(probs, lambda k, _: test(k))))
 
-    peak = {
-        g: F.coalesce(best(lambda k, _, names=tuple(names): k.isin(list(names))), F.lit(0.0))
-        for g, names in groups.items()
-    }
+    def in_group(names: Sequence[str]):
+        return lambda k: k.isin(list(names))
+
+    def says(words: Sequence[str]):
+        return lambda k: F.lower(k).rlike("|".join(words))
+
+    peak = {g: F.coalesce(best(in_group(names)), F.lit(0.0)) for g, names in groups.items()}
     combined = F.greatest(peak["high_risk"], peak["suspicious"] * F.lit(0.6))
     out = {
         "safe_score": peak["safe"], "suspicious_score": peak["suspicious"], "high_risk_score": peak["high_risk"],
@@ -119,9 +122,7 @@ def prompt_rollup(probs: Column, groups: Mapping[str, Sequence[str]], subscores:
         "is_safe": combined < threshold, "requires_review": combined >= 0.5,
     }
     for name, (words, fallback) in subscores.items():
-        any_word = "|".join(words)
-        out[name] = F.coalesce(best(lambda k, _, w=any_word: F.lower(k).rlike(w)),
-                               peak[fallback] if fallback else F.lit(0.0))
+        out[name] = F.coalesce(best(says(words)), peak[fallback] if fallback else F.lit(0.0))
     return out
 
 

@@ -32,8 +32,8 @@ def _(t):
 
 
 @query("clean_page_text", r"""
-select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'),
-   '&nbsp;', ' '), chr(8203), ' '), '\s+', ' ', 'g'))) as digest from pages""")
+select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'),
+   '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '&nbsp;', ' '), chr(8203), ' '), '\s+', ' ', 'g'))) as digest from pages""")
 def _(t):
     return t("pages").select("page_id", F.sha2(tx.clean_text(F.col("html")), 256).alias("digest"))
 

@@ -12,7 +12,7 @@ import riskloom
 from riskloom.sources.tables import Tables
 
 CATALOGS = (
-    "reports", "texts",
+    "reports", "texts", "evaluation", "scoring",
 )
 
 _RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}
