@@ -56,10 +56,10 @@ def rate_pairs(
     """Price and item mentions of one text that start within `proximity` characters."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     both = df.select(F.col(key), mentions(low, units).alias("prices"), mentions(low, aliases).alias("items"))
-    prices = both.filter((F.size("prices") > 0) & (F.size("items") > 0)).select(
-        key, F.explode("prices").alias("p"), "items")
-    pairs = prices.select(key, "p", F.explode(
-        F.filter("items", lambda i: F.abs(i["pos"] - F.col("p")["pos"]) <= proximity)).alias("i"))
+    # Outer explodes: a plain one lets the optimizer push a copy of the mention search into a filter.
+    prices = both.select(key, F.explode_outer("prices").alias("p"), "items")
+    pairs = prices.select(key, "p", F.explode_outer(
+        F.filter("items", lambda i: F.abs(i["pos"] - F.col("p")["pos"]) <= proximity)).alias("i")).filter("i is not null")
     amount = parse_number(F.col("p.raw"))
     return pairs.select(
         key, F.col("p.pos").alias("price_pos"), F.col("i.pos").alias("item_pos"),
@@ -133,5 +133,5 @@ def offer_texts(lines: DataFrame, aliases: Sequence[str]) -> DataFrame:
         F.repeat(F.lit(" -"), F.col("l_linenumber") * 8), F.lit(" chỉ "),
         F.format_string("%.0f", F.col("l_discount") * 100 + 1), F.lit("k"))
     return written_amounts(lines).select(
-        (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey") % 10000).alias("offer_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("offer_id"),
         "l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))

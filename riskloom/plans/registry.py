@@ -12,7 +12,7 @@ import riskloom
 from riskloom.sources.tables import Tables
 
 CATALOGS = (
-    "reports", "texts", "evaluation", "scoring",
+    "reports", "texts", "evaluation", "scoring", "rates",
 )
 
 _RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}

@@ -55,3 +55,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the scan has fewer tasks than cores (one small file).
+
+    Scans of many files already have enough tasks and pass unchanged: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df
