@@ -12,7 +12,7 @@ import riskloom
 from riskloom.sources.tables import Tables
 
 CATALOGS = (
-    "reports", "texts", "evaluation", "scoring", "rates",
+    "reports", "texts", "evaluation", "scoring", "rates", "verdicts",
 )
 
 _RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}
