@@ -13,6 +13,7 @@ from riskloom.sources.tables import Tables
 
 CATALOGS = (
     "reports", "texts", "evaluation", "scoring", "rates", "verdicts",
+    "review", "storage",
 )
 
 _RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}
