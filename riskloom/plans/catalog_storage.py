@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import retention
 from riskloom.plans import fixture as fx
 from riskloom.plans.registry import query
-from riskloom.session import fresh_path
+from riskloom.session import fresh_path, spread
 from riskloom.sources import files, html, reference
 from riskloom.functions.patterns import matched_words
 
@@ -150,7 +150,8 @@ j as (select page_id, trim(regexp_replace({UNESCAPED.format("case when title is
 select page_id, sha256(case when length(x) >= 20 and ((length(x) - length(translate(x, 'ÃÂÐÑ', '')))::double / length(x) > 0.015
    or length(regexp_replace(x, '[\p{{L}}\p{{N}} .,;:!?()\[\]{{}}\-_/\\@#%&*+="''`~|]', '', 'g'))::double / length(x) > 0.08) then '' else x end) as digest from j""")
 def _(t):
-    return t("pages").select("page_id", F.sha2(html.page_text(F.col("html")), 256).alias("digest"))
+    texts = html.with_page_text(spread(t("pages").select("page_id", "html")), "html")
+    return texts.select("page_id", F.sha2("page_text", 256).alias("digest"))
 
 
 @query("thumbnail_link", r"""

@@ -13,7 +13,7 @@ from riskloom.sources.tables import Tables
 
 CATALOGS = (
     "reports", "texts", "evaluation", "scoring", "rates", "verdicts",
-    "review", "storage",
+    "review", "storage", "vectors", "network",
 )
 
 _RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}

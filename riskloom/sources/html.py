@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import clean_text, is_garbled
@@ -35,26 +35,29 @@ def ad_previews(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*\bdata-ad-preview\b[^>]*>(.*?)</div"), 1)
 
 
-def visible_text(html: Column) -> Column:
-    """Page text without scripts, styles and comments; whole text, no cut."""
+def visible_markup(html: Column) -> Column:
+    """Page without scripts, styles, comments and tags, entities still encoded; whole text, no cut."""
     bare = html
     for tag in ("script", "style", "noscript"):
         bare = F.regexp_replace(bare, _TAG_BODY.format(tag), " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
-    return clean_text(F.regexp_replace(F.regexp_replace(bare, r"(?i)<!doctype[^>]*>", " "), r"<[^>]+>", " "))
-
-
-def page_text(html: Column) -> Column:
-    """Title, social titles and descriptions and ad texts; the visible text when fewer than two."""
-    strip = "<[^>]+>"
-    named = [title(html), meta_content(html, "og:title", "twitter:title"),
-             meta_content(html, "og:description", "twitter:description", "description")]
-    ads = F.transform(ad_previews(html), lambda a: F.trim(F.regexp_replace(a, strip, " ")))
-    parts = F.filter(F.concat(F.array_compact(F.array(*named)), ads), lambda p: p != "")
-    body = visible_text(html)
-    full = F.when(F.size(parts) >= 2, parts).otherwise(F.concat(parts, F.array(body)))
-    text = clean_text(F.array_join(F.array_distinct(full), " "))
-    return F.when(is_garbled(text), "").otherwise(text)
+    return F.regexp_replace(F.regexp_replace(bare, r"(?i)<!doctype[^>]*>", " "), r"<[^>]+>", " ")
+
+
+def with_page_text(df: DataFrame, html: str, out: str = "page_text") -> DataFrame:
+    """Title, social titles and descriptions and ad texts; the visible text when fewer than two.
+
+    Built in stages, so the searches and the entity decoding of a page run once.
+    """
+    h = F.col(html)
+    named = [title(h), meta_content(h, "og:title", "twitter:title"),
+             meta_content(h, "og:description", "twitter:description", "description")]
+    ads = F.transform(ad_previews(h), lambda a: F.trim(F.regexp_replace(a, "<[^>]+>", " ")))
+    staged = df.withColumn("_parts", F.filter(F.concat(F.array_compact(F.array(*named)), ads), lambda p: p != ""))
+    staged = staged.withColumn("_body", clean_text(F.when(F.size("_parts") < 2, visible_markup(h))))
+    parts = F.array_distinct(F.concat("_parts", F.filter(F.array("_body"), lambda p: p != "")))
+    staged = staged.withColumn("_text", clean_text(F.array_join(parts, " ")))
+    return staged.withColumn(out, F.when(is_garbled(F.col("_text")), "").otherwise(F.col("_text"))).drop("_parts", "_body", "_text")
 
 
 def thumbnail(html: Column, url: Column, video_host: str = "youtube.com", key: str = "v",
