@@ -1,7 +1,8 @@
 """Account-graph algorithms over node and edge tables.
 
 Edges of hubs are cut into parts, and a hub's state is repeated once per part, so no task holds all
-edges of one node. Loop state goes to the shared checkpoint folder, so a lost executor costs one step.
+edges of one node. Loop state is written to the shared checkpoint folder, so a lost executor costs one step, and read
+back with its true size, so the planner's estimates stay right however many rounds there are.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, written
 
 HUB_EDGES = 1_000_000
 
@@ -43,8 +44,8 @@ class Adjacency:
         spark = arcs.sparkSession
         self.spark = spark
         stats = arcs.groupBy("src").agg(F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("degree"))
-        self.nodes = cut_lineage(stats.select(
-            "src", "out_weight", "degree", F.ceil(F.col("degree") / hub_edges).cast("int").alias("parts")))
+        self.nodes = written(stats.select(
+            "src", "out_weight", "degree", F.ceil(F.col("degree") / hub_edges).cast("int").alias("parts")), "nodes")
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         marked = arcs.join(self.nodes, "src").select(
             "src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst",
@@ -53,8 +54,11 @@ class Adjacency:
         self.arcs = cut_lineage(marked.repartition(width, "src", "part"))
 
     def send(self, state: DataFrame, *columns: str) -> DataFrame:
-        """Edges with the state of their source: (dst, weight, share, src, columns...)."""
-        repeated = state.join(self.nodes.select("src", "parts"), "src").select(
+        """Edges with the state of their source: (dst, weight, share, src, columns...).
+
+        The state carries `parts`, the number of pieces its node's edges were cut into.
+        """
+        repeated = state.filter("parts > 0").select(
             "src", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *columns)
         return self.arcs.join(repeated, ["src", "part"])
 
@@ -64,23 +68,23 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub
     """(id, score) summing to 1. `edges` holds directed arcs (src, dst, weight); rank of nodes
     without outgoing arcs is spread over all nodes."""
     adj = Adjacency(edges, hub_edges)
-    ids = cut_lineage(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    n = ids.count()
+    ids = written(adj.nodes.select(F.col("src").alias("id"), "parts").union(
+        edges.select(F.col("dst").alias("id"), F.lit(0))).groupBy("id").agg(F.max("parts").alias("parts")), "ids")
+    facts = ids.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parts") == 0).alias("sinks")).first()
+    n = facts["n"]
     ranks = ids.withColumn("score", F.lit(1.0 / n))
-    has_sinks = ids.join(adj.nodes, ids["id"] == adj.nodes["src"], "left_anti").limit(1).count() > 0
     for step in range(1, iterations + 1):
-        sent = adj.send(ranks.withColumnRenamed("id", "src"), "score")
-        inflow = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("inflow"))
+        inflow = adj.send(ranks.withColumnRenamed("id", "src"), "score").groupBy(F.col("dst").alias("id")).agg(
+            F.sum(F.col("score") * F.col("share")).alias("inflow"))
         lost = F.lit(0.0)
-        if has_sinks:
-            sinks = ranks.join(adj.nodes, ranks["id"] == adj.nodes["src"], "left_anti")
-            lost = F.coalesce(sinks.agg(F.sum("score")).scalar(), F.lit(0.0))
+        if facts["sinks"]:
+            lost = F.coalesce(ranks.filter("parts = 0").agg(F.sum("score")).scalar(), F.lit(0.0))
         base = F.lit((1 - damping) / n) + F.lit(damping) * lost / n
         ranks = ids.join(inflow, "id", "left").select(
-            "id", (base + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("score"))
+            "id", "parts", (base + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("score"))
         if step % every == 0 and step < iterations:
-            ranks = cut_lineage(ranks)
-    return ranks
+            ranks = written(ranks, "ranks")
+    return ranks.select("id", "score")
 
 
 def components(edges: DataFrame, hub_edges: int = HUB_EDGES, max_rounds: int = 200) -> DataFrame:
@@ -90,15 +94,15 @@ def components(edges: DataFrame, hub_edges: int = HUB_EDGES, max_rounds: int = 2
     halve per round.
     """
     adj = Adjacency(both_ways(edges), hub_edges)
-    labels = adj.nodes.select("src", F.col("src").alias("label"))
+    labels = adj.nodes.select("src", "parts", F.col("src").alias("label"))
     for _ in range(max_rounds):
         near = adj.send(labels, "label").groupBy(F.col("dst").alias("src")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "src", "left").select(
-            "src", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+            "src", "parts", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         heads = lower.select(F.col("src").alias("label"), F.col("label").alias("root"))
-        jumped = cut_lineage(lower.join(heads, "label", "left").select(
-            "src", "old", F.least("label", F.coalesce("root", F.col("label"))).alias("label")))
-        labels = jumped.select("src", "label")
+        jumped = written(lower.join(heads, "label", "left").select(
+            "src", "parts", "old", F.least("label", F.coalesce("root", F.col("label"))).alias("label")), "labels")
+        labels = jumped.select("src", "parts", "label")
         if jumped.filter("label <> old").limit(1).count() == 0:
             return labels.select(F.col("src").alias("id"), F.col("label").alias("component"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
@@ -120,20 +124,20 @@ def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, hub_edges: i
         elif changed:
             step = moved.select(F.col("src").alias("community"), F.col("community").alias("next"))
             member = member.join(step, "community").select("id", F.col("next").alias("community"))
-        member = cut_lineage(member)
+        member = written(member, "members")
         if not changed:
             break
         a = moved.select(F.col("src"), F.col("community").alias("ca"))
         b = moved.select(F.col("src").alias("dst"), F.col("community").alias("cb"))
-        arcs = cut_lineage(arcs.join(a, "src").join(b, "dst").groupBy(
-            F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("weight").alias("weight")))
+        arcs = written(arcs.join(a, "src").join(b, "dst").groupBy(
+            F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("weight").alias("weight")), "arcs")
     return member
 
 
 def _local_moves(arcs: DataFrame, rounds: int, hub_edges: int) -> DataFrame:
     adj = Adjacency(arcs, hub_edges)
     total = adj.nodes.agg(F.sum("out_weight")).scalar()
-    state = adj.nodes.select("src", F.col("src").alias("community"), F.col("out_weight").alias("k"))
+    state = adj.nodes.select("src", "parts", F.col("src").alias("community"), F.col("out_weight").alias("k"))
     quiet = 0
     for r in range(rounds):
         # Arcs exist both ways, so sending a node's community along them reaches its neighbours.
@@ -154,9 +158,9 @@ def _local_moves(arcs: DataFrame, rounds: int, hub_edges: int) -> DataFrame:
         base = F.coalesce("stay", -(F.col("tot") - F.col("k")) * F.col("k") / total)
         turn = F.pmod(F.xxhash64("src") + F.lit(r), F.lit(2)) == 0
         move = turn & F.col("best").isNotNull() & (F.col("top") > base + 1e-9) & (F.col("best") != F.col("community"))
-        nxt = cut_lineage(joined.select(
-            "src", F.when(move, F.col("best")).otherwise(F.col("community")).alias("community"), "k",
-            F.coalesce(move, F.lit(False)).alias("moved")))
+        nxt = written(joined.select(
+            "src", "parts", F.when(move, F.col("best")).otherwise(F.col("community")).alias("community"), "k",
+            F.coalesce(move, F.lit(False)).alias("moved")), "moves")
         quiet = quiet + 1 if nxt.filter("moved").limit(1).count() == 0 else 0
         state = nxt.drop("moved")
         if quiet == 2:
@@ -166,12 +170,12 @@ def _local_moves(arcs: DataFrame, rounds: int, hub_edges: int) -> DataFrame:
 
 def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, depth): nodes within `depth` undirected steps of the start ids, with their distance."""
-    arcs = both_ways(edges).select("src", "dst")
+    arcs = written(both_ways(edges).select("src", "dst"), "arcs")
     seen = start.select("id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for d in range(1, depth + 1):
         reached = arcs.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = cut_lineage(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import graph, similarity
 from riskloom.plans.registry import query
-from riskloom.session import cut_lineage, fresh_path, written
+from riskloom.session import fresh_path, written
 
 EDGE_SQL = """
 i as (select o_custkey * 2 as src, l_partkey * 2 + 1 as dst, l_quantity as weight, l_returnflag as kind, o_orderdate, o_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey),
@@ -195,7 +195,7 @@ h(id, d) as (select vec_id, 0 from embeddings where label = 1 union select p.dst
 select id, min(d) as depth from h group by 1""")
 def _(t):
     vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    edges = cut_lineage(similarity.similar_edges(vectors, 0.3).select("src", "dst"))
+    edges = similarity.similar_edges(vectors, 0.3).select("src", "dst")
     return graph.propagation_depth(edges, t("embeddings").filter("label = 1").select(F.col("vec_id").alias("id")), 4)
 
 
