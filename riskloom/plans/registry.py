@@ -13,7 +13,7 @@ from riskloom.sources.tables import Tables
 
 CATALOGS = (
     "reports", "texts", "evaluation", "scoring", "rates", "verdicts",
-    "review", "storage", "vectors", "network",
+    "review", "storage", "vectors", "network", "noise", "live", "models",
 )
 
 _RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}
