@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage, written
+from riskloom.session import bucketed, written
 
 HUB_EDGES = 1_000_000
 
@@ -46,12 +46,11 @@ class Adjacency:
         stats = arcs.groupBy("src").agg(F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("degree"))
         self.nodes = written(stats.select(
             "src", "out_weight", "degree", F.ceil(F.col("degree") / hub_edges).cast("int").alias("parts")), "nodes")
-        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         marked = arcs.join(self.nodes, "src").select(
             "src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst",
             "weight", (F.col("weight") / F.col("out_weight")).alias("share"))
-        # Kept partitioned by (src, part): the loop joins do not shuffle the edges again.
-        self.arcs = cut_lineage(marked.repartition(width, "src", "part"))
+        # Bucketed by (src, part): the joins of the loop do not shuffle the edges again.
+        self.arcs = bucketed(marked, "arcs", "src", "part")
 
     def send(self, state: DataFrame, *columns: str) -> DataFrame:
         """Edges with the state of their source: (dst, weight, share, src, columns...).
@@ -67,6 +66,7 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub
               every: int = 5) -> DataFrame:
     """(id, score) summing to 1. `edges` holds directed arcs (src, dst, weight); rank of nodes
     without outgoing arcs is spread over all nodes."""
+    edges = written(edges, "edges")
     adj = Adjacency(edges, hub_edges)
     ids = written(adj.nodes.select(F.col("src").alias("id"), "parts").union(
         edges.select(F.col("dst").alias("id"), F.lit(0))).groupBy("id").agg(F.max("parts").alias("parts")), "ids")
@@ -93,7 +93,7 @@ def components(edges: DataFrame, hub_edges: int = HUB_EDGES, max_rounds: int = 2
     Each round takes the smallest neighbour label and then the label of the label, so long chains
     halve per round.
     """
-    adj = Adjacency(both_ways(edges), hub_edges)
+    adj = Adjacency(written(both_ways(edges), "edges"), hub_edges)
     labels = adj.nodes.select("src", "parts", F.col("src").alias("label"))
     for _ in range(max_rounds):
         near = adj.send(labels, "label").groupBy(F.col("dst").alias("src")).agg(F.min("label").alias("near"))
@@ -114,7 +114,7 @@ def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, hub_edges: i
     All nodes of one half move at a time (the halves change per round), so two neighbours do not swap
     for ever. Ties go to the smallest community; the result does not depend on partitioning.
     """
-    arcs = both_ways(edges)
+    arcs = written(both_ways(edges), "edges")
     member = None
     for _ in range(levels):
         moved = _local_moves(arcs, rounds, hub_edges)

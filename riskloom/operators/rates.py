@@ -57,7 +57,12 @@ def rate_pairs(
 ) -> DataFrame:
     """Price and item mentions of one text that start within `proximity` characters."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    both = df.select(F.col(key), mentions(low, units).alias("prices"), mentions(low, aliases).alias("items"))
+    # One search finds both kinds: every mention ends at its unit, so the kinds cannot overlap.
+    found = df.select(F.col(key), mentions(low, [*units, *aliases]).alias("found"))
+    is_price = [u.lower() for u in units]
+    both = found.select(
+        key, F.filter("found", lambda m: m["unit"].isin(is_price)).alias("prices"),
+        F.filter("found", lambda m: ~m["unit"].isin(is_price)).alias("items"))
     # Outer explodes: a plain one lets the optimizer push a copy of the mention search into a filter.
     prices = both.select(key, F.explode_outer("prices").alias("p"), "items")
     pairs = prices.select(key, "p", F.explode_outer(

@@ -25,7 +25,7 @@ judged as (select d.doc_id, case when l.toxic = 1 then 'FAKE_SCAM' when l.qualit
 def judged(t):
     """Documents with an expected label, a rule prediction, a domain and a probability."""
     low = F.lower("text")
-    return t("documents").join(t("labels"), "doc_id").select(
+    return t.wide("documents").join(t("labels"), "doc_id").select(
         "doc_id", F.when(F.col("toxic") == 1, "FAKE_SCAM").when(F.col("quality") == 0, "SUSPICIOUS").otherwise("SAFE").alias("expected"),
         F.when(low.rlike(BAD), "FAKE_SCAM").when(low.rlike(ODD), "SUSPICIOUS").otherwise("SAFE").alias("predicted"),
         first_match(low, fx.DOMAINS, "other").alias("domain"),
@@ -112,7 +112,7 @@ def _(t):
     "select domain, count(*) as total, count_if(expected = 'FAKE_SCAM') as scam, count_if(expected = 'SUSPICIOUS') as suspicious, "
     "count_if(expected = 'SAFE') as safe from c group by domain")
 def _(t):
-    rows = t("documents").join(t("labels"), "doc_id").select(
+    rows = t.wide("documents").join(t("labels"), "doc_id").select(
         F.when(F.col("toxic") == 1, "FAKE_SCAM").when(F.col("quality") == 0, "SUSPICIOUS").otherwise("SAFE").alias("expected"),
         F.explode(every_match(F.lower("text"), fx.DOMAINS)).alias("domain"))
     e = F.col("expected")

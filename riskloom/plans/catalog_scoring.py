@@ -24,7 +24,7 @@ select doc_id, keywords, round(least(case when keywords = '' then 0 else len(str
     when list_has_any(string_split(keywords, ','), ['token']) then 'secret'
     when list_has_any(string_split(keywords, ','), ['license', 'rating']) then 'legal' else 'suspicious_content' end as scam_type from k""")
 def _(t):
-    out = lexicon.keyword_profile(t("documents"), "text", fx.KEYWORDS, fx.SLANG_WORDS, fx.KEYWORD_TYPES)
+    out = lexicon.keyword_profile(t.wide("documents"), "text", fx.KEYWORDS, fx.SLANG_WORDS, fx.KEYWORD_TYPES)
     return out.select("doc_id", F.array_join("keywords", ",").alias("keywords"),
                       F.round("keyword_score", 6).alias("keyword_score"), "has_slang", "scam_type")
 
@@ -35,7 +35,7 @@ select doc_id, round(least({sql_count_patterns(LOW, fx.URGENCY)} / 5.0::double,
   round(least({sql_count_patterns(LOW, fx.LINKS)} / 5.0::double, 1.0::double), 6) as links from documents""")
 def _(t):
     text = F.col("text")
-    return t("documents").select(
+    return t.wide("documents").select(
         "doc_id", F.round(scores.density(text, fx.URGENCY, 5), 6).alias("urgency"),
         F.round(scores.density(text, fx.ACTIONS, 3), 6).alias("call_to_action"),
         F.round(scores.density(text, fx.LINKS, 5), 6).alias("links"))
@@ -53,7 +53,7 @@ select doc_id, s0 as intent_abuse, s1 as intent_credential, s2 as intent_legal,
 
 @query("intent_scores", INTENT_SQL)
 def _(t):
-    out = lexicon.intent_scores(t("documents").select("doc_id", "text"), "text", fx.INTENTS).drop("text")
+    out = lexicon.intent_scores(t.wide("documents").select("doc_id", "text"), "text", fx.INTENTS).drop("text")
     return out.withColumn("risk_weighted_score", F.round("risk_weighted_score", 6))
 
 
@@ -70,14 +70,14 @@ select doc_id, concat_ws(',', case when a then 'alpha' end, case when b then 'be
    case when (c or b) and d and (e or a) then 0.75 else 0 end, case when e then 0.72 else 0 end), 6) as score from h""")
 def _(t):
     hits, score = lexicon.marker_scores(F.col("form"), MARKERS, FLOORS)
-    return t("documents").select("doc_id", match_form(F.col("text")).alias("form")).select(
+    return t.wide("documents").select("doc_id", match_form(F.col("text")).alias("form")).select(
         "doc_id", F.array_join(hits, ",").alias("hits"), F.round(score, 6).alias("score"))
 
 
 @query("additive_text_score", f"""
 select doc_id, round(least({sql_count_patterns(LOW, fx.URGENCY)} * 0.15::double + {sql_count_words(LOW, fx.SLANG_WORDS)} * 0.05::double, 1.0::double), 6) as score from documents""")
 def _(t):
-    return t("documents").select("doc_id", F.round(scores.additive_score(F.col("text"), fx.URGENCY, fx.SLANG_WORDS), 6).alias("score"))
+    return t.wide("documents").select("doc_id", F.round(scores.additive_score(F.col("text"), fx.URGENCY, fx.SLANG_WORDS), 6).alias("score"))
 
 
 @query("keyword_share_verdict", f"""
@@ -86,7 +86,7 @@ select doc_id, case when b > 0.3::double then 'FAKE_SCAM' when r > 0.2::double t
   round(case when b > 0.3::double then least(b + 0.5, 0.9::double) when r > 0.2::double then least(r + 0.5, 0.9::double) else 0.8::double end, 6) as confidence from s""")
 def _(t):
     label, sure = scores.keyword_share_verdict(F.col("text"), fx.KEYWORDS, ["hate", "tear", "idiot", "loser", "only"])
-    return t("documents").select("doc_id", label.alias("label"), F.round(sure, 6).alias("confidence"))
+    return t.wide("documents").select("doc_id", label.alias("label"), F.round(sure, 6).alias("confidence"))
 
 
 @query("lexicon_hit_risk", f"""
@@ -96,7 +96,7 @@ def _(t):
     low = F.lower("text")
     hits = count_words(low, fx.KEYWORDS)
     risk = F.least(F.least(count_words(low, ["hate", "tear"]) * F.lit(0.12) + hits * F.lit(0.08), F.lit(0.75)), F.lit(0.5))
-    return t("documents").select("doc_id", hits.alias("hits"), F.round(risk, 6).alias("risk"))
+    return t.wide("documents").select("doc_id", hits.alias("hits"), F.round(risk, 6).alias("risk"))
 
 
 HIGH, MED, URLW = ["the", "ing", "orre"], ["and", "for", "was"], ["blog", "utm", "org"]
@@ -111,7 +111,7 @@ select page_id, round(case when h >= 2 or w >= 2 then least(0.85::double, 0.55::
   when m = 1 then 0.38::double when s then 0.10::double else 0.20::double end, 6) as risk from h""")
 def _(t):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return t("pages").select("page_id", F.round(scores.url_text_risk(
+    return t.wide("pages").select("page_id", F.round(scores.url_text_risk(
         F.col("url"), title, ["worth", "tition", "anan"], MED, URLW, ["/de/"]), 6).alias("risk"))
 
 
@@ -123,7 +123,7 @@ def _(t):
     table = t.spark.createDataFrame(
         [("insult", "worthless"), ("insult", "pathetic"), ("secret", "token"), ("legal", "license"), ("legal", "rating")],
         "category string, pattern string")
-    return lexicon_matches(t("documents"), "doc_id", "text", table)
+    return lexicon_matches(t.wide("documents"), "doc_id", "text", table)
 
 
 @query("lexicon_word_join", r"""
@@ -134,7 +134,7 @@ def _(t):
     from riskloom.sources.reference import lexicon_matches
     words = t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("pattern"))
     table = words.distinct().select(F.lit("known").alias("category"), "pattern")
-    hits = lexicon_matches(t("documents"), "doc_id", "text", table, limit=100)
+    hits = lexicon_matches(t.wide("documents"), "doc_id", "text", table, limit=100)
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("known_words"))
 
 
@@ -143,7 +143,7 @@ EMERGING = {"secrets": ("token =", "mail"), "abuse": ("pathetic", "stupid")}
 
 
 def _drift(t):
-    docs = t("documents")
+    docs = t.wide("documents")
     known = t("benchmark").select(F.explode(matched_words(
         F.lower("text"), [w for ws in NEW.values() for w in ws])).alias("word"))
     words = drift.new_keywords(drift.drift_hits(docs, "doc_id", "text", NEW, "keyword", 20), known)
@@ -249,7 +249,7 @@ def _(t):
         similarity=F.lit(0.0), account_age_days=F.col("n_chars") % 500, urgency=fx.URGENCY, actions=fx.ACTIONS, links=fx.LINKS)
     keep = {"leet": "leet", "urgency": "urgency", "call_to_action": "actions", "suspicious_links": "links",
             "account_age": "account_age", "conflict": "conflict", "product": "product"}
-    return t("documents").select("doc_id", *[F.round(row[k], 6).alias(v) for k, v in keep.items()])
+    return t.wide("documents").select("doc_id", *[F.round(row[k], 6).alias(v) for k, v in keep.items()])
 
 
 @query("recalibrated_vector", """
@@ -382,7 +382,7 @@ with k as (select doc_id, list_filter([{', '.join(quoted(w) for w in fx.KEYWORDS
 select doc_id, array_to_string(k[1:4], ',') as first_four, len(list_filter(k, lambda x: length(x) > 5)) > 0 as any_long,
   len(list_filter(k, lambda x: length(x) <= 5)) = 0 as all_long from k""")
 def _(t):
-    return t("documents").select("doc_id", matched_words(F.lower("text"), fx.KEYWORDS).alias("k")).select(
+    return t.wide("documents").select("doc_id", matched_words(F.lower("text"), fx.KEYWORDS).alias("k")).select(
         "doc_id", F.array_join(F.slice("k", 1, 4), ",").alias("first_four"),
         F.exists("k", lambda x: F.length(x) > 5).alias("any_long"), F.forall("k", lambda x: F.length(x) > 5).alias("all_long"))
 
@@ -419,7 +419,7 @@ def _(t):
     flags = F.array_compact(F.array(
         F.when(F.contains(low, F.lit("worthless")), "FINANCIAL_SCAM:pay_first_scheme"), F.when(F.contains(low, F.lit("token")), "ACCOUNT_TAKEOVER"),
         F.when(F.contains(low, F.lit("license")), "FAKE_REWARD:giveaway_prize")))
-    return t("documents").select("doc_id", F.array_join(highlight_keywords(flags, ["robux", "seed phrase"]), "|").alias("keywords"))
+    return t.wide("documents").select("doc_id", F.array_join(highlight_keywords(flags, ["robux", "seed phrase"]), "|").alias("keywords"))
 
 
 @query("runtime_flags", f"""
@@ -434,7 +434,7 @@ def _(t):
     flags = F.array_compact(F.array(
         F.when(F.contains(low, F.lit("the")), "NLP_RULE_BASED_FALLBACK"), F.when(F.contains(low, F.lit("token")), "ACCOUNT_TAKEOVER"),
         F.when(F.contains(low, F.lit("and")), "VIDEO_ANALYSIS_DEGRADED")))
-    return t("documents").select("doc_id", flags.alias("f")).select(
+    return t.wide("documents").select("doc_id", flags.alias("f")).select(
         "doc_id", F.array_join(runtime_flags(F.col("f"), TECHNICAL), ",").alias("technical"),
         (F.size(F.array_except("f", runtime_flags(F.col("f"), TECHNICAL))) > 0).alias("has_evidence"))
 
@@ -444,7 +444,7 @@ select sha256(text) as digest, case when regexp_matches({LOW}, 'worthless.*the')
 from documents where regexp_matches({LOW}, 'worthless.*the|token|license') group by 1, 2""")
 def _(t):
     from riskloom.operators.ingest import quarantine
-    _, held = quarantine(t("documents"), "doc_id", "text", ["worthless.*the", "token", "license"])
+    _, held = quarantine(t.wide("documents"), "doc_id", "text", ["worthless.*the", "token", "license"])
     return held.groupBy("digest", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -458,7 +458,7 @@ select 'meta_' || doc_id as post_id, sha256(text) as content_hash, round(least(c
   epoch_us(timestamp '2024-03-01 00:00:00' + interval 30 day) as expires_us from k""")
 def _(t):
     from riskloom.operators.ingest import post_metadata, quarantine
-    passed, _ = quarantine(t("documents"), "doc_id", "text", ["worthless.*the", "token"])
+    passed, _ = quarantine(t.wide("documents"), "doc_id", "text", ["worthless.*the", "token"])
     out = post_metadata(passed, "doc_id", "text", F.lit("2024-03-01 00:00:00").cast("timestamp"), fx.KEYWORDS, fx.SLANG_WORDS, fx.KEYWORD_TYPES)
     return out.select("post_id", "content_hash", F.round("scam_probability", 6).alias("scam_probability"), "scam_type",
                       F.round("leetspeak_score", 6).alias("leetspeak_score"), F.array_join("detected_keywords", ",").alias("keywords"),

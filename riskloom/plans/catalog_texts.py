@@ -28,51 +28,51 @@ def _slang_sql(col):
 
 @query("content_hash", "select doc_id, sha256(text) as digest from documents")
 def _(t):
-    return t("documents").select("doc_id", tx.content_hash(F.col("text")).alias("digest"))
+    return t.wide("documents").select("doc_id", tx.content_hash(F.col("text")).alias("digest"))
 
 
 @query("clean_page_text", r"""
 select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'),
    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '&nbsp;', ' '), chr(8203), ' '), '\s+', ' ', 'g'))) as digest from pages""")
 def _(t):
-    return t("pages").select("page_id", F.sha2(tx.clean_text(F.col("html")), 256).alias("digest"))
+    return t.wide("pages").select("page_id", F.sha2(tx.clean_text(F.col("html")), 256).alias("digest"))
 
 
 @query("tags_stripped", r"""
 select page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) as digest from pages""")
 def _(t):
-    return t("pages").select("page_id", F.sha2(tx.strip_tags(F.col("html")), 256).alias("digest"))
+    return t.wide("pages").select("page_id", F.sha2(tx.strip_tags(F.col("html")), 256).alias("digest"))
 
 
 @query("matching_form", """
 select doc_id, sha256(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) as digest from documents""")
 def _(t):
-    return t("documents").select("doc_id", F.sha2(tx.match_form(F.col("text")), 256).alias("digest"))
+    return t.wide("documents").select("doc_id", F.sha2(tx.match_form(F.col("text")), 256).alias("digest"))
 
 
 @query("compatibility_form", r"""
 select doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[\-–—_/|:;,\.\(\)\[\]\{\}!]+', ' ', 'g'), '\s+', ' ', 'g'))) as digest from documents""")
 def _(t):
-    return t("documents").select("doc_id", F.sha2(tx.compat_form(F.col("text")), 256).alias("digest"))
+    return t.wide("documents").select("doc_id", F.sha2(tx.compat_form(F.col("text")), 256).alias("digest"))
 
 
 @query("slang_expanded", f"select doc_id, sha256({_slang_sql('text')}) as digest from documents")
 def _(t):
-    return t("documents").select("doc_id", F.sha2(tx.expand_slang(F.col("text"), fx.SLANG), 256).alias("digest"))
+    return t.wide("documents").select("doc_id", F.sha2(tx.expand_slang(F.col("text"), fx.SLANG), 256).alias("digest"))
 
 
 @query("slang_tokens", """
 select conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: case lower(w) when 'the' then 'teh'
    when 'and' then 'n' when 'of' then 'o' when 'nicht' then 'net' when 'que' then 'k' else w end), ' ') as text from conversations""")
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.array_join(
+    return t.wide("conversations").select("conv_id", "turn", F.array_join(
         tx.expand_tokens(F.split("text", " "), fx.SLANG), " ").alias("text"))
 
 
 @query("high_risk_slang", f"""
 select doc_id, regexp_matches(lower(text), {quoted(ALONE.replace('{}', 'worthless|to be|der sch|pathetic'))}) as flagged from documents""")
 def _(t):
-    return t("documents").select("doc_id", tx.has_slang(
+    return t.wide("documents").select("doc_id", tx.has_slang(
         F.col("text"), ["worthless", "to be", "der sch", "pathetic"]).alias("flagged"))
 
 
@@ -83,7 +83,7 @@ select doc_id, round((n - length(translate(lower(text), '013457@$', '')))::doubl
   round((n - length(translate(lower(text), '013457982', '')))::double / greatest(n, 1), 9) as digit_share from c""".replace("\\\\", "\\"))
 def _(t):
     text = F.col("text")
-    return t("documents").select(
+    return t.wide("documents").select(
         "doc_id", F.round(tx.digit_substitution_share(text), 9).alias("share"),
         F.round(tx.substitution_density(text), 9).alias("density"),
         F.round(tx.digit_form_share(text), 9).alias("digit_share"))
@@ -94,7 +94,7 @@ select doc_id, (length(text) - length(regexp_replace(text, '[\x{1F001}-\x{10FFFF
   round(least((length(text) - length(regexp_replace(text, '[\x{1F001}-\x{10FFFF}☀-➿]', '', 'g'))) * 0.02::double, 0.1::double), 6) as score from documents""")
 def _(t):
     n = tx.emoji_count(F.col("text"))
-    return t("documents").select("doc_id", n.alias("emojis"), F.round(tx.capped(n, 0.02, 0.1), 6).alias("score"))
+    return t.wide("documents").select("doc_id", n.alias("emojis"), F.round(tx.capped(n, 0.02, 0.1), 6).alias("score"))
 
 
 @query("upper_case_score", r"""
@@ -102,7 +102,7 @@ with c as (select doc_id, (length(text) - length(regexp_replace(text, '\p{Lu}',
 select doc_id, round(r, 9) as ratio, round(case when r > 0.3::double then least(r * 0.3::double, 0.15::double) else 0 end, 9) as score from c""")
 def _(t):
     ratio = tx.upper_ratio(F.col("text"))
-    return t("documents").select(
+    return t.wide("documents").select(
         "doc_id", F.round(ratio, 9).alias("ratio"),
         F.round(F.when(ratio > 0.3, tx.capped(ratio, 0.3, 0.15)).otherwise(0.0), 9).alias("score"))
 
@@ -113,7 +113,7 @@ select doc_id, case when text is null or text = '' then true when length(x) < 20
    (length(x) - length(translate(x, 'ÃÂÐÑ', '')))::double / length(x) > 0.015
    or length(regexp_replace(x, '[\p{L}\p{N} .,;:!?()\[\]{}\-_/\\@#%&*+="''`~|]', '', 'g'))::double / length(x) > 0.08 end as garbled from c""")
 def _(t):
-    return t("documents").select("doc_id", tx.is_garbled(F.col("text")).alias("garbled"))
+    return t.wide("documents").select("doc_id", tx.is_garbled(F.col("text")).alias("garbled"))
 
 
 @query("noise_fragments", r"""
@@ -121,14 +121,14 @@ with f as (select conv_id, turn, unnest(string_split(text, ' ')) as part from co
 select part, count(*) as n, (part = '' or regexp_matches(part, '^\d[\d,. ]*[KkMmTỷB]?$')
    or (length(part) <= 8 and regexp_matches(part, '^[a-zA-Z ]+$'))) as noise from f group by part""")
 def _(t):
-    parts = t("conversations").select(F.explode(F.split("text", " ")).alias("part"))
+    parts = t.wide("conversations").select(F.explode(F.split("text", " ")).alias("part"))
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("noise", tx.is_noise(F.col("part")))
 
 
 @query("cheap_prefilter", """
 select conv_id, turn, length(text) >= 60 or contains(lower(text), 'worthless') or contains(lower(text), 'token') as keep from conversations""")
 def _(t):
-    return t("conversations").select("conv_id", "turn", tx.worth_scoring(
+    return t.wide("conversations").select("conv_id", "turn", tx.worth_scoring(
         F.col("text"), ["worthless", "token"], 60).alias("keep"))
 
 
@@ -136,13 +136,13 @@ def _(t):
 select conv_id, turn, length(trim(text)) >= 5 and not (contains(lower(text), 'pathetic') or contains(lower(text), '♪') or contains(lower(text), 'the the'))
    and regexp_matches(text, '[éèêóíüä]') as meaningful from conversations""")
 def _(t):
-    return t("conversations").select("conv_id", "turn", tx.is_meaningful_transcript(
+    return t.wide("conversations").select("conv_id", "turn", tx.is_meaningful_transcript(
         F.col("text"), ["pathetic", "♪", "the the"], "[éèêóíüä]").alias("meaningful"))
 
 
 @query("blank_text_dropped", "select lang, count(*) as n from documents where trim(text) <> '' group by lang")
 def _(t):
-    return t("documents").filter(F.trim("text") != "").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return t.wide("documents").filter(F.trim("text") != "").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("trusted_host", r"""
@@ -150,7 +150,7 @@ select page_id, regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]+)',
   false as trusted_link from pages""")
 def _(t):
     marks = [".example.org", ".example.net"]
-    return t("pages").select(
+    return t.wide("pages").select(
         "page_id", urls.on_trusted_host(F.col("url"), marks).alias("trusted_url"),
         urls.has_trusted_link(F.col("html"), marks).alias("trusted_link"))
 
@@ -162,14 +162,14 @@ select page_id, len(x)::int as n_links,
 def _(t):
     body = F.concat(F.lit("see "), F.col("url"), F.lit(" and ("),
                     F.replace(F.col("url"), F.lit("http"), F.lit("HTTP")), F.lit(") now"))
-    return t("pages").select("page_id", F.size(urls.links(body)).alias("n_links"),
+    return t.wide("pages").select("page_id", F.size(urls.links(body)).alias("n_links"),
                              urls.has_trusted_link(body, [".example.org"]).alias("has_trusted"))
 
 
 @query("suspicious_url", """
 select page_id, contains(lower(url), 'utm_source') or contains(lower(url), '.org') or contains(lower(url), 'blog.') as suspicious from pages""")
 def _(t):
-    return t("pages").select("page_id", urls.is_suspicious_url(
+    return t.wide("pages").select("page_id", urls.is_suspicious_url(
         F.col("url"), ["utm_source", ".org", "blog."]).alias("suspicious"))
 
 
@@ -178,7 +178,7 @@ with h as (select page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))
 select page_id, case when regexp_matches(h, '(^|\.)example\.com$') then 'alpha' when regexp_matches(h, '(^|\.)example\.net$') then 'beta'
    else 'unknown' end as platform from h""")
 def _(t):
-    return t("pages").select("page_id", urls.platform_of(
+    return t.wide("pages").select("page_id", urls.platform_of(
         F.col("url"), [("alpha", ["example.com"]), ("beta", ["example.net"])]).alias("platform"))
 
 
@@ -190,7 +190,7 @@ def _(t):
     raw = F.when(F.col("page_id") % 3 == 0, " X ").otherwise(
         F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)))
     name, ok = allowed_platform(raw, {"x": "twitter"}, ["twitter", "blog", "m"])
-    return t("pages").select("page_id", name.alias("platform"), ok.alias("allowed"))
+    return t.wide("pages").select("page_id", name.alias("platform"), ok.alias("allowed"))
 
 
 @query("handle_tokens", r"""
@@ -200,7 +200,7 @@ select page_id, array_to_string(list_sort(list_distinct(list_append(list_filter(
 def _(t):
     pattern = r"://(?:[a-z]+\.)?([^./]+)\.example"
     tokens = urls.handle_tokens(F.col("url"), pattern)
-    return t("pages").filter(F.size(tokens) > 0).select(
+    return t.wide("pages").filter(F.size(tokens) > 0).select(
         "page_id", F.array_join(F.array_sort(tokens), ",").alias("tokens"),
         urls.handle_is_bait(F.col("url"), pattern, ["thr", "shor", "erth"]).alias("bait"))
 
@@ -211,7 +211,7 @@ with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[a-zA-ZÀ
 select doc_id, len(w)::int as n, sha256(array_to_string(w, ' ')) as digest from w""")
 def _(t):
     words = tx.without_stopwords(tx.word_tokens(F.lower("text")), ["the", "and", "of", "to", "der", "die", "la", "le", "en"])
-    return t("documents").select("doc_id", words.alias("w")).select(
+    return t.wide("documents").select("doc_id", words.alias("w")).select(
         "doc_id", F.size("w").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("digest"))
 
 
@@ -223,14 +223,14 @@ def _(t):
     term = F.col("term")
     risk = F.when(term.isin("worthless", "pathetic", "idiot"), "high").when(
         term.isin("token", "license", "free"), "medium").otherwise("low")
-    return group_count(t("documents").select(F.explode(tx.word_tokens(F.lower("text"))).alias("term")), "term").withColumn("risk", risk)
+    return group_count(t.wide("documents").select(F.explode(tx.word_tokens(F.lower("text"))).alias("term")), "term").withColumn("risk", risk)
 
 
 @query("keyword_in_context", """
 with p as (select doc_id, text, strpos(lower(text), 'token') as p from documents)
 select doc_id, case when p > 0 then trim(text[greatest(p - 20, 1) : p + 24]) else '' end as context from p""")
 def _(t):
-    return t("documents").select("doc_id", tx.in_context(F.col("text"), "token").alias("context"))
+    return t.wide("documents").select("doc_id", tx.in_context(F.col("text"), "token").alias("context"))
 
 
 @query("hashtag_tokens", r"""
@@ -238,7 +238,7 @@ with h as (select doc_id, unnest(regexp_extract_all(lower(replace(text, ' th', '
 select doc_id, tag, count(*) as n, count(*) >= 3 as repeated from h group by 1, 2""")
 def _(t):
     tagged = F.replace(F.col("text"), F.lit(" th"), F.lit(" #th"))
-    tags = t("documents").select("doc_id", F.explode(tx.hashtags(tagged)).alias("tag"))
+    tags = t.wide("documents").select("doc_id", F.explode(tx.hashtags(tagged)).alias("tag"))
     return tags.groupBy("doc_id", "tag").agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 3).alias("repeated"))
 
@@ -250,7 +250,7 @@ select doc_id, len(list_filter(tags, lambda g: regexp_matches(g, '^th') and rege
 def _(t):
     from riskloom.plans.detector import fused_hashtags, laundering_hashtag
     text = F.replace(F.col("text"), F.lit(" th"), F.lit(" #th"))
-    return t("documents").select(
+    return t.wide("documents").select(
         "doc_id", fused_hashtags(text, [("^th", "(tion|ble|ing)")]).alias("fused"),
         laundering_hashtag(text, "the", ["rea", "sti"]).alias("laundering"))
 
@@ -260,7 +260,7 @@ select doc_id, case when {fx.sql_count_words('lower(text)', ['worthless', 'pathe
    when {fx.sql_count_words('lower(text)', ['token', 'thing', 'free', 'rating', 'only'])} > 2 then 'gaming_focused' else 'mixed' end as variant from documents""")
 def _(t):
     from riskloom.operators.conversations import language_variant
-    return t("documents").select("doc_id", language_variant(
+    return t.wide("documents").select("doc_id", language_variant(
         F.col("text"), ["worthless", "pathetic", "that", "and", "ing"], ["token", "thing", "free", "rating", "only"]).alias("variant"))
 
 
@@ -272,7 +272,7 @@ select conv_id, n as turns, ((case when alt then 1.0::double else 0 end) + (case
   + (case when n >= 3 then 1 else 0 end)) / 4.0::double as realism from a""")
 def _(t):
     from riskloom.operators.conversations import realism_score
-    return realism_score(t("conversations"), ["user", "assistant"], ["the ", "que"])
+    return realism_score(t.wide("conversations"), ["user", "assistant"], ["the ", "que"])
 
 
 @query("personal_data_safety", r"""
@@ -280,7 +280,7 @@ select doc_id, case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])\d{4}\s*
   or regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])\d{3}-\d{2}-\d{4}([^\p{L}\p{N}_]|$)') or regexp_matches(lower(text), 'child.*abuse')
   then 0.0::double else 1.0::double end as safety from documents""")
 def _(t):
-    return t("documents").select("doc_id", tx.personal_data_safety(
+    return t.wide("documents").select("doc_id", tx.personal_data_safety(
         F.col("text"), fixed.PERSONAL_DATA_PATTERNS).alias("safety"))
 
 
@@ -292,7 +292,7 @@ def _(t):
     known = t("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("about"))
     author = F.when(F.col("source") == "src3", " ").otherwise(F.col("source"))
     text = tx.assemble([("[Mô tả]: ", F.coalesce("about", F.lit(""))), ("[Nội dung]: ", F.col("text")), ("[Tác giả]: ", author)])
-    return t("documents").join(known, "doc_id", "left").select("doc_id", F.sha2(text, 256).alias("digest"))
+    return t.wide("documents").join(known, "doc_id", "left").select("doc_id", F.sha2(text, 256).alias("digest"))
 
 
 @query("ordered_fragment_dedup", """
@@ -301,7 +301,7 @@ u as (select conv_id, turn, unnest(w) as x, generate_subscripts(w, 1) as i from
 f as (select conv_id, turn, lower(x) as k, min(i) as i, arg_min(x, i) as x from u group by 1, 2, 3)
 select conv_id, turn, string_agg(x, ' ' order by i) as text from f group by 1, 2""")
 def _(t):
-    return tx.distinct_words(t("conversations").select("conv_id", "turn", "text"), "text")
+    return tx.distinct_words(t.wide("conversations").select("conv_id", "turn", "text"), "text")
 
 
 @query("fragment_containment_dedup", """
@@ -312,7 +312,7 @@ kept as (select a.* from n a where not exists (select 1 from n b where b.conv_id
    and contains(b.k, a.k) and (b.k <> a.k or b.i < a.i)))
 select conv_id, turn, string_agg(p, '|' order by i) as parts, count(*)::int as n from kept group by 1, 2""")
 def _(t):
-    parts = t("conversations").select("conv_id", "turn", F.split("text", "\n").alias("parts"))
+    parts = t.wide("conversations").select("conv_id", "turn", F.split("text", "\n").alias("parts"))
     return tx.drop_contained(parts, "parts").select(
         "conv_id", "turn", F.array_join("parts", "|").alias("parts"), F.size("parts").alias("n"))
 
@@ -352,7 +352,7 @@ def _(t):
         "has_url": "https?://", "has_shortlink": "mail[0-9]", "has_free": "free|rating", "has_money": r"token|\$",
         "has_urgency": "rest|enter", "has_click_cta": "thing", "has_otp_pass": r"token\s*=",
         "has_prize": "pathetic|loser", "has_crypto": "[0-9]{16}", "has_job_scam": "license"}, ["the ", "of ", "la "])
-    return t("documents").select("doc_id", *[
+    return t.wide("documents").select("doc_id", *[
         (F.round(c, 9) if n == "caps_ratio" else c).alias(n) for n, c in row.items()])
 
 
@@ -360,7 +360,7 @@ def _(t):
     f"when regexp_matches(lower(text), {quoted(p)}) then '{n}'" for n, p in fx.DOMAINS) + " else 'other' end as domain from documents")
 def _(t):
     from riskloom.operators.lexicon import first_match
-    return t("documents").select("doc_id", first_match(F.lower("text"), fx.DOMAINS, "other").alias("domain"))
+    return t.wide("documents").select("doc_id", first_match(F.lower("text"), fx.DOMAINS, "other").alias("domain"))
 
 
 @query("risk_indicator_flags", """
@@ -368,6 +368,6 @@ select doc_id, contains(lower(text), 'token') or contains(lower(text), 'license'
   contains(lower(text), '@') or contains(lower(text), 'example') as includes_fake_link, contains(lower(text), 'rest') as creates_urgency from documents""")
 def _(t):
     low = F.lower("text")
-    return t("documents").select(
+    return t.wide("documents").select(
         "doc_id", any_word(low, ["token", "license"]).alias("asks_for_credentials"),
         any_word(low, ["@", "example"]).alias("includes_fake_link"), any_pattern(low, ["rest"]).alias("creates_urgency"))

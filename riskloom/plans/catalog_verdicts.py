@@ -32,7 +32,7 @@ select day, platform, label, case when label = 'SAFE' then 'LOW' when max(confid
 def _(t):
     text = F.col("text")
     caps = tx.upper_ratio(text)
-    scored = lexicon.keyword_profile(spread(t("documents")), "text", fx.KEYWORDS, fx.SLANG_WORDS, fx.KEYWORD_TYPES).select(
+    scored = lexicon.keyword_profile(t.wide("documents"), "text", fx.KEYWORDS, fx.SLANG_WORDS, fx.KEYWORD_TYPES).select(
         "doc_id", "source", F.least(
             F.col("keyword_score") + tx.substitution_density(text) * 0.5
             + F.when(caps > 0.3, tx.capped(caps, 0.3, 0.15)).otherwise(0.0), F.lit(1.0)).alias("score"))
@@ -152,7 +152,7 @@ select doc_id, case when scam > 0 then 'FAKE_SCAM' when watch > 0 and not edu th
 def _(t):
     from riskloom.plans.lexicon_verdict import lexicon_verdict
     out = lexicon_verdict(
-        t("documents").select("doc_id", "text"), "text", scam=["worthless", "pathetic", "token =", "loser"], watch=WATCH_WORDS,
+        t.wide("documents").select("doc_id", "text"), "text", scam=["worthless", "pathetic", "token =", "loser"], watch=WATCH_WORDS,
         items=["thing"], triggers=["stupid"], actions=["for"], receives=["from"], benign=["verein", "thatin"], slang=["idiot", "hate"])
     return out.select("doc_id", "prediction", *[F.round(c, 6).alias(c) for c in ("p_safe", "p_susp", "p_scam")])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.session import spread
+
 SCHEMAS: dict[str, str] = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -40,3 +42,7 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+
+    def wide(self, name: str) -> DataFrame:
+        """The frame dealt out to all cores when its files are too few: for work heavy per row."""
+        return spread(self(name))
