@@ -18,7 +18,14 @@ from riskloom.operators.rates import exchange_ratio
 def fused_hashtags(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Any hashtag of 4 to 64 basic characters that matches both patterns of a pair."""
     tags = F.regexp_extract_all(F.lower(text), F.lit("#([a-z0-9_]{4,64})"), 1)
-    return F.exists(tags, lambda g: F.greatest(*[g.rlike(a) & g.rlike(b) for a, b in pairs], F.lit(False)))
+
+    def fused(tag: Column) -> Column:
+        test = F.lit(False)
+        for a, b in pairs:
+            test = test | (tag.rlike(a) & tag.rlike(b))
+        return test
+
+    return F.exists(tags, fused)
 
 
 def laundering_hashtag(text: Column, item: str, words: Sequence[str]) -> Column:
