@@ -51,3 +51,11 @@ def score_rows(model: PipelineModel, rows: DataFrame, valid: Column) -> DataFram
     bad = rows.filter(~F.coalesce(valid, F.lit(False))).select(
         "*", F.lit(None).cast("double").alias("prediction"), F.lit("error").alias("status"))
     return good.unionByName(bad)
+
+
+def score_batches(rows: DataFrame, predict, schema: str) -> DataFrame:
+    """Hosts an external model: `predict` maps an iterator of pandas batches to scored batches.
+
+    Load the model at the start of the iterator, once per task.
+    """
+    return rows.mapInPandas(predict, schema)

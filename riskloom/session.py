@@ -44,12 +44,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder so a lost executor never replays the whole loop."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write once as Parquet and read back: several passes over the result cost one computation."""
     path = fresh_path(df.sparkSession, label)
