@@ -76,13 +76,15 @@ def hash_order(*parts: Column) -> Column:
 def hash_split(df: DataFrame, strata: Sequence[str], digest: Column, share: float) -> DataFrame:
     """Positional train/validation split in hash order, per stratum (none = over all rows)."""
     marked = df.withColumn("_digest", digest)
-    by = list(strata) or ["_all"]
-    if not strata:
-        marked = marked.withColumn("_all", F.lit(1))
-    placed = with_position(marked, by, F.substring("_digest", 1, 3), [F.col("_digest")])
-    sizes = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # 4096 buckets by the first digits of the digest: evenly filled, and their counts are few rows.
+    placed = with_position(marked, list(strata), F.substring("_digest", 1, 3), [F.col("_digest")])
+    if strata:
+        sizes = marked.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+        placed = placed.join(sizes, list(strata))
+    else:
+        placed = placed.withColumn("_n", marked.agg(F.count(F.lit(1))).scalar())
     split = F.when(F.col("position") <= F.floor(F.col("_n") * F.lit(share)), "train").otherwise("val")
-    return placed.join(sizes, by).withColumn("split", split).select(*df.columns, "split")
+    return placed.withColumn("split", split).select(*df.columns, "split")
 
 
 def joined_in_order(
