@@ -85,8 +85,10 @@ def exact_quantiles(
     wanted = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
-        low = F.col("_min") if p - slack <= 0 else F.col("_e")[2 * i]
-        high = F.col("_max") if p + slack >= 1 else F.col("_e")[2 * i + 1]
+        # In small groups the slack is less than a few ranks: their bracket is the whole group.
+        small = F.col("_n") < 5 / slack
+        low = F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i])
+        high = F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
         wanted.append(F.struct(
             F.lit(float(p)).alias("p"), F.floor(h).alias("r0"), F.ceil(h).alias("r1"),
             (h - F.floor(h)).alias("frac"), low.alias("lo"), high.alias("hi")))

@@ -11,10 +11,11 @@ from riskloom.plans import detector, guards
 def test_quantiles_match_numpy(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice([rng.random(), 0.5, rng.gauss(0, 100)])) for k in "ab" for _ in range(3000)] + [("c", 4.0)]
+    rows += [(f"s{n}", rng.random()) for n in range(2, 220, 9) for _ in range(n)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = (0.0, 0.25, 0.5, 0.9, 1.0)
     got = {(r["k"], r["p"]): r["q"] for r in reports.exact_quantiles(df, "k", "v", probs).collect()}
-    for k in "abc":
+    for k in {r[0] for r in rows}:
         values = [v for kk, v in rows if kk == k]
         for p in probs:
             assert got[(k, p)] == pytest.approx(np.quantile(values, p))
