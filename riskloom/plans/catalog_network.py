@@ -154,7 +154,7 @@ k as (select component as community, count(*) as n, count_if(node_type = 'SCAMME
 z as (select greatest(s, v) / n::double as p from k where n > 3 and (s / n::double > 0.1 or v / n::double > 0.3))
 select 'edges' as metric, count(*)::double as value from e where weight >= 50 union all select 'nodes', count(*) from nodes union all select 'scammers', count_if(node_type = 'SCAMMER') from nodes
 union all select 'victims', count_if(node_type = 'VICTIM') from nodes union all select 'communities', count(*) from k union all select 'avg_community_size', round(avg(n), 6) from k
-union all select 'largest_community_size', max(n) from k union all select 'botnets', count(*) from z union all select 'high_confidence_botnets', count_if(p > 0.7) from z""".replace("largest_community_size", "largest_community"))
+union all select 'largest_community_size', max(n) from k union all select 'botnets', count(*) from z union all select 'high_confidence_botnets', coalesce(count_if(p > 0.7), 0) from z""".replace("largest_community_size", "largest_community"))
 def _(t):
     members, nodes = written(_members(t), "members"), _nodes(t)
     out = graph.graph_summary(_strong(t), nodes, members, graph.botnet_communities(members, nodes, 3, 0.1, 0.3))
