@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, mixing, pii, quality
+from riskloom.llm import decontam, mixing, neardup, pii, quality
 from riskloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op7_quality_rules(t: Tables) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_chars", "js_words")
 
 
+@_query
+def op8_near_duplicates(t: Tables) -> DataFrame:
+    return neardup.classes(t("documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @_query
 def op10_decontamination(t: Tables) -> DataFrame:
     return decontam.mark(t("documents"), t("benchmark")).select(
