@@ -25,6 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 
 
+def sql_texts() -> dict[str, str]:
+    return {}
+
+
 def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
