@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, mixing, neardup, pii, quality
+from riskloom.llm import decontam, mixing, neardup, pii, quality, secrets
 from riskloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -42,6 +42,13 @@ def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
+@_query
+def op1_secret_scan(t: Tables) -> DataFrame:
+    return secrets.scan(t("documents")).select(
+        "doc_id", *[_count("base", k).alias(f"n_{k}") for k in secrets.BASE], _digest(_joined("base")).alias("base_sha256"),
+        _joined(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_linked"))
+
+
 @_query
 def op4_personal_data(t: Tables) -> DataFrame:
     """Base spans lead the operator's list, ordered by kind and start."""
