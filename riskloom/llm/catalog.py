@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, mixing, neardup, pii, quality, secrets
+from riskloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, secrets
 from riskloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -49,6 +49,18 @@ def op1_secret_scan(t: Tables) -> DataFrame:
         _joined(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_linked"))
 
 
+@_query
+def op2_language(t: Tables) -> DataFrame:
+    docs = t("documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    model = langid.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
+@_query
+def op3_language_model(t: Tables) -> DataFrame:
+    return lm.score(t("documents"))
+
+
 @_query
 def op4_personal_data(t: Tables) -> DataFrame:
     """Base spans lead the operator's list, ordered by kind and start."""
