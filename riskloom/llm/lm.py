@@ -129,6 +129,14 @@ class Filter:
         return pa.table({"block": pa.array([table.column("key")[0].as_py() // self.groups], pa.int64()),
                          "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
+    @staticmethod
+    def merge(table: pa.Table) -> pa.Table:
+        """A block whose groups were built apart."""
+        bits = np.zeros(1 << (BLOCK_BITS - 3), np.uint8)
+        for part in table.column("bits"):
+            bits |= np.frombuffer(part.as_py(), np.uint8)
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
     def counts(self, data: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """The middle of the highest level found, 0 if not even the first is."""
         block, fp = self.place(grams)
@@ -161,9 +169,11 @@ def train(texts: DataFrame):
                 yield from shape.pack(mix(batch.column("word").to_numpy().view(U64)), batch.column("n").to_numpy())
 
     packed = texts.mapInArrow(_count(_pairs, shape.pack), schema).unionByName(words.mapInArrow(pack_words, schema))
-    built = packed.groupBy("key").applyInArrow(shape.build, "block long, bits binary")
+    built = packed.groupBy("key").applyInArrow(lambda table: shape.build(table), "block long, bits binary")
+    if shape.groups > 1:
+        built = built.groupBy("block").applyInArrow(lambda table: shape.merge(table), "block long, bits binary")
     data = np.zeros(shape.blocks << (BLOCK_BITS - 3), np.uint8)
-    for row in built.toLocalIterator():
+    for row in built.collect():  # MOST_BYTES at most
         at = row.block << (BLOCK_BITS - 3)
         data[at: at + (1 << (BLOCK_BITS - 3))] |= np.frombuffer(row.bits, np.uint8)
     return words, (tokens, distinct), shape, data
