@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, secrets
+from riskloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, secrets, sentences
 from riskloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op8_near_duplicates(t: Tables) -> DataFrame:
     return neardup.classes(t("documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@_query
+def op9_repeated_sentences(t: Tables) -> DataFrame:
+    return sentences.dedup(t("documents"))
+
+
 @_query
 def op10_decontamination(t: Tables) -> DataFrame:
     return decontam.mark(t("documents"), t("benchmark")).select(

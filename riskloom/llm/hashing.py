@@ -30,8 +30,8 @@ _LOWER[65:91] += 32
 _LOOKUP = seeds(256, 1 << 20)
 
 
-def word_hashes(buffer: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each maximal run of bytes other than ASCII white space in UTF-8 bytes.
+def word_hashes(buffer: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each maximal run of bytes other than ASCII white space in UTF-8 bytes.
 
     A word's hash is a sum of byte values, each mixed with its place in the word, mixed once more with the length.
     """
@@ -39,18 +39,18 @@ def word_hashes(buffer: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.
     edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.empty(0, U64), starts
+        return np.empty(0, U64), starts, ends
     lengths = ends - starts
     inside = ~space
     place = np.arange(len(buffer), dtype=np.int64)[inside] - np.repeat(starts, lengths)
     data = buffer[inside]
     values = mix(_LOOKUP[_LOWER[data] if lower else data] + place.astype(U64) * U64(0x9E3779B97F4A7C15))
     firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    return mix(np.add.reduceat(values, firsts) + lengths.astype(U64)), starts
+    return mix(np.add.reduceat(values, firsts) + lengths.astype(U64)), starts, ends
 
 
-def batches_of_words(texts: list[bytes], lower: bool = True):
-    """Yields (index of the first text, word hashes of several texts, offsets of each text's words).
+def chunks(texts: list[bytes]):
+    """Yields (index of the first text, bytes of several texts with a line feed between, where each begins and the end).
 
     Texts are taken together up to CHUNK_BYTES; a longer text makes a chunk of its own.
     """
@@ -60,12 +60,17 @@ def batches_of_words(texts: list[bytes], lower: bool = True):
         while end < len(texts) and (end == at or size + len(texts[end]) < CHUNK_BYTES):
             size += len(texts[end]) + 1
             end += 1
-        hashes, starts = word_hashes(np.frombuffer(b"\n".join(texts[at:end]), dtype=np.uint8), lower)
-        begins = np.cumsum([0] + [len(x) + 1 for x in texts[at:end]])
-        yield at, hashes, np.searchsorted(starts, begins)
+        yield at, np.frombuffer(b"\n".join(texts[at:end]), dtype=np.uint8), np.cumsum([0] + [len(x) + 1 for x in texts[at:end]])
         at = end
 
 
+def batches_of_words(texts: list[bytes], lower: bool = True):
+    """Yields (index of the first text, word hashes of several texts, offsets of each text's words)."""
+    for at, buffer, begins in chunks(texts):
+        hashes, starts, _ = word_hashes(buffer, lower)
+        yield at, hashes, np.searchsorted(starts, begins)
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` words; the whole run if there are fewer words; none of none."""
     if not len(words):
