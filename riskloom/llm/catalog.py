@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, langid, lm, mixing, neardup, pii, quality, secrets, sentences
+from riskloom.llm import decontam, extract, langid, lm, mixing, neardup, pii, quality, secrets, sentences
 from riskloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op4_personal_data(t: Tables) -> DataFrame:
         _joined("pii").alias("spans"), F.round(F.array_max(F.transform("pii", lambda x: x["score"])), 3).alias("max_score"))
 
 
+@_query
+def op5_main_text(t: Tables) -> DataFrame:
+    return extract.extract(t("pages"), ["page_id", "url"])
+
+
 @_query
 def op6_source_mix(t: Tables) -> DataFrame:
     return mixing.mix(t("documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
