@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontam, extract, langid, lm, mixing, neardup, pii, quality, secrets, sentences
+from riskloom.llm.twins import sql_texts  # noqa: F401
 from riskloom.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -25,10 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 
 
-def sql_texts() -> dict[str, str]:
-    return {}
-
-
 def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

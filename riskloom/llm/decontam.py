@@ -45,15 +45,16 @@ def anchored(docs: DataFrame, items: DataFrame) -> list[DataFrame]:
     wins = written(windows(items), "bench-windows")
     rows = wins.count()
     words = docs.select(F.explode(bench_words(whole("text"))).alias("word"))
-    counts = []
+    ranked = []
     for block in _blocks(wins, rows):
+        # A block's words and their counts are as bounded as the block.
         vocabulary = block.select(F.explode("w").alias("word")).distinct()
-        counts.append(words.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")))
-    count = reduce(DataFrame.unionByName, counts).groupBy("word").agg(F.max("n").alias("n"))
-    ranked = (wins.select("item_id", "w", "k", F.posexplode("w").alias("at", "word"))
-              .join(count, "word", "left")
-              .groupBy("item_id", "w", "k")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("anchor")))
+        count = words.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+        ranked.append(block.select("item_id", "w", "k", F.posexplode("w").alias("at", "word"))
+                      .join(F.broadcast(count), "word", "left")
+                      .groupBy("item_id", "w", "k")
+                      .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("anchor")))
+    ranked = reduce(DataFrame.unionByName, ranked)
     kept = ranked.where(F.col("anchor.n") > 0).select("item_id", "w", "k", F.col("anchor.word").alias("anchor"), F.col("anchor.at").alias("at"))
     return _blocks(written(kept, "bench-anchors"), rows)
 

@@ -16,13 +16,13 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
 NATIONAL = r"(?<![A-Za-z0-9.+-])[0-9]{2,4}-[0-9]{2,4}-[0-9]{3,5}(?![A-Za-z0-9-])"
 BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "national")
 
 # Words that raise the score of a span when they stand before it within CONTEXT characters.
 CONTEXT_WORDS = {
-    "email": "mail|contact|write|reach", "ip": r"\bip\b|address|host|server", "card": "card|visa|master|credit|payment",
+    "email": "mail|contact|write|reach", "ip": "(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server", "card": "card|visa|master|credit|payment",
     "phone": "phone|tel|call|mobile|fax", "iban": "iban|account|bank|konto|compte|cuenta", "national": "ssn|social|passport|tax|insurance|national",
 }
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national": 0.2}
