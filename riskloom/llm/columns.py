@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
@@ -17,6 +17,22 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+class Carried:
+    """Input columns that pass an operator unchanged. Inside they have names of their own, so none clashes with its work.
+
+    An input column named like an output (in any case) is replaced by it.
+    """
+
+    def __init__(self, docs: DataFrame, made: tuple[str, ...] = ()):
+        self.names = [c for c in docs.columns if c.lower() not in made]
+
+    def inside(self) -> list[Column]:
+        return [F.col("`" + c.replace("`", "``") + "`").alias(f"carried_{i}") for i, c in enumerate(self.names)]
+
+    def outside(self) -> list[Column]:
+        return [F.col(f"carried_{i}").alias(c) for i, c in enumerate(self.names)]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; every other character stays."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import bench_words, text_key, whole
+from riskloom.llm.columns import Carried, bench_words, text_key, whole
 from riskloom.session import written
 
 WINDOW = 13
@@ -95,5 +95,7 @@ def mark(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` whose text is not contaminated, with all their columns."""
-    bad = written(mark(docs, items).where("contaminated").select(F.col("text_key").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, text_key(whole("text")) == bad["_bad"], "left_anti")
+    bad = written(mark(docs, items).where("contaminated").select("text_key").distinct(), "contaminated")
+    carried = Carried(docs)
+    frame = docs.select(*carried.inside(), text_key(whole("text")).alias("text_key"))
+    return frame.join(bad, "text_key", "left_anti").select(*carried.outside())

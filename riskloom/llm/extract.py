@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import whole
+from riskloom.llm.columns import Carried, whole
 
 # Element names and name parts of the markup vocabulary.
 BLOCK_TAGS = frozenset(
@@ -257,6 +257,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` of `pages` with text and n_chars (code points); null or empty html gives an empty text."""
-    frame = pages.select(*keep, whole("html").alias("_html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*keep).schema)
-    return frame.mapInArrow(_extracted, f"{schema}, text string, n_chars long")
+    carried = Carried(pages.select(*keep), ("text", "n_chars"))
+    frame = pages.select(*carried.inside(), whole("html").alias("_html"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[:-1])
+    return frame.mapInArrow(_extracted, f"{schema}, text string, n_chars long").select(*carried.outside(), "text", "n_chars")

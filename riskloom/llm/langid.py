@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import whole
+from riskloom.llm.columns import Carried, whole
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 5), 12
 #: Labelled rows fitted on, windows taken of each, passes, rows per step, and step size.
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str]) -> DataFra
 
     `und` with score 0 for null text, text without a letter, or no model. Equal texts get equal predictions.
     """
-    text = whole("text")
-    frame = docs.select(*keep, text.alias("_t"), text.rlike(r"\p{L}").alias("_letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*keep).schema)
-    return frame.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    text, carried = whole("text"), Carried(docs.select(*keep), ("lang_pred", "score"))
+    frame = docs.select(*carried.inside(), text.alias("_t"), text.rlike(r"\p{L}").alias("_letters"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[:-2])
+    made = frame.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    return made.select(*carried.outside(), "lang_pred", "score")

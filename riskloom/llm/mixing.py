@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import space_words, whole
+from riskloom.llm.columns import Carried, space_words, whole
 from riskloom.session import written
 
 WEIGHTS = (5, 2, 1)
@@ -59,7 +59,8 @@ def mix(docs: DataFrame) -> DataFrame:
     made = ("size", "source_size", "target", "start", "finish", "taken")
     # A key that is never null: rows stay dealt by it from the running sums through the joins.
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    frame = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in made], F.size(space_words(whole("text"))).cast("long").alias("size"), key.alias("_k"))
+    carried = Carried(docs, made)
+    frame = docs.select(*carried.inside(), "doc_id", "source", F.size(space_words(whole("text"))).cast("long").alias("size"), key.alias("_k"))
     totals = written(frame.groupBy("source", "_k").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "mix-sizes")
     goal = targets(totals.select("source", "_k", "source_size", "_rows")).select(F.col("_k").alias("_goal_k"), "_rows", "source_size", "target")
     goal = written(goal, "mix-targets")
@@ -82,5 +83,5 @@ def mix(docs: DataFrame) -> DataFrame:
     frame = frame.withColumns({
         "start": queued / F.nullif(F.col("target"), F.lit(0.0)), "finish": (queued + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)),
         "taken": taken.cast("long")})
-    rest = [c for c in docs.columns if c.lower() not in made]
-    return frame.select(*[f"`{c}`" for c in rest], *made).repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id")
+    order = [F.col("finish"), F.col("doc_id")]
+    return frame.repartitionByRange(*order).sortWithinPartitions(*order).select(*carried.outside(), *made)

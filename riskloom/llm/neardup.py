@@ -4,10 +4,14 @@ Every distinct text is one node, so exact copies never meet each other. A node's
 bucket permutes all shingles by its own hash (no bucket is empty, however short the text) and keeps, of the smallest
 value, its count of leading zeros and the mantissa bits that follow. Bands of registers are the blocking keys.
 
-Inside a band, members are compared with one leader, its smallest node, so a group of near-copies costs a star and not all
-pairs. Links whose estimate (corrected for registers that agree by chance) is far below the bound are dropped; all others
-are verified on full sets. Members of a band that stay in different components are then compared pair by pair, until every
-pair of a band either lies in one component or has been refused: no link inside the bands is lost.
+Inside a band, members are compared with one leader: the node that meets most others over all its bands, which in a group
+of near-copies is close to the text they come from. A group thus costs a star and not all pairs. Links whose estimate
+(corrected for registers that agree by chance) is far below the bound are dropped; all others are verified on full sets.
+
+What is left are pairs of members, of which one at least is no link of their leader. Two such sets can only be near if
+they differ from the leader in the same shingles: with differences x and y from the leader, |x| + |y| - 2 |x & y| must stay
+within a seventh of both sizes, and as x alone exceeds its share, more than 3/7 of y is in x. So the pairs are found by a
+prefix-filtered join over the differences, rarest first, with bounds on their lengths: exact, and without pairing a group.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import components
-from riskloom.llm.columns import text_key, whole
+from riskloom.llm.columns import Carried, text_key, whole
 from riskloom.llm.hashing import U64, batches_of_words, mix, seeds, shingles
 from riskloom.session import written
 
@@ -31,8 +35,6 @@ REGISTERS, ROWS = 128, 4
 MANTISSA = 10
 #: An estimate is refused below this; at similarity 0.75 its deviation is 0.038, so six deviations lie between.
 LEAST_ESTIMATE = 0.52
-#: Leaders tried in each band before the members left over are compared pair by pair.
-LEADER_ROUNDS = 2
 #: Shingles times registers worked on at once.
 CELLS = 1 << 19
 
@@ -79,45 +81,89 @@ def _agreeing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(estimate >= LEAST_ESTIMATE))
 
 
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The full shingle sets of each pair; rows come in order of a leader, whose set is made once a batch."""
+    sets: dict[bytes, np.ndarray] = {}
+    sides = [(batch.column(c).to_pylist(), batch.column("t" + c)) for c in ("a", "b")]
+    for i in range(batch.num_rows):
+        both = []
+        for nodes, texts in sides:
+            if nodes[i] not in sets:
+                _, words, _ = next(batches_of_words([texts[i].as_py().encode()]))
+                sets[nodes[i]] = np.unique(shingles(words, SHINGLE))
+            both.append(sets[nodes[i]])
+        yield both[0], both[1]
+
+
 def _confirmed(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that share enough of their full shingle sets."""
     for batch in pairs:
-        sets: dict[bytes, np.ndarray] = {}
-        names = {c: batch.column(c).to_pylist() for c in ("a", "b")}
-        texts = {c: batch.column("t" + c) for c in ("a", "b")}
         keep = []
-        for i in range(batch.num_rows):
-            both = []
-            for c in ("a", "b"):
-                node = names[c][i]
-                if node not in sets:
-                    _, words, _ = next(batches_of_words([texts[c][i].as_py().encode()]))
-                    sets[node] = np.unique(shingles(words, SHINGLE))
-                both.append(sets[node])
-            shared = len(np.intersect1d(*both, assume_unique=True))
-            keep.append(100 * shared >= PERCENT * (len(both[0]) + len(both[1]) - shared))
+        for a, b in _sets(batch):
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class Links:
-    """Candidate pairs checked against sketches, then against texts."""
+def _differences(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles in one set of a pair only, each mixed with the leader, and both sizes."""
+    for batch in pairs:
+        rows = [(np.setxor1d(a, b, assume_unique=True), len(a), len(b)) for a, b in _sets(batch)]
+        leaders = [U64(int.from_bytes(x[:8], "little")) for x in batch.column("a").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([n for _, _, n in rows], pa.int64()),
+             pa.array([mix(d ^ leader).view(np.int64) for (d, _, _), leader in zip(rows, leaders)], pa.list_(pa.int64()))],
+            ["a", "b", "na", "nb", "diff"])
+
+
+class Pairs:
+    """Pairs of nodes with what is known of the nodes: their sketches, and their texts on demand."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
 
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """a, b, ta, tb. One row of each node gives its text; only nodes in a pair are fetched."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = wanted.join(self.nodes.select("node", "rep"), "node").select(F.col("node").alias("_n"), F.col("rep").alias("_r"))
+        texts = self.docs.join(wanted, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_r")), "left_semi")
+        texts = written(texts.select("node", "text"), "near-texts")
+        return pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
+            texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs that are links; `pairs` are distinct."""
+        """a, b of the distinct `pairs` that are links."""
         sketch = self.nodes.select("node", "sketch")
         near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(
             sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
         near = written(near.mapInArrow(_agreeing, "a binary, b binary"), "near-pairs")
-        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        wanted = wanted.join(self.nodes.select("node", "rep"), "node").select(F.col("node").alias("_n"), F.col("rep").alias("_r"))
-        texts = self.docs.join(wanted, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_r")), "left_semi").select("node", "text")
-        texts = written(texts, "near-texts")
-        both = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
-            texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(_confirmed, "a binary, b binary").distinct(), "near-links")
+        return written(self.texts(near).mapInArrow(_confirmed, "a binary, b binary").distinct(), "near-links")
+
+    def among_members(self, stars: DataFrame, found: DataFrame) -> DataFrame:
+        """Distinct pairs of members of one star (a: leader, b: member) that may be links and lie in different components."""
+        named = stars.join(found.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
+        open_stars = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("a")
+        rows = written(self.texts(stars.join(open_stars, "a", "left_semi")).mapInArrow(
+            _differences, "a binary, b binary, na long, nb long, diff array<long>"), "near-differences")
+        # Differences that only one member of a star has cannot be shared; what is left is ordered rarest first.
+        each = rows.select("a", "b", F.explode("diff").alias("key"))
+        common = written(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
+        ordered = each.join(common, "key").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+        size, both = F.size("diff"), F.col("na") + F.col("nb")
+        member = rows.join(ordered, ["a", "b"]).join(named, ["a", "b"]).select(
+            "b", "nb", "root", "keys", size.alias("s"), F.size("keys").alias("u"), (7 * size > both).alias("apart"),
+            # Shared by any pair, at least: of one that is apart from the leader, and of its partner.
+            F.greatest(F.lit(1), F.ceil((7 * size - both) / 14)).alias("least_apart"), (F.floor(3 * size / 7) + 1).alias("least"))
+        member = written(member, "near-members")
+
+        def prefix(frame: DataFrame, least: str, end: str) -> DataFrame:
+            length = (F.col("u") - F.col(least) + 1).cast("int")
+            return frame.where(length > 0).select(F.explode(F.slice("keys.key", F.lit(1), length)).alias("key"), *[F.col(c).alias(c + end) for c in ("b", "nb", "root", "s", "u")])
+
+        left, right = prefix(member.where("apart"), "least_apart", "1"), prefix(member, "least", "2")
+        fits = 14 * F.least("u1", "u2") >= 7 * (F.col("s1") + F.col("s2")) - F.col("nb1") - F.col("nb2")
+        met = left.join(right, "key").where((F.col("root1") != F.col("root2")) & fits)
+        return met.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -135,29 +181,18 @@ def classes(docs: DataFrame) -> DataFrame:
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(
         i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keyed = nodes.select("node", F.explode(key).alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(keyed.join(shared, "band").select("band", "node", "leader"), "near-bands")
-
-    links, found = Links(frame, nodes), None
-    pairs = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    ties = links.confirm(pairs)
-    found = components(ties)
-    # Bands that still hold several components: another leader first, then all pairs across components.
-    for turn in range(LEADER_ROUNDS):
-        named = members.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        open_bands = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        left = written(named.join(open_bands, "band"), "near-open")
-        if left.isEmpty():
-            break
-        if turn < LEADER_ROUNDS - 1:
-            # The largest root's smallest member leads: what it confirms merges whole components.
-            lead = left.where("root = high").groupBy("band").agg(F.min("node").alias("a"))
-            pairs = left.where("root != high").join(lead, "band").select("a", F.col("node").alias("b"))
-        else:
-            other = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = left.select("band", F.col("node").alias("a"), "root").join(other, "band").where("root < root_b").select("a", "b")
-        ties = ties.unionByName(links.confirm(pairs.distinct()))
-        found = components(ties)
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(keyed.join(shared, "band"), "near-bands")
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "node").select("band", "node", "weight")
+    leaders = weighed.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("leader")).select("band", F.col("leader.node").alias("a"))
+    stars = written(members.join(leaders, "band").where("node != a").select("a", F.col("node").alias("b")).distinct(), "near-stars")
+
+    pairs = Pairs(frame, nodes)
+    links = pairs.confirm(stars)
+    found = components(links)
+    links = links.unionByName(pairs.confirm(pairs.among_members(stars, found)))
+    found = components(links)
     named = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     # Joined back by root, then by node: both sides are rows of nodes, and large groups are split as skewed partitions.
@@ -169,6 +204,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that `classes` keeps, with all their columns; of equal rows all stay that are kept."""
-    gone = written(classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_node")).distinct(), "near-gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.unhex(text_key(whole("text"))) == F.col("_node"))
-    return docs.join(gone, same, "left_anti")
+    gone = written(classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), "node").distinct(), "near-gone")
+    carried = Carried(docs)
+    frame = docs.select(*carried.inside(), "doc_id", F.unhex(text_key(whole("text"))).alias("own"))
+    return frame.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("own") == F.col("node")), "left_anti").select(*carried.outside())

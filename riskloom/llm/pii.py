@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import spans, whole
+from riskloom.llm.columns import Carried, spans, whole
 
 # Every loop is possessive or starts only where a run starts, so a text of one long run is scanned in linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -72,7 +72,13 @@ def find(docs: DataFrame) -> DataFrame:
     Base kinds are reported whenever they are valid; added kinds only when their score reaches the floor and they do not
     overlap a base span. Null text has none. Other columns pass unchanged; one named `pii` is replaced.
     """
-    frame = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != "pii"], whole("text").alias("_p_text"))
+    carried = Carried(docs, ("pii",))
+    frame = _found(docs.select(*carried.inside(), whole("text").alias("_p_text")))
+    return frame.select(*carried.outside(), "pii")
+
+
+def _found(frame: DataFrame) -> DataFrame:
+    """`frame` with pii, from _p_text."""
     text = F.col("_p_text")
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "national": NATIONAL}
 
@@ -89,7 +95,7 @@ def find(docs: DataFrame) -> DataFrame:
     frame = frame.withColumns(made).withColumn("_p_base", F.concat(*[f"_p_{k}" for k in BASE]))
     extra = F.filter(F.concat(*[f"_p_{k}" for k in ADDED]), lambda x: (x["score"] >= FLOOR) & ~F.exists(
         "_p_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return frame.withColumn("pii", F.concat("_p_base", extra)).drop("_p_text", "_p_base", *made)
+    return frame.withColumn("pii", F.concat("_p_base", extra))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -97,17 +103,19 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced as one, by the kind of the one that starts first. Columns are those of `docs`.
     """
-    found = find(docs.withColumnRenamed("pii", "_keep_pii") if "pii" in docs.columns else docs)
+    carried = Carried(docs, ("text",))
     spans_in_order = F.sort_array(F.transform("pii", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    frame = found.withColumn("_r_spans", spans_in_order)
+    frame = docs.select(*carried.inside(), F.col("text").alias("_r_text"), whole("text").alias("_p_text"))
+    frame = _found(frame).withColumn("_r_spans", spans_in_order)
     start = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        part = F.concat(F.substr("text", (a["to"] + 1).cast("int"), (x["s"] - a["to"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        part = F.concat(F.substr("_r_text", (a["to"] + 1).cast("int"), (x["s"] - a["to"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(a["to"], x["e"]).alias("to"), F.when(x["s"] < a["to"], a["out"]).otherwise(F.array_append(a["out"], part)).alias("out"))
 
     walked = F.aggregate("_r_spans", start, step)
     frame = frame.withColumn("_r_done", F.when(F.size("_r_spans") > 0, walked))
-    text = F.when(F.col("_r_done").isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join("_r_done.out", ""), F.substr("text", (F.col("_r_done.to") + 1).cast("int"))))
-    return frame.withColumn("text", text).select(*[F.col("_keep_pii").alias(c) if c == "pii" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("_r_done").isNull(), F.col("_r_text")).otherwise(
+        F.concat(F.array_join("_r_done.out", ""), F.substr("_r_text", (F.col("_r_done.to") + 1).cast("int"))))
+    names = dict(zip(carried.names, carried.outside()))
+    return frame.withColumn("_r_new", text).select(*[names.get(c, F.col("_r_new").alias(c)) for c in docs.columns])

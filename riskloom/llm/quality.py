@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import space_words, whole
+from riskloom.llm.columns import Carried, space_words, whole
 from riskloom.session import written
 
 # The commonest function words of the four languages.
@@ -76,7 +76,7 @@ def references(docs: DataFrame) -> DataFrame:
         *[F.sum(F.col("_q_chars")[i]).alias(f"c{i}") for i in range(BINS)],
         *[F.sum(F.col("_q_common")[i]).alias(f"h{i}") for i in range(len(WORDS) + 1)])
     return sums.select(
-        F.col("lang").alias("_q_lang"), _rest(F.array(*[f"c{i}" for i in range(BINS)])).alias("_q_ref_chars"),
+        F.col("lang").alias("_q_ref_lang"), _rest(F.array(*[f"c{i}" for i in range(BINS)])).alias("_q_ref_chars"),
         _rest(F.array(*[f"h{i}" for i in range(len(WORDS) + 1)])).alias("_q_ref_words"),
         F.col(f"c{BINS - 1}").alias("_q_ref_length"), F.col(f"h{len(WORDS)}").alias("_q_ref_size"))
 
@@ -116,9 +116,9 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     refs = written(references(docs), "quality-refs")
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_chars", "js_words", "base_failed", "kept")
-    rest = [c for c in docs.columns if c.lower() not in made and not c.startswith("_q_")]
+    carried = Carried(docs, made)
     text = F.col("_q_text")
-    frame = docs.select(*[F.col(f"`{c}`") for c in rest], whole("text").alias("_q_text")).withColumn("_q_words", space_words(text))
+    frame = docs.select(*carried.inside(), F.col("lang").alias("_q_lang"), whole("text").alias("_q_text")).withColumn("_q_words", space_words(text))
     words = F.col("_q_words")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     frame = with_histograms(frame, "_q_text", "_q_words").withColumn("_q_lines", lines)
@@ -130,7 +130,7 @@ def measure(docs: DataFrame) -> DataFrame:
     })
     frame = frame.withColumns({
         "_q_length": F.length("_q_text"), "_q_chars": _rest(F.col("_q_chars")), "_q_common": _rest(F.col("_q_common"))})
-    frame = frame.join(refs, frame["lang"].eqNullSafe(refs["_q_lang"]), "left")
+    frame = frame.join(refs, frame["_q_lang"].eqNullSafe(refs["_q_ref_lang"]), "left")
     frame = frame.withColumns({
         "js_chars": F.round(divergence("_q_chars", "_q_ref_chars", "_q_length", "_q_ref_length"), 6),
         "js_words": F.round(divergence("_q_common", "_q_ref_words", "n_words", "_q_ref_size"), 6),
@@ -139,4 +139,4 @@ def measure(docs: DataFrame) -> DataFrame:
     far = (F.col("n_words") >= GUARD_WORDS) & ((F.col("js_chars") > CHAR_LIMIT + CHAR_NOISE / F.col("n_words"))
                                                | (F.col("js_words") > WORD_LIMIT + WORD_NOISE / F.col("n_words")))
     frame = frame.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return frame.select(*[F.col(f"`{c}`") for c in rest], *made)
+    return frame.select(*carried.outside(), *made)
