@@ -6,7 +6,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Bytes hashed at once: bounds a task's memory whatever the length of its texts.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

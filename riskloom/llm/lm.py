@@ -32,7 +32,7 @@ PRIOR, ADDED = 20.0, 0.1
 #: Words whose exact counts travel with the function (16 bytes each).
 HEAD = 1 << 16
 #: n-grams held by a counting task before it hands them on, and by a group that builds a block.
-HELD, GROUP = 1 << 22, 1 << 22
+HELD, GROUP = 1 << 21, 1 << 22
 
 END = int(mix(np.array([0x656E64], dtype=U64))[0])
 _FP = U64((1 << 40) - 1)
