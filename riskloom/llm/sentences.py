@@ -124,7 +124,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = frame.mapInArrow(_spans(True), "span long, doc_id long, key long, place long").join(repeated, "span")
     found = written(found, "spans-found")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("place").alias("p"))
-    first = found.groupBy("span").agg(F.min(order).alias("first"))
+    # Written, so that the join deals the places out anew and can split a span that has very many.
+    first = written(found.groupBy("span").agg(F.min(order).alias("first")), "spans-first")
     later = found.join(first, "span").where(order != F.col("first"))
     # A place is a long and a document has as many as it has sentences, twice at most.
     places = later.groupBy("key").agg(F.collect_set("place").alias("places"))
