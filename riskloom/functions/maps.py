@@ -12,11 +12,12 @@ def merge_maps(left: Column, right: Column) -> Column:
     return F.map_concat(kept, right)
 
 
-def top_entries(scores: Column, floor: float, limit: int, wanted=None) -> Column:
-    """Largest entries of a map at or above a floor, as (score, key) structs, best first."""
+def top_entries(scores: Column, floor: float, limit: int | None = None, wanted=None) -> Column:
+    """Entries of a map at or above a floor, as (score, key) structs, best first; the first `limit` if one is given."""
     entries = F.transform(
         F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("key")))
     kept = F.filter(entries, lambda e: (-e["neg"] >= floor) & (wanted(e["key"]) if wanted else F.lit(True)))
+    ordered = F.array_sort(kept)
     return F.transform(
-        F.slice(F.array_sort(kept), 1, limit),
+        ordered if limit is None else F.slice(ordered, 1, limit),
         lambda e: F.struct(e["key"].alias("key"), (-e["neg"]).alias("score")))

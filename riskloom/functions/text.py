@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions import fixed_values as fixed
 from riskloom.functions.patterns import any_pattern, has_pattern, uni, whole_word
 
 TOKEN = "([a-zA-ZÀ-ỹ]{2,})"
@@ -134,19 +135,19 @@ def letters(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
 
 
-def digit_substitution_share(text: Column, chars: str = "01345" + "7@$") -> Column:
+def digit_substitution_share(text: Column, chars: str = fixed.SUBSTITUTED_OF_ALL) -> Column:
     """Share of characters that often stand for a letter."""
     return _count_chars(F.lower(text), chars) / F.greatest(F.length(text), F.lit(1))
 
 
-def substitution_density(text: Column, chars: str = "043@$17589™®©") -> Column:
+def substitution_density(text: Column, chars: str = fixed.SUBSTITUTED_OF_LETTERS) -> Column:
     """Substitution characters per letter, times five, at most 1; 0 without letters."""
     alpha = letters(text)
     dense = F.least(F.try_divide(_count_chars(text, chars), alpha) * 5, F.lit(1.0))
     return F.when(alpha > 0, dense).otherwise(F.lit(0.0))
 
 
-def digit_form_share(text: Column, chars: str = "01345" + "7982") -> Column:
+def digit_form_share(text: Column, chars: str = fixed.SUBSTITUTED_DIGITS) -> Column:
     """Share of digits that the row noise writes in place of letters."""
     return _count_chars(F.lower(text), chars) / F.greatest(F.length(text), F.lit(1))
 

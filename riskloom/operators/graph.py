@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from riskloom.session import bucketed, written
 
 HUB_EDGES = 1_000_000
+#: Gain of modularity below which a round of moves counts as no gain.
+TOLERANCE = 1e-4
 
 
 def build_edges(interactions: DataFrame, min_interactions: int = 1) -> DataFrame:
@@ -82,42 +84,47 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub
         base = F.lit((1 - damping) / n) + F.lit(damping) * lost / n
         ranks = ids.join(inflow, "id", "left").select(
             "id", "parts", (base + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("score"))
-        if step % every == 0 and step < iterations:
+        # With sinks a step reads the ranks twice, so each is written before the next one.
+        if (facts["sinks"] or step % every == 0) and step < iterations:
             ranks = written(ranks, "ranks")
     return ranks.select("id", "score")
 
 
-def components(edges: DataFrame, hub_edges: int = HUB_EDGES, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each node.
 
-    Each round takes the smallest neighbour label and then the label of the label, so long chains
-    halve per round.
+    Large and small stars in turn: every node ties its larger neighbours to its smallest one, then itself and its smaller
+    neighbours to the smallest of them. No step joins on the component, so one giant component is no hot key.
     """
-    adj = Adjacency(written(both_ways(edges), "edges"), hub_edges)
-    labels = adj.nodes.select("src", "parts", F.col("src").alias("label"))
+    stars = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    before = None
     for _ in range(max_rounds):
-        near = adj.send(labels, "label").groupBy(F.col("dst").alias("src")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "src", "left").select(
-            "src", "parts", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        heads = lower.select(F.col("src").alias("label"), F.col("label").alias("root"))
-        jumped = written(lower.join(heads, "label", "left").select(
-            "src", "parts", "old", F.least("label", F.coalesce("root", F.col("label"))).alias("label")), "labels")
-        labels = jumped.select("src", "parts", "label")
-        if jumped.filter("label <> old").limit(1).count() == 0:
-            return labels.select(F.col("src").alias("id"), F.col("label").alias("component"))
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        mark = stars.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        if mark == before:
+            found = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            roots = stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            alone = edges.where("src = dst").select(F.col("src").alias("id")).distinct().join(found.unionByName(roots), "id", "left_anti")
+            return found.unionByName(roots).unionByName(alone.select("id", F.col("id").alias("component")))
+        before = mark
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, hub_edges: int = HUB_EDGES) -> DataFrame:
-    """(id, community) by modularity: local moves, then the same on the graph of communities.
+def communities(edges: DataFrame, hub_edges: int = HUB_EDGES, max_levels: int = 30) -> DataFrame:
+    """(id, community) by modularity: local moves, then the same on the graph of communities, until nothing moves.
 
     All nodes of one half move at a time (the halves change per round), so two neighbours do not swap
     for ever. Ties go to the smallest community; the result does not depend on partitioning.
     """
     arcs = written(both_ways(edges), "edges")
     member = None
-    for _ in range(levels):
-        moved = _local_moves(arcs, rounds, hub_edges)
+    for _ in range(max_levels):
+        moved = _local_moves(arcs, hub_edges)
         changed = moved.filter("src <> community").limit(1).count() > 0
         if member is None:
             member = moved.select(F.col("src").alias("id"), "community")
@@ -126,20 +133,36 @@ def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, hub_edges: i
             member = member.join(step, "community").select("id", F.col("next").alias("community"))
         member = written(member, "members")
         if not changed:
-            break
+            return member
         a = moved.select(F.col("src"), F.col("community").alias("ca"))
         b = moved.select(F.col("src").alias("dst"), F.col("community").alias("cb"))
         arcs = written(arcs.join(a, "src").join(b, "dst").groupBy(
             F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("weight").alias("weight")), "arcs")
-    return member
+    raise RuntimeError(f"communities still merge after {max_levels} levels")
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: the modularity of a labelling (id, community) of the undirected weighted edges."""
+    arcs = both_ways(edges)
+    ends = arcs.join(members.select(F.col("id").alias("src"), F.col("community").alias("ca")), "src").join(
+        members.select(F.col("id").alias("dst"), F.col("community").alias("cb")), "dst")
+    sums = ends.groupBy("ca").agg(F.sum("weight").alias("tot"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    total = F.sum("tot")
+    return sums.agg((F.sum("inside") / total - F.sum(F.col("tot") * F.col("tot")) / (total * total)).alias("modularity"))
+
 
+def _local_moves(arcs: DataFrame, hub_edges: int) -> DataFrame:
+    """(src, community) once neither half moves, or once both halves raise the modularity by less than the tolerance.
 
-def _local_moves(arcs: DataFrame, rounds: int, hub_edges: int) -> DataFrame:
+    The modularity is bounded, and each pair of rounds must raise it, so the loop ends; the best state is returned.
+    """
     adj = Adjacency(arcs, hub_edges)
-    total = adj.nodes.agg(F.sum("out_weight")).scalar()
+    total_weight = adj.nodes.agg(F.sum("out_weight")).first()[0]
+    total = F.lit(total_weight)
     state = adj.nodes.select("src", "parts", F.col("src").alias("community"), F.col("out_weight").alias("k"))
-    quiet = 0
-    for r in range(rounds):
+    quiet, best, idle, r = 0, None, 0, -1
+    while True:
+        r += 1
         # Arcs exist both ways, so sending a node's community along them reaches its neighbours.
         links = adj.send(state, "community").filter("src <> dst").groupBy(
             F.col("dst").alias("src"), F.col("community").alias("near")).agg(F.sum("weight").alias("w"))
@@ -148,33 +171,48 @@ def _local_moves(arcs: DataFrame, rounds: int, hub_edges: int) -> DataFrame:
         own = F.when(F.col("near") == F.col("community"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - (F.col("tot") - own) * F.col("k") / total
         judged = options.withColumn("gain", F.round(gain, 9))
-        best = judged.groupBy("src").agg(
+        choice = judged.groupBy("src").agg(
             # The largest gain, and among equals the smallest community.
             F.min_by("near", F.struct(-F.col("gain"), F.col("near") != F.col("community"), "near")).alias("best"),
             F.max("gain").alias("top"),
-            F.max(F.when(F.col("near") == F.col("community"), F.col("gain"))).alias("stay"))
+            F.max(F.when(F.col("near") == F.col("community"), F.col("gain"))).alias("stay"),
+            F.max(F.when(F.col("near") == F.col("community"), F.col("w"))).alias("own"))
         stays = sums.select(F.col("near").alias("community"), "tot")
-        joined = state.join(best, "src", "left").join(stays, "community", "left")
+        joined = state.join(choice, "src", "left").join(stays, "community", "left")
         base = F.coalesce("stay", -(F.col("tot") - F.col("k")) * F.col("k") / total)
         turn = F.pmod(F.xxhash64("src") + F.lit(r), F.lit(2)) == 0
         move = turn & F.col("best").isNotNull() & (F.col("top") > base + 1e-9) & (F.col("best") != F.col("community"))
         nxt = written(joined.select(
-            "src", "parts", F.when(move, F.col("best")).otherwise(F.col("community")).alias("community"), "k",
-            F.coalesce(move, F.lit(False)).alias("moved")), "moves")
-        quiet = quiet + 1 if nxt.filter("moved").limit(1).count() == 0 else 0
-        state = nxt.drop("moved")
+            "src", "parts", F.col("community").alias("was"), F.when(move, F.col("best")).otherwise(F.col("community")).alias("community"), "k",
+            F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce(move, F.lit(False)).alias("moved")), "moves")
+        # One pass tells the modularity before the moves, and whether there were any.
+        fact = nxt.groupBy("was").agg(F.sum("k").alias("tot"), F.sum("own").alias("own"), F.count_if("moved").alias("moved")).agg(
+            F.sum("own").alias("inside"), F.sum(F.col("tot") * F.col("tot")).alias("square"), F.sum("moved").alias("moved")).first()
+        value = fact["inside"] / total_weight - fact["square"] / total_weight ** 2
+        if best is None or value > best[0] + TOLERANCE:
+            best, idle = (value, state), 0
+        else:
+            idle += 1
+            if idle == 2:
+                return best[1].select("src", "community")
+        quiet = quiet + 1 if fact["moved"] == 0 else 0
+        state = nxt.drop("moved", "was", "own")
         if quiet == 2:
-            break
-    return state.select("src", "community")
+            return state.select("src", "community")
+
 
+def k_hop(edges: DataFrame, start: DataFrame, depth: int, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """(id, depth): nodes within `depth` undirected steps of the start ids, with their distance.
 
-def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, depth): nodes within `depth` undirected steps of the start ids, with their distance."""
-    arcs = written(both_ways(edges).select("src", "dst"), "arcs")
+    Hub edges are cut into parts, as in the other loops, and each reached hub is repeated once per part.
+    """
+    adj = Adjacency(written(both_ways(edges), "edges"), hub_edges)
+    parts = adj.nodes.select(F.col("src").alias("id"), "parts")
     seen = start.select("id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for d in range(1, depth + 1):
-        reached = arcs.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        state = frontier.join(parts, "id").select(F.col("id").alias("src"), "parts")
+        reached = adj.send(state).select(F.col("dst").alias("id")).distinct()
         frontier = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
@@ -219,23 +257,17 @@ def botnet_communities(members: DataFrame, nodes: DataFrame, min_size: int = 10,
 
 
 def graph_summary(edges: DataFrame, nodes: DataFrame, members: DataFrame, botnets: DataFrame) -> DataFrame:
-    """(metric, value) rows: sizes, classes, communities and high-confidence botnets."""
-    def one(name: str, df: DataFrame, expr: Column) -> DataFrame:
-        return df.agg(expr.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+    """(metric, value) rows: sizes, classes, communities and high-confidence botnets. Each input is read once."""
+    def measured(df: DataFrame, **metrics: Column) -> DataFrame:
+        one = df.agg(*[m.cast("double").alias(name) for name, m in metrics.items()])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])))
 
-    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
     n = F.count(F.lit(1))
-    parts = [
-        one("edges", edges, n),
-        one("nodes", nodes, n), one("scammers", nodes, F.count_if(F.col("node_type") == "SCAMMER")),
-        one("victims", nodes, F.count_if(F.col("node_type") == "VICTIM")),
-        one("communities", sizes, n), one("avg_community_size", sizes, F.avg("n")), one("largest_community", sizes, F.max("n")),
-        one("botnets", botnets, n), one("high_confidence_botnets", botnets, F.count_if(F.col("botnet_probability") > 0.7)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sizes = members.groupBy("community").agg(n.alias("n"))
+    return (measured(edges, edges=n)
+            .unionByName(measured(nodes, nodes=n, scammers=F.count_if(F.col("node_type") == "SCAMMER"), victims=F.count_if(F.col("node_type") == "VICTIM")))
+            .unionByName(measured(sizes, communities=n, avg_community_size=F.avg("n"), largest_community=F.max("n")))
+            .unionByName(measured(botnets, botnets=n, high_confidence_botnets=F.count_if(F.col("botnet_probability") > 0.7))))
 
 
 def update_nodes(nodes: DataFrame, results: DataFrame, columns: list[str]) -> DataFrame:

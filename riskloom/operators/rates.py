@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import fixed_values as fixed
 from riskloom.functions.patterns import uni
 from riskloom.functions.text import parse_number
+from riskloom.sources.reference import literal_table
 
 # Plain classes with the Unicode cases spelled out run several times faster than Unicode mode.
 NUMBER = r"(?:[0-9]{1,3}(?:[\.,][0-9]{3})+|[0-9]+(?:[\.,][0-9]+)?)"
@@ -45,10 +46,10 @@ def mentions(text: Column, units: Sequence[str]) -> Column:
 
 
 def band_table(spark: SparkSession, bands=fixed.RATE_BANDS) -> DataFrame:
-    """Reference bands as one row per alias; a handful of rows, so the planner broadcasts it."""
+    """Reference bands as one row per alias: a literal table, whose size the planner knows and broadcasts."""
     rows = [(a.lower(), name, lo, hi, susp, scam) for name, aliases, lo, hi, susp, scam in bands for a in aliases]
-    return spark.createDataFrame(
-        rows, "alias string, currency string, safe_min double, safe_max double, suspicious_high double, scam_high double")
+    return literal_table(
+        spark, rows, "alias string, currency string, safe_min double, safe_max double, suspicious_high double, scam_high double")
 
 
 def rate_pairs(

@@ -63,13 +63,12 @@ def _(t):
 
 
 @query("stream_high_risk_alerts", """
-with e as (select user_id, ts from events where event_type = 'error'), w as (select user_id, date_trunc('hour', ts) + interval 1 hour + (h * interval 1 hour) as window_end from e, range(24) r(h)),
-m as (select max(ts) - interval 1 hour as mark from e)
-select user_id, epoch_us(window_end) as window_end_us, count(*) as n from w, m where window_end <= mark group by 1, 2 having count(*) >= 3""")
+with e as (select user_id, ts from events where event_type = 'error'), w as (select user_id, date_trunc('hour', ts) + interval 1 hour + (h * interval 1 hour) as window_end from e, range(24) r(h))
+select user_id, epoch_us(window_end) as window_end_us, count(*) as n from w group by 1, 2 having count(*) >= 3""")
 def _(t):
     errors = _stream(t, "events").filter("event_type = 'error'").select("user_id", "ts")
-    alerts = jobs.sliding_alerts(errors, "user_id", "ts", 3)
-    return jobs.output_of(alerts, "alerts").select("user_id", F.unix_micros("window_end").alias("window_end_us"), "n")
+    alerts = jobs.latest_update(jobs.output_of(jobs.sliding_alerts(errors, "user_id", "ts", 3), "alerts", "update"), "user_id", "window_end")
+    return alerts.select("user_id", F.unix_micros("window_end").alias("window_end_us"), "n")
 
 
 TTL_SQL = """

@@ -9,7 +9,7 @@ from riskloom.plans.registry import query
 from riskloom.session import fresh_path, written
 
 EDGE_SQL = """
-i as (select o_custkey * 2 as src, l_partkey * 2 + 1 as dst, l_quantity as weight, l_returnflag as kind, o_orderdate, o_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey),
+i as (select o_custkey * 2 as src, l_partkey * 2 + 1 as dst, l_quantity as weight, l_returnflag as kind, o_orderdate, o_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate from lineitem join orders on l_orderkey = o_orderkey),
 e as materialized (select src, dst, sum(weight) as weight, count(*) as interactions from i group by 1, 2)"""
 NODE_SQL = """
 nodes as (select c_custkey * 2 as id, case when c_acctbal < -500 then 'SCAMMER' when c_acctbal > 8500 then 'VICTIM' else 'USER' end as node_type from customer
@@ -17,11 +17,11 @@ nodes as (select c_custkey * 2 as id, case when c_acctbal < -500 then 'SCAMMER'
 
 
 def _interactions(t):
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_suppkey", "l_extendedprice", "l_shipdate")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         (F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_quantity").alias("weight"),
-        F.col("l_returnflag").alias("interaction_type"), F.struct("o_orderdate", "o_orderkey", "l_linenumber").alias("at"))
+        F.col("l_returnflag").alias("interaction_type"), F.struct("o_orderdate", "o_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag").alias("at"))
 
 
 def _edges(t, min_interactions=1):
@@ -41,11 +41,9 @@ def _(t):
 
 
 @query("first_relation_type", f"""with {EDGE_SQL}
-select src, dst, arg_min(kind, (o_orderdate, o_orderkey, l_linenumber)) as relation_type from i group by 1, 2 having count(*) >= 2 and count(distinct (o_orderkey, l_linenumber)) = count(*)""")
+select src, dst, arg_min(kind, (o_orderdate, o_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate, kind)) as relation_type from i group by 1, 2""")
 def _(t):
-    rows = _interactions(t)
-    clear = rows.groupBy("src", "dst").agg(F.count_distinct("at").alias("a"), F.count(F.lit(1)).alias("n")).filter("a = n")
-    return graph.build_edges(rows, 2).join(clear, ["src", "dst"], "left_semi").select("src", "dst", "relation_type")
+    return _edges(t).select("src", "dst", "relation_type")
 
 
 @query("graph_nodes", f"""with {EDGE_SQL} select node_type, count(*) as n, min(id) as first_id, max(id) as last_id from (
@@ -121,25 +119,28 @@ def _(t):
 
 # ---- components, communities ------------------------------------------------------------------------
 
-STRONG_SQL = f"""{EDGE_SQL}, b as materialized (select src, dst from e where weight >= 50 union select dst, src from e where weight >= 50),
-reach(id, label) as (select distinct src, src from b union select b.dst, reach.label from reach join b on b.src = reach.id),
-c as materialized (select id, min(label) as component from reach group by 1)"""
+def _labels_sql(rounds: int) -> str:
+    """Smallest label over all neighbours, round after round; the graph's diameter is far below `rounds`."""
+    ctes = [EDGE_SQL, """b as materialized (select src, dst from e union select dst, src from e union select src, src from e union select dst, dst from e),
+l0 as materialized (select distinct src as id, src as label from b)"""]
+    for k in range(1, rounds + 1):
+        ctes.append(f"l{k} as materialized (select b.dst as id, min(label) as label from b join l{k - 1} on l{k - 1}.id = b.src group by 1)")
+    return ", ".join([*ctes, f"c as (select id, label as component from l{rounds})"])
 
 
-def _strong(t):
-    return _edges(t).filter("weight >= 50")
+LABELS = _labels_sql(12)
 
 
-@query("connected_components", f"with recursive {STRONG_SQL} select id, component from c")
+@query("connected_components", f"with {LABELS} select id, component from c")
 def _(t):
-    return graph.components(_strong(t).select("src", "dst"))
+    return graph.components(_edges(t).select("src", "dst"))
 
 
 def _members(t):
-    return graph.components(_strong(t).select("src", "dst")).withColumnRenamed("component", "community")
+    return graph.components(_edges(t).select("src", "dst")).withColumnRenamed("component", "community")
 
 
-@query("botnet_communities", f"""with recursive {STRONG_SQL}, {NODE_SQL},
+@query("botnet_communities", f"""with {LABELS}, {NODE_SQL},
 k as (select component as community, count(*) as total_nodes, count_if(node_type = 'SCAMMER')::bigint as scammers, count_if(node_type = 'VICTIM')::bigint as victims from c join nodes using (id) group by 1)
 select community, total_nodes, scammers, victims, round(scammers / total_nodes::double, 6) as scammer_ratio, round(victims / total_nodes::double, 6) as victim_ratio,
   round(greatest(scammers, victims) / total_nodes::double, 6) as botnet_probability from k where total_nodes > 10 and (scammers / total_nodes::double > 0.05 or victims / total_nodes::double > 0.1)""")
@@ -149,27 +150,32 @@ def _(t):
                       *[F.round(c, 6).alias(c) for c in ("scammer_ratio", "victim_ratio", "botnet_probability")])
 
 
-@query("graph_summary_report", f"""with recursive {STRONG_SQL}, {NODE_SQL},
+@query("graph_summary_report", f"""with {LABELS}, {NODE_SQL},
 k as (select component as community, count(*) as n, count_if(node_type = 'SCAMMER') as s, count_if(node_type = 'VICTIM') as v from c join nodes using (id) group by 1),
 z as (select greatest(s, v) / n::double as p from k where n > 3 and (s / n::double > 0.1 or v / n::double > 0.3))
-select 'edges' as metric, count(*)::double as value from e where weight >= 50 union all select 'nodes', count(*) from nodes union all select 'scammers', count_if(node_type = 'SCAMMER') from nodes
+select 'edges' as metric, count(*)::double as value from e union all select 'nodes', count(*) from nodes union all select 'scammers', count_if(node_type = 'SCAMMER') from nodes
 union all select 'victims', count_if(node_type = 'VICTIM') from nodes union all select 'communities', count(*) from k union all select 'avg_community_size', round(avg(n), 6) from k
-union all select 'largest_community_size', max(n) from k union all select 'botnets', count(*) from z union all select 'high_confidence_botnets', coalesce(count_if(p > 0.7), 0) from z""".replace("largest_community_size", "largest_community"))
+union all select 'largest_community', max(n) from k union all select 'botnets', count(*) from z union all select 'high_confidence_botnets', coalesce(count_if(p > 0.7), 0) from z""")
 def _(t):
     members, nodes = written(_members(t), "members"), _nodes(t)
-    out = graph.graph_summary(_strong(t), nodes, members, graph.botnet_communities(members, nodes, 3, 0.1, 0.3))
+    out = graph.graph_summary(_edges(t), nodes, members, graph.botnet_communities(members, nodes, 3, 0.1, 0.3))
     return out.withColumn("value", F.round("value", 6))
 
 
 @query("modularity_communities")
+def _(t):
+    return graph.communities(_edges(t).select("src", "dst", "weight"))
+
+
+@query("botnets_by_modularity")
 def _(t):
     members = graph.communities(_edges(t).select("src", "dst", "weight"))
-    return members.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return graph.botnet_communities(members, _nodes(t), 10, 0.05, 0.1)
 
 
 # ---- neighbourhoods ---------------------------------------------------------------------------------
 
-HOP_SQL = f"""{EDGE_SQL}, u as (select src, dst from e where weight >= 50 union select dst, src from e where weight >= 50),
+HOP_SQL = f"""{EDGE_SQL}, u as materialized (select src, dst from e union select dst, src from e),
 h(id, d) as (select c_custkey * 2, 0 from customer where c_acctbal < -900 union select u.dst, h.d + 1 from h join u on u.src = h.id where h.d < 3),
 k as (select id, min(d) as depth from h group by 1)"""
 
@@ -177,14 +183,14 @@ k as (select id, min(d) as depth from h group by 1)"""
 @query("k_hop_neighbourhood", f"with recursive {HOP_SQL} select id, depth from k")
 def _(t):
     start = t("customer").filter("c_acctbal < -900").select((F.col("c_custkey") * 2).alias("id"))
-    return graph.k_hop(_strong(t).select("src", "dst"), start, 3)
+    return graph.k_hop(_edges(t).select("src", "dst"), start, 3)
 
 
 @query("neighbourhood_subgraph", f"""with recursive {HOP_SQL}, n as (select id, depth from k order by depth, id limit 100)
-select src, dst, weight from e where weight >= 50 and src in (select id from n) and dst in (select id from n)""")
+select src, dst, weight from e where src in (select id from n) and dst in (select id from n)""")
 def _(t):
     start = t("customer").filter("c_acctbal < -900").select((F.col("c_custkey") * 2).alias("id"))
-    _, inside = graph.neighbourhood(_strong(t), start, 3, 100)
+    _, inside = graph.neighbourhood(_edges(t), start, 3, 100)
     return inside.select("src", "dst", "weight")
 
 

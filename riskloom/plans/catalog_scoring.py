@@ -119,22 +119,21 @@ def _(t):
 with x(category, pattern) as (values ('insult', 'worthless'), ('insult', 'pathetic'), ('secret', 'token'), ('legal', 'license'), ('legal', 'rating'))
 select doc_id, category, pattern from documents, x where contains({LOW}, pattern)""")
 def _(t):
-    from riskloom.sources.reference import lexicon_matches
-    table = t.spark.createDataFrame(
-        [("insult", "worthless"), ("insult", "pathetic"), ("secret", "token"), ("legal", "license"), ("legal", "rating")],
+    from riskloom.sources.reference import lexicon_matches, literal_table
+    table = literal_table(
+        t.spark, [("insult", "worthless"), ("insult", "pathetic"), ("secret", "token"), ("legal", "license"), ("legal", "rating")],
         "category string, pattern string")
     return lexicon_matches(t.wide("documents"), "doc_id", "text", table)
 
 
-@query("lexicon_word_join", r"""
-with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) as w from documents),
-l as (select distinct unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) as w from benchmark)
-select w.doc_id, count(*) as known_words from w join l using (w) group by 1""")
+@query("lexicon_word_join", f"""
+with l as (select distinct unnest(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1)) as pattern from benchmark)
+select doc_id, count(*) as known_words from documents, l where contains({LOW}, pattern) group by 1""")
 def _(t):
     from riskloom.sources.reference import lexicon_matches
     words = t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("pattern"))
     table = words.distinct().select(F.lit("known").alias("category"), "pattern")
-    hits = lexicon_matches(t.wide("documents"), "doc_id", "text", table, limit=100)
+    hits = lexicon_matches(t.wide("documents"), "doc_id", "text", table)
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("known_words"))
 
 
@@ -320,7 +319,7 @@ def _(t):
 r as (select *, row_number() over (partition by user_id order by p desc, event_type) rn from p where p > 0.15)
 select user_id, string_agg(event_type, ',' order by rn) as active, count(*)::int as n from r group by 1""")
 def _(t):
-    top = maps.top_entries(F.map_filter("probs", lambda _, v: v > 0.15), 0.0, 100)
+    top = maps.top_entries(F.map_filter("probs", lambda _, v: v > 0.15), 0.0)
     return _prompt_map(t).select("user_id", F.transform(top, lambda e: e["key"]).alias("a")).filter(F.size("a") > 0).select(
         "user_id", F.array_join("a", ",").alias("active"), F.size("a").alias("n"))
 

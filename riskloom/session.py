@@ -61,12 +61,14 @@ def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
     return spark.table(name)
 
 
+#: A table up to this size may be dealt out anew: the shuffle costs the same on any cluster.
+SMALL_TABLE_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when the scan has fewer tasks than cores (one small file).
+    """Rows of a small table dealt out to all cores: one file of one row group is one task, however heavy its rows.
 
-    Scans of many files already have enough tasks and pass unchanged: no shuffle is added.
+    Tables over SMALL_TABLE_BYTES, by the planner's estimate, have tasks enough and pass unchanged on every cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < 2 * cores:
-        return df.repartition(cores)
-    return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE_BYTES else df

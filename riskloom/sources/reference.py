@@ -10,9 +10,22 @@ from pyspark.sql import functions as F
 LEXICON_SCHEMA = "category string, ordinal int, pattern string, weight double"
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table written out in the plan, so the planner knows its size and joins it without a shuffle.
+
+    Rows given as a Python list would be a scan of unknown size, beside which any large table may look small.
+    """
+    if not rows:
+        return spark.createDataFrame([], schema)
+    fields = spark.createDataFrame([], schema).schema
+
+    made = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows])
+    return spark.sql("select 1 as one").select(F.inline(made))
+
+
 def lookup_table(spark: SparkSession, pairs: Mapping[str, str], key: str, value: str) -> DataFrame:
-    """A literal two-column table; its size is known from the mapping."""
-    return spark.createDataFrame(list(pairs.items()), f"{key} string, {value} string")
+    """A literal two-column table."""
+    return literal_table(spark, list(pairs.items()), f"{key} string, {value} string")
 
 
 def load_or_default(spark: SparkSession, path: str | None, schema: str, default: Sequence[tuple]) -> DataFrame:
@@ -22,7 +35,7 @@ def load_or_default(spark: SparkSession, path: str | None, schema: str, default:
         target = jvm.org.apache.hadoop.fs.Path(path)
         if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
             return spark.read.schema(schema).json(path)
-    return spark.createDataFrame(list(default), schema)
+    return literal_table(spark, list(default), schema)
 
 
 def checked_rows(df: DataFrame, limit: int) -> list:
@@ -42,18 +55,50 @@ def load_intents(lexicon: DataFrame, limit: int = 5000) -> list[tuple[str, float
     return list(out.values())
 
 
-def lexicon_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame, limit: int = 500) -> DataFrame:
-    """(key, category, pattern) for each lexicon entry contained in the text.
+#: Lexicon entries worked on at once: they are folded into the plan, or travel to the tasks as one automaton.
+FOLDED_ENTRIES, BLOCK_ENTRIES = 100, 50_000
 
-    Up to `limit` entries fold into expressions (no join). A larger lexicon of single words is
-    matched by exploding the text's words and joining on the word, in any size.
+
+def lexicon_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame, folded: int = FOLDED_ENTRIES, block: int = BLOCK_ENTRIES) -> DataFrame:
+    """(key, category, pattern) for each lexicon entry that the lower-cased text contains, whatever the lexicon's size.
+
+    A few entries fold into expressions. More are cut into blocks of a bounded number of entries; the texts are searched
+    once a block, for all its entries at a time. Repeated entries give repeated rows; empty patterns never match.
     """
-    rows = lexicon.select("category", "pattern").take(limit + 1)
-    low = F.lower(F.col(text))
-    if len(rows) <= limit:
-        entry = [
-            F.when(F.contains(low, F.lit(r["pattern"])), F.struct(
-                F.lit(r["category"]).alias("category"), F.lit(r["pattern"]).alias("pattern"))) for r in rows]
-        return df.select(key, F.explode(F.array_compact(F.array(*entry))).alias("m")).select(key, "m.*")
-    words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), 1))).alias("pattern"))
-    return words.join(lexicon.select("category", "pattern"), "pattern").select(key, "category", "pattern")
+    entries = lexicon.select("category", "pattern").where(F.length("pattern") > 0)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = entries.take(folded + 1)
+    if len(rows) <= folded:
+        entry = [F.when(F.contains(low, F.lit(r["pattern"])), F.struct(
+            F.lit(r["category"]).alias("category"), F.lit(r["pattern"]).alias("pattern"))) for r in rows]
+        found = F.array_compact(F.array(*entry)) if entry else F.array().cast("array<struct<category:string,pattern:string>>")
+        return df.select(key, F.explode(found).alias("m")).select(key, "m.*")
+    parts = -(-entries.count() // block)
+    texts, out = df.select(key, low.alias("low")), None
+    schema = f"{key} {texts.schema[0].dataType.simpleString()}, category string, pattern string"
+    for i in range(parts):
+        words = entries.where(F.pmod(F.xxhash64("category", "pattern"), F.lit(parts)) == i).collect()
+        found = texts.mapInArrow(_search([tuple(r) for r in words]), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(entries: list[tuple[str, str]]):
+    """Task function: (key, low) rows to (key, category, pattern), by one automaton over all patterns."""
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton, owners = ahocorasick.Automaton(), {}
+        for category, pattern in entries:
+            owners.setdefault(pattern, []).append(category)
+        for pattern in owners:
+            automaton.add_word(pattern, pattern)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [(i, c, p) for i, low in enumerate(batch.column(1).to_pylist()) for p in sorted({p for _, p in automaton.iter(low)}) for c in owners[p]]
+            rows, categories, patterns = zip(*hits) if hits else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(categories, pa.string()), pa.array(patterns, pa.string())],
+                [batch.schema.names[0], "category", "pattern"])
+    return run

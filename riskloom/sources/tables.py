@@ -44,5 +44,5 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
     def wide(self, name: str) -> DataFrame:
-        """The frame dealt out to all cores when its files are too few: for work heavy per row."""
+        """The frame dealt out to all cores if the table is small: for work heavy per row."""
         return spread(self(name))

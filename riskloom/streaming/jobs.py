@@ -55,7 +55,11 @@ def latest_status(stream: DataFrame, key: str, ts: str, row_id: str, status: str
 
 
 def sliding_alerts(stream: DataFrame, key: str, ts: str, least: int, span: str = "24 hours", slide: str = "1 hour",
-                   late: str = "1 hour") -> DataFrame:
-    """Keys with at least `least` rows in a sliding window; closed windows leave the state."""
+                   late: str = "30 days") -> DataFrame:
+    """Keys with at least `least` rows in a sliding window, for an update-mode job: open windows come out as well.
+
+    `late` is how far behind the newest row a row may come and still count; a backlog of files has no order in time, so it
+    must span the backlog. Windows that end before that leave the state.
+    """
     counts = stream.withWatermark(ts, late).groupBy(F.window(ts, span, slide), key).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") >= least).select(key, F.col("window.end").alias("window_end"), "n")

@@ -75,7 +75,7 @@ def test_rank_sums_to_one_and_hub_parts_change_nothing(spark):
 
 def test_components_with_hub_parts(spark):
     for hub in (1, 1_000_000):
-        got = {r["id"]: r["component"] for r in graph.components(small_graph(spark), hub).collect()}
+        got = {r["id"]: r["component"] for r in graph.components(small_graph(spark)).collect()}
         assert got == {**dict.fromkeys(range(1, 7), 1), 10: 10, 11: 10, 12: 10}
 
 
@@ -162,3 +162,37 @@ def test_hot_key_keeps_every_row(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).alias("k"), F.col("id"))
     assert ordered.latest_per_key(df, ["k"], ["id"]).filter("k = 0").first()["id"] == 19_999
     assert ordered.with_position(df, ["k"], F.floor(F.col("id") / 1000), [F.col("id")]).count() == 20_000
+
+
+def test_lexicon_rule_is_the_same_at_every_size(spark):
+    from riskloom.sources.reference import lexicon_matches
+
+    texts = spark.createDataFrame([(1, "The TOKENS of a rating, two words"), (2, None), (3, ""), (4, "nothing"), (5, "a rating")], "doc_id long, text string")
+    own = [("a", "token"), ("b", "two words"), ("b", "ating"), ("c", "rating"), ("d", ""), ("a", "token")]
+    padded = own + [("x", f"zz{i}q") for i in range(600)]
+    found = []
+    for rows, options in ((own, {}), (padded, {}), (padded, {"block": 100})):
+        table = spark.createDataFrame(rows, "category string, pattern string")
+        found.append(sorted(tuple(r) for r in lexicon_matches(texts, "doc_id", "text", table, **options).collect()))
+    assert found[0] == found[1] == found[2]
+    assert (1, "b", "two words") in found[0] and (5, "b", "ating") in found[0] and found[0].count((1, "a", "token")) == 2
+
+
+def test_literal_tables_are_joined_without_a_shuffle(spark):
+    from riskloom.operators.rates import band_table
+
+    big = spark.range(1000).withColumn("alias", F.lit("x"))
+    plan = big.join(band_table(spark), "alias")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ExistingRDD" not in plan
+
+
+def test_communities_beat_components_and_lone_nodes(spark):
+    # Two dense groups with one edge between, a pair, and a node with an edge to itself.
+    rows = [(i, j, 1.0) for g in (range(0, 8), range(8, 16)) for i in g for j in g if i < j] + [(0, 8, 1.0), (20, 21, 1.0), (30, 30, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    label = {r.id: r.community for r in graph.communities(edges).collect()}
+    assert len({label[i] for i in range(8)}) == 1 and len({label[i] for i in range(8, 16)}) == 1 and label[0] != label[8]
+    whole = graph.components(edges).withColumnRenamed("component", "community")
+    assert {r.id: r.community for r in whole.collect()} == {i: 0 for i in range(16)} | {20: 20, 21: 20, 30: 30}
+    value = lambda members: graph.modularity(edges, members).first()[0]
+    assert value(graph.communities(edges)) > value(whole)
