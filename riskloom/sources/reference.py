@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,10 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
 
     Rows given as a Python list would be a scan of unknown size, beside which any large table may look small.
     """
+    names = spark.createDataFrame([], schema).columns
     if not rows:
         return spark.createDataFrame([], schema)
-    fields = spark.createDataFrame([], schema).schema
-
-    made = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows])
-    return spark.sql("select 1 as one").select(F.inline(made))
+    return spark.createDataFrame(pa.table({name: [row[i] for row in rows] for i, name in enumerate(names)}), schema)
 
 
 def lookup_table(spark: SparkSession, pairs: Mapping[str, str], key: str, value: str) -> DataFrame:
@@ -87,7 +86,6 @@ def _search(entries: list[tuple[str, str]]):
     """Task function: (key, low) rows to (key, category, pattern), by one automaton over all patterns."""
     def run(batches):
         import ahocorasick
-        import pyarrow as pa
 
         automaton, owners = ahocorasick.Automaton(), {}
         for category, pattern in entries:
