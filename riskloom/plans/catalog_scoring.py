@@ -235,20 +235,24 @@ def _(t):
 
 
 @query("feature_vector_14", f"""
-select d.doc_id, round(case when length(text) > length(regexp_replace(text, '\\p{{L}}', '', 'g')) then least((length(text) - length(translate(text, '043@$17589™®©', '')))::double
+with m as (select *, (n_chars % 101) / 100.0::double as vision, (doc_id % 7) / 7.0::double as risk, greatest(doc_id % 50, 1)::double / greatest(n_chars % 700, 1) as follow,
+  ((doc_id % 9) + (n_chars % 4))::double / greatest(n_chars % 900, 1) as engage from documents)
+select d.doc_id, round(vision, 6) as vision_risk, round((doc_id % 5) / 5.0::double, 6) as text_safe, round((doc_id % 3) / 3.0::double, 6) as text_suspicious,
+  round((doc_id % 13) / 13.0::double, 6) as similarity, round(case when length(text) > length(regexp_replace(text, '\\p{{L}}', '', 'g')) then least((length(text) - length(translate(text, '{fixed.SUBSTITUTED_OF_LETTERS}', '')))::double
    / (length(text) - length(regexp_replace(text, '\\p{{L}}', '', 'g'))) * 5, 1.0::double) else 0 end, 6) as leet,
-  round(least({sql_count_patterns(LOW, fx.URGENCY)} / 5.0::double, 1.0::double), 6) as urgency, round(least({sql_count_patterns(LOW, fx.ACTIONS)} / 3.0::double, 1.0::double), 6) as actions,
-  round(least({sql_count_patterns(LOW, fx.LINKS)} / 5.0::double, 1.0::double), 6) as links, {_ladder_sql('(n_chars % 500)', fixed.ACCOUNT_AGE_STEPS)} as account_age,
-  round(abs((n_chars % 101) / 100.0::double - (doc_id % 7) / 7.0::double), 6) as conflict, round((n_chars % 101) / 100.0::double * ((doc_id % 7) / 7.0::double), 6) as product
-from documents d""".replace("\\\\", "\\"))
+  round(least({sql_count_patterns(LOW, fx.URGENCY)} / 5.0::double, 1.0::double), 6) as urgency, round(least({sql_count_patterns(LOW, fx.ACTIONS)} / 3.0::double, 1.0::double), 6) as call_to_action,
+  round(least({sql_count_patterns(LOW, fx.LINKS)} / 5.0::double, 1.0::double), 6) as suspicious_links, {_ladder_sql('(n_chars % 500)', fixed.ACCOUNT_AGE_STEPS)} as account_age,
+  {_ladder_sql('follow', fixed.FOLLOWER_RATIO_STEPS)} as follower_ratio, {_ladder_sql('(doc_id % 60)', fixed.POST_RATE_STEPS, '>')} as post_rate,
+  case when engage < 0.001 then 0.8::double when engage > 0.5 then 0.7::double when engage < 0.01 then 0.4::double else 0.0::double end as engagement,
+  round(abs(vision - risk), 6) as conflict, round(vision * risk, 6) as product from m d""".replace("\\\\", "\\"))
 def _(t):
     from riskloom.plans.features import post_features
+    key, size = F.col("doc_id"), F.col("n_chars")
     row = post_features(
-        text=F.col("text"), vision_risk=(F.col("n_chars") % 101) / 100.0, text_risk=(F.col("doc_id") % 7) / 7.0,
-        similarity=F.lit(0.0), account_age_days=F.col("n_chars") % 500, urgency=fx.URGENCY, actions=fx.ACTIONS, links=fx.LINKS)
-    keep = {"leet": "leet", "urgency": "urgency", "call_to_action": "actions", "suspicious_links": "links",
-            "account_age": "account_age", "conflict": "conflict", "product": "product"}
-    return t.wide("documents").select("doc_id", *[F.round(row[k], 6).alias(v) for k, v in keep.items()])
+        text=F.col("text"), vision_risk=(size % 101) / 100.0, text_risk=(key % 7) / 7.0, similarity=(key % 13) / 13.0, text_safe=(key % 5) / 5.0,
+        text_suspicious=(key % 3) / 3.0, account_age_days=size % 500, followers=key % 50, following=size % 700, posts_per_day=key % 60, likes=key % 9,
+        comments=size % 4, views=size % 900, urgency=fx.URGENCY, actions=fx.ACTIONS, links=fx.LINKS)
+    return t.wide("documents").select("doc_id", *[F.round(column, 6).alias(name) for name, column in row.items()])
 
 
 @query("recalibrated_vector", """
@@ -324,26 +328,36 @@ def _(t):
         "user_id", F.array_join("a", ",").alias("active"), F.size("a").alias("n"))
 
 
-@query("feature_encoding_29", """
-with f as (select o_orderkey, o_totalprice / 500000 as risk, case o_orderstatus when 'F' then 'HIGH' when 'O' then 'MEDIUM' else 'LOW' end as lvl,
-  case o_orderkey % 4 when 0 then '8-10' when 1 then '11-13' when 2 then '14-17' else 'x' end as age,
-  case o_orderpriority when '1-URGENT' then 'robux_phishing' when '2-HIGH' then 'malicious_link' else 'none' end as sc, o_custkey % 12 as turns from orders)
-select o_orderkey, round(risk, 9) as combined_risk_score, case lvl when 'HIGH' then 1.0::double when 'MEDIUM' then 0.5::double else 0.0::double end as vision_risk,
-  case age when '8-10' then 0.0::double when '11-13' then 0.5::double when '14-17' then 1.0::double else 0.25::double end as age,
-  (sc = 'robux_phishing')::int::double as scenario_robux_phishing, (sc = 'gift_card_scam')::int::double as scenario_gift_card_scam,
-  (sc = 'malicious_link')::int::double as scenario_malicious_link, turns / 10.0::double as turns, (o_orderkey % 5 = 0)::int::double as slang from f""")
-def _(t):
-    key = F.col("o_orderkey")
-    status = F.col("o_orderstatus")
-    level = F.when(status == "F", "HIGH").when(status == "O", "MEDIUM").otherwise("LOW")
+CODED = {
+    "combined_risk_score": "risk", "safety_score": "1 - risk", "violent_risk": "(doc_id % 7) / 7.0::double", "scam_risk": "(doc_id % 5) / 5.0::double",
+    "sexual_risk": "(doc_id % 3) / 3.0::double", "inappropriate_risk": "(doc_id % 11) / 11.0::double", "vision_safe": "(risk < 0.5)::int", "vision_review": "(risk >= 0.5)::int",
+    "vision_risk": "case when risk >= 0.7 then 1.0 when risk >= 0.4 then 0.5 else 0 end", "memory": "(doc_id % 9) / 2.0::double / 4",
+    "p_safe": "(doc_id % 4) / 4.0::double", "p_suspicious": "(doc_id % 6) / 6.0::double", "p_fake_scam": "(doc_id % 9) / 9.0::double", "confidence": "(n_chars % 53) / 53.0::double",
+    "text_safe": "(doc_id % 2 = 0)::int", "text_review": "(doc_id % 3 = 0)::int", "text_risk": "case doc_id % 3 when 0 then 1.0 when 1 then 0.5 else 0 end",
+    "length": "length(text) / 500.0::double", "links": "((length(text) - length(replace(text, 'http', ''))) // 4) / 10.0::double",
+    "exclaims": "(length(text) - length(replace(text, '!', ''))) / 20.0::double", "age": "case doc_id % 4 when 0 then 0.0 when 1 then 0.5 when 2 then 1.0 else 0.25 end",
+    **{f"scenario_{name}": f"(n_chars % 6 = {i})::int" for i, name in enumerate(fixed.SCENARIOS)},
+    "realism": "case when doc_id % 17 = 0 then 0 else (doc_id % 17) / 17.0::double end", "turns": "(n_chars % 12) / 10.0::double", "slang": "(doc_id % 5 = 0)::int",
+}
+
+
+@query("feature_encoding_29", f"""
+with d as (select doc_id, n_chars, coalesce(text, '') as text, (n_chars % 101) / 100.0::double as risk from documents)
+select doc_id, {", ".join(f"round(({sql})::double, 9) as {name}" for name, sql in CODED.items())} from d""")
+def _(t):
+    key, size, text = F.col("doc_id"), F.col("n_chars"), F.coalesce("text", F.lit(""))
+    risk = (size % 101) / 100.0
+    row = scores.vision_codes({
+        "combined_risk_score": risk, "safety_score": 1 - risk, "violent_risk": (key % 7) / 7.0, "scam_risk": (key % 5) / 5.0, "sexual_risk": (key % 3) / 3.0,
+        "inappropriate_risk": (key % 11) / 11.0, "is_safe": risk < 0.5, "requires_review": risk >= 0.5, "vram_usage_gb": (key % 9) / 2.0,
+        "risk_level": F.when(risk >= 0.7, "HIGH").when(risk >= 0.4, "MEDIUM").otherwise("LOW")})
+    row |= scores.text_codes(
+        text, {"SAFE": (key % 4) / 4.0, "SUSPICIOUS": (key % 6) / 6.0, "FAKE_SCAM": (key % 9) / 9.0}, (size % 53) / 53.0, key % 2 == 0, key % 3 == 0,
+        F.when(key % 3 == 0, "HIGH").when(key % 3 == 1, "MEDIUM").otherwise("LOW"))
     age = F.when(key % 4 == 0, "8-10").when(key % 4 == 1, "11-13").when(key % 4 == 2, "14-17").otherwise("x")
-    scenario = F.when(F.col("o_orderpriority") == "1-URGENT", "robux_phishing").when(
-        F.col("o_orderpriority") == "2-HIGH", "malicious_link").otherwise("none")
-    risk = F.col("o_totalprice") / 500000
-    row = scores.vision_codes({"combined_risk_score": risk, "is_safe": risk < 0.5, "requires_review": risk >= 0.5, "risk_level": level})
-    row.update(scores.metadata_codes(age, scenario, F.lit(None).cast("double"), F.col("o_custkey") % 12, key % 5 == 0))
-    keep = ["combined_risk_score", "vision_risk", "age", "scenario_robux_phishing", "scenario_gift_card_scam", "scenario_malicious_link", "turns", "slang"]
-    return t("orders").select("o_orderkey", *[(F.round(row[k], 9) if k == "combined_risk_score" else row[k]).alias(k) for k in keep])
+    scenario = F.element_at(F.array(*[F.lit(x) for x in (*fixed.SCENARIOS, "none")]), (size % 6 + 1).cast("int"))
+    row |= scores.metadata_codes(age, scenario, F.when(key % 17 != 0, (key % 17) / 17.0), size % 12, key % 5 == 0)
+    return t.wide("documents").select("doc_id", *[F.round(row[name].cast("double"), 9).alias(name) for name in CODED])
 
 
 # ---- dates, arrays, JSON ----------------------------------------------------------------------
