@@ -292,7 +292,7 @@ g0 as (select event_id, case event_id % 3 when 0 then 'SAFE' when 1 then 'SUSPIC
   event_id % 5 < 3 as text_safe, (event_id % 60)::int as chars, event_type = 'view' as video, event_type = 'click' and event_id % 7 = 0 as weak, event_id % 6 = 0 as game, event_id % 19 = 0 as promo, event_id % 2 = 0 as trusted,
   event_type = 'error' as img, event_id % 9 = 0 as lim, event_id % 8 = 0 as degr, (event_id % 23) / 25.0::double as vr, (event_id % 29) / 35.0::double as orr, (event_id % 31)::int as oc,
   list_filter([case when event_id % 10 = 0 then 'robux' end, case when event_id % 15 = 0 then 'nap_topup' end, case when event_id % 21 = 0 then 'pay_first' end, case when event_id % 14 = 0 then 'roblox_brand' end], lambda x: x is not null) as mk,
-  (event_id % 37) / 50.0::double as os, (event_id % 3)::int as ch, (event_id % 41) / 130.0::double as cs from events)"""
+  (event_id % 37) / 50.0::double as os, (event_id % 3)::int as ch, (event_id % 41) / 130.0::double as cs, event_id % 12 = 0 as failed from events)"""
 
 
 def _guard_sql():
@@ -321,7 +321,8 @@ g1 as (select *, img and oc < 12 as wk, img and (vr >= 0.35 or orr >= 0.30 or os
     step([("weak and label = 'SAFE'", "'SUSPICIOUS'", "'MEDIUM'", "greatest(conf, 0.45::double)", "true")], "flags || " + add("weak and label = 'SAFE'", "LOW_TEXT_QUALITY_REVIEW"))
     step([("img and label = 'SAFE' and lim", "'SUSPICIOUS'", "'MEDIUM'", "greatest(conf, 0.56::double)", "true")], "flags || " + add("img and label = 'SAFE' and lim", "IMAGE_ONLY_CAPABILITY_LIMITED"))
     step([("false", "label", "risk", "conf", "review")], "flags || " + add("vis or wk", "VISION_OCR_RISK") + " || " + add("(vis or wk) and len(mk) > 0", "OCR_GAME_SCAM_MARKERS")
-         + " || " + add("(vis or wk) and ch > 0", "CLIP_GAME_SCAM_MARKERS") + " || " + add("wk", "IMAGE_ONLY_LOW_OCR_CONFIDENCE"))
+         + " || " + add("(vis or wk) and ch > 0", "CLIP_GAME_SCAM_MARKERS") + " || " + add("wk", "IMAGE_ONLY_LOW_OCR_CONFIDENCE")
+         + " || " + add("(vis or wk) and failed", "IMAGE_PARSE_OR_OCR_FAILED"))
     step([("not ev and text_safe and (not gm or promo) and not vis", "'SAFE'", "'LOW'", "least(conf, 0.25::double)", "false"),
           ("gm and not ev and not promo", "'SUSPICIOUS'", "'MEDIUM'", "greatest(conf, 0.45::double)", "true")])
     step([("img and label = 'SAFE' and (combo or askm or os >= 0.55 or (cs >= 0.28 and wk))", "'FAKE_SCAM'", "'HIGH'", "greatest(conf, 0.75::double, orr, os, cs)", "true"),
@@ -359,6 +360,6 @@ def _(t):
         (e % 6 == 0).alias("has_game_context"), (e % 19 == 0).alias("official_promo"), (e % 2 == 0).alias("trusted_context"), (kind == "error").alias("image_only"),
         (e % 9 == 0).alias("vision_limited"), (e % 8 == 0).alias("degraded"), ((e % 23) / 25.0).alias("vision_risk"), ((e % 29) / 35.0).alias("ocr_risk"),
         (e % 31).alias("ocr_chars"), some((e % 10 == 0, "robux"), (e % 15 == 0, "nap_topup"), (e % 21 == 0, "pay_first"), (e % 14 == 0, "roblox_brand")).alias("ocr_markers"),
-        ((e % 37) / 50.0).alias("ocr_score"), (e % 3).alias("clip_hits"), ((e % 41) / 130.0).alias("clip_score"))
+        ((e % 37) / 50.0).alias("ocr_score"), (e % 3).alias("clip_hits"), ((e % 41) / 130.0).alias("clip_score"), (e % 12 == 0).alias("image_failed"))
     return guards.guard_cascade(rows).select(
         "event_id", "label", "risk_level", F.round("confidence", 6).alias("confidence"), "needs_review", F.array_join("flags", ",").alias("flags"))

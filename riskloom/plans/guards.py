@@ -64,7 +64,7 @@ def guard_cascade(df: DataFrame) -> DataFrame:
     State: label, risk_level, confidence, needs_review, flags. Evidence: text_is_safe, text_chars,
     is_video, weak_crawl, has_game_context, official_promo, trusted_context, image_only,
     vision_limited, degraded, vision_risk, ocr_risk, ocr_chars, ocr_markers, ocr_score,
-    clip_hits, clip_score.
+    clip_hits, clip_score, image_failed (the image could not be read).
     """
     c, yes = F.col, F.lit(True)
 
@@ -104,7 +104,8 @@ def guard_cascade(df: DataFrame) -> DataFrame:
         # Visual flags
         [Rewrite(c("_visual") | c("_weak_ocr"), add_flags=[
             (yes, "VISION_OCR_RISK"), (F.size("ocr_markers") > 0, "OCR_GAME_SCAM_MARKERS"),
-            (c("clip_hits") > 0, "CLIP_GAME_SCAM_MARKERS"), (c("_weak_ocr"), "IMAGE_ONLY_LOW_OCR_CONFIDENCE")])],
+            (c("clip_hits") > 0, "CLIP_GAME_SCAM_MARKERS"), (c("_weak_ocr"), "IMAGE_ONLY_LOW_OCR_CONFIDENCE"),
+            (c("image_failed"), "IMAGE_PARSE_OR_OCR_FAILED")])],
         # Clean text wins, game talk without evidence is kept under watch
         [Rewrite(~c("_evidence") & c("text_is_safe") & (~c("_game") | c("official_promo")) & ~c("_visual"),
                  "SAFE", "LOW", F.least(c("confidence"), F.lit(0.25)), False),
