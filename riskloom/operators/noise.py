@@ -101,14 +101,17 @@ def _slang(d: _Draws) -> Column:
 
 
 def _emoji(d: _Draws) -> Column:
-    out = F.col("_w")
+    # Folded, so that each of up to three insertions is one copy of the expression.
     times = d.index("times", F.lit(3)) + 1
-    for n in range(3):
+
+    def insert(out: Column, n: Column) -> Column:
         at = d.index("place", F.size("_w") + 1, n)
         grown = F.concat(F.slice(out, F.lit(1), at), F.array(_pick(EMOJIS, d.index("emoji", F.lit(len(EMOJIS)), n))),
                          F.slice(out, at + 1, F.size("_w") + 3))
-        out = F.when(times > n, grown).otherwise(out)
-    return _words(F.when(F.size("_w") == 0, F.col("_w")).otherwise(out))
+        return F.when(times > n, grown).otherwise(out)
+
+    grown = F.aggregate(F.sequence(F.lit(0), F.lit(2)), F.col("_w"), insert)
+    return _words(F.when(F.size("_w") == 0, F.col("_w")).otherwise(grown))
 
 
 def _whitespace(d: _Draws) -> Column:
@@ -117,11 +120,13 @@ def _whitespace(d: _Draws) -> Column:
 
 
 def _punctuation(d: _Draws) -> Column:
-    out = F.col("_t")
-    for n, mark in enumerate(MARKS):
-        out = F.when(d("drop", n) < 0.1, F.replace(out, F.lit(mark), F.lit(""))).otherwise(out)
-    more = F.concat(F.rtrim(out), _pick(END_MARKS, d.index("end", F.lit(len(END_MARKS)))))
-    return F.when(d("add") < 0.3, more).otherwise(out)
+    def drop(out: Column, mark: Column) -> Column:
+        return F.when(d("drop", mark["n"]) < 0.1, F.replace(out, mark["mark"], F.lit(""))).otherwise(out)
+
+    marks = F.array(*[F.struct(F.lit(mark).alias("mark"), F.lit(n).alias("n")) for n, mark in enumerate(MARKS)])
+    more = F.when(d("add") < 0.3, _pick(END_MARKS, d.index("end", F.lit(len(END_MARKS)))))
+    # One end step for both cases: the end is trimmed only where a mark is added.
+    return F.aggregate(marks, F.col("_t"), drop, lambda out: F.when(more.isNull(), out).otherwise(F.concat(F.rtrim(out), more)))
 
 
 def _case(d: _Draws) -> Column:

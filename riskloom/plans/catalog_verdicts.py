@@ -249,7 +249,7 @@ def _(t):
 
 @query("evidence_merge", """
 with e as (select event_id, case event_id % 4 when 0 then 'UNKNOWN' when 1 then 'SUSPICIOUS' when 2 then 'FAKE_SCAM' else 'SAFE' end as l0, (event_id % 10) / 10.0::double as c0,
-  (value / 100) as va, (user_id % 11) / 10.0::double as aa, event_id % 5 = 0 as is_ai, (user_id % 7) / 10.0::double as mi, case when (user_id % 7) / 10.0::double > 0.25 then 1 else 0 end as ic,
+  (value / 100) as va, (user_id % 11) / 10.0::double as aa, event_id % 5 = 0 as is_ai, (user_id % 7) / 10.0::double as i1, (event_id % 9) / 20.0::double as i2, greatest(i1, i2) as mi, (i1 > 0.25)::int + (i2 > 0.25)::int as ic,
   event_type = 'click' as direct, event_type = 'view' as tags, event_type = 'purchase' as shortlink, (event_id % 13) / 15.0::double as vsc, event_id % 6 as vh,
   event_type as transcript, event_id % 2 as frames, user_id % 2 as faces from events),
 a as (select *, case when event_id % 3 = 0 then '' else transcript end as tr, 0.6::double * va + 0.4::double * aa as ai, va > 0.85 or aa > 0.85 as sure_ai,
@@ -264,16 +264,18 @@ x as (select *, case when low and not clean then 'SUSPICIOUS' else v0 end as ver
 select event_id, verdict, low as low_evidence, case verdict when 'FAKE_SCAM' then 'HIGH' when 'SUSPICIOUS' then 'MEDIUM' else 'LOW' end as verdict_risk,
   round(case when verdict = 'SAFE' then greatest(0.5::double, 1 - greatest(case when l2 <> 'SAFE' then c3 else 0 end, ai, vsc, mi * 0.5::double)) else greatest(c3, ai, vsc, mi) end, 6) as verdict_confidence,
   concat_ws(',', case when l2 = 'FAKE_SCAM' then 'text_scam' end, case when l2 = 'SUSPICIOUS' then 'text_suspicious' end, case when low and l2 = 'SAFE' then 'little_media' end,
+   case when i2 > 0.25 and i2 >= i1 then 'intent:account:' || round(i2 * 100)::int end, case when i1 > 0.25 then 'intent:gift:' || round(i1 * 100)::int end,
+   case when i2 > 0.25 and i2 < i1 then 'intent:account:' || round(i2 * 100)::int end,
    case when aa > 0.85 then 'voice_cloned' end, case when aa > 0.6 and aa <= 0.85 then 'voice_odd' end, case when va > 0.6 and faces > 0 then 'faces_generated' end, case when va > 0.6 and faces = 0 then 'image_generated' end,
    case when vsc >= 0.35 or vh >= 3 then 'text_in_image' end, case when verdict = 'SAFE' and ic = 0 and aa < 0.4 and va < 0.4 then 'nothing_found' end,
    case when verdict = 'SAFE' and not (ic = 0 and aa < 0.4 and va < 0.4) then 'not_enough' end) as reasons from x""")
 def _(t):
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    intent = (u % 7) / 10.0
+    intents = F.create_map(F.lit("gift"), (u % 7) / 10.0, F.lit("account"), (e % 9) / 20.0)
     rows = t("events").select(
         "event_id", F.when(e % 4 == 0, "UNKNOWN").when(e % 4 == 1, "SUSPICIOUS").when(e % 4 == 2, "FAKE_SCAM").otherwise("SAFE").alias("text_label"),
         ((e % 10) / 10.0).alias("text_conf"), (F.col("value") / 100).alias("vision_ai"), ((u % 11) / 10.0).alias("audio_ai"), (e % 5 == 0).alias("is_ai"),
-        intent.alias("max_intent"), F.when(intent > 0.25, 1).otherwise(0).alias("intent_count"),
+        intents.alias("intents"),
         F.array_compact(F.array(F.when(kind == "click", "ACCOUNT_TAKEOVER"), F.when(kind == "view", "HASHTAG_ROBUX_LAUNDERING"),
                                 F.when(kind == "purchase", "SHORTLINK_SUSPICIOUS"), F.lit("URGENCY"))).alias("flags"),
         ((e % 13) / 15.0).alias("visual_score"), (e % 6).alias("visual_hits"), F.when(e % 3 == 0, "").otherwise(kind).alias("transcript"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed_values as fixed
+from riskloom.functions.maps import top_entries
 
 SHARES = ("p_safe", "p_susp", "p_scam")
 
@@ -119,10 +120,15 @@ def intent_text(label: Column, flags: Column, intent: Column) -> Column:
 def merge_evidence(df: DataFrame) -> DataFrame:
     """One verdict from text and vision evidence of a video.
 
-    Input: text_label, text_conf, vision_ai, audio_ai, is_ai, max_intent, intent_count, flags,
-    visual_score, visual_hits, transcript, frames, faces.
+    Input: text_label, text_conf, vision_ai, audio_ai, is_ai, intents (scores by name), flags,
+    visual_score, visual_hits, transcript, frames, faces. Each intent over the bound is a reason of its own,
+    intent:name:percent, the strongest first.
     """
     c = F.col
+    active = top_entries(F.map_filter("intents", lambda _, score: score > fixed.ACTIVE_INTENT), 0.0)
+    df = df.withColumns({
+        "_active": active, "_max_intent": F.coalesce(F.array_max(F.map_values("intents")), F.lit(0.0)),
+    }).withColumn("_intent_count", F.size("_active"))
 
     def flagged(pattern):
         return F.exists("flags", lambda f: f.rlike(pattern))
@@ -144,7 +150,7 @@ def merge_evidence(df: DataFrame) -> DataFrame:
     })
     seen = (c("visual_score") >= 0.65) | (c("visual_hits") >= 5)
     hinted = (c("visual_score") >= 0.35) | (c("visual_hits") >= 3)
-    backed = (c("intent_count") > 0) | (c("audio_ai") > 0.6) | (c("visual_score") >= 0.35)
+    backed = (c("_intent_count") > 0) | (c("audio_ai") > 0.6) | (c("visual_score") >= 0.35)
     ai = c("is_ai") | c("_ai_sure")
     verdict = (
         F.when(c("_text") == "FAKE_SCAM", "FAKE_SCAM")
@@ -155,7 +161,7 @@ def merge_evidence(df: DataFrame) -> DataFrame:
         .when(c("_ai_sure") & (c("_ai_score") > 0.7), "SUSPICIOUS").otherwise("SAFE"))
     judged = locked.withColumn("_verdict", verdict)
     bare = (F.length(F.trim(F.coalesce("transcript", F.lit("")))) < 5) & (c("frames") == 0) & (c("faces") == 0)
-    clean = (c("_text") == "SAFE") & ~c("_critical") & (c("max_intent") < 0.20) & (c("visual_score") < 0.20)
+    clean = (c("_text") == "SAFE") & ~c("_critical") & (c("_max_intent") < 0.20) & (c("visual_score") < 0.20)
     forced = bare & (c("_verdict") == "SAFE") & ~clean
     final = judged.withColumns({
         "verdict": F.when(forced, "SUSPICIOUS").otherwise(c("_verdict")),
@@ -163,19 +169,24 @@ def merge_evidence(df: DataFrame) -> DataFrame:
         "low_evidence": bare & (c("_verdict") == "SAFE"),
     })
     danger = F.greatest(
-        F.when(c("_text") != "SAFE", c("_final_conf")).otherwise(0.0), c("_ai_score"), c("visual_score"), c("max_intent") * 0.5)
-    reasons = [
+        F.when(c("_text") != "SAFE", c("_final_conf")).otherwise(0.0), c("_ai_score"), c("visual_score"), c("_max_intent") * 0.5)
+    first = [
         (c("_text") == "FAKE_SCAM", "text_scam"), (c("_text") == "SUSPICIOUS", "text_suspicious"),
-        (c("low_evidence") & (c("_text") == "SAFE"), "little_media"), (c("audio_ai") > 0.85, "voice_cloned"),
+        (c("low_evidence") & (c("_text") == "SAFE"), "little_media"),
+    ]
+    by_intent = F.transform("_active", lambda x: F.concat_ws(":", F.lit("intent"), x["key"], F.round(x["score"] * 100).cast("int").cast("string")))
+    rest = [
+        (c("audio_ai") > 0.85, "voice_cloned"),
         ((c("audio_ai") > 0.6) & (c("audio_ai") <= 0.85), "voice_odd"),
         ((c("vision_ai") > 0.6) & (c("faces") > 0), "faces_generated"), ((c("vision_ai") > 0.6) & (c("faces") == 0), "image_generated"),
         (hinted, "text_in_image"),
-        ((c("verdict") == "SAFE") & (c("intent_count") == 0) & (c("audio_ai") < 0.4) & (c("vision_ai") < 0.4), "nothing_found"),
-        ((c("verdict") == "SAFE") & ~((c("intent_count") == 0) & (c("audio_ai") < 0.4) & (c("vision_ai") < 0.4)), "not_enough"),
+        ((c("verdict") == "SAFE") & (c("_intent_count") == 0) & (c("audio_ai") < 0.4) & (c("vision_ai") < 0.4), "nothing_found"),
+        ((c("verdict") == "SAFE") & ~((c("_intent_count") == 0) & (c("audio_ai") < 0.4) & (c("vision_ai") < 0.4)), "not_enough"),
     ]
     return final.withColumns({
         "verdict_confidence": F.when(c("verdict") == "SAFE", F.greatest(F.lit(0.5), 1 - danger))
-        .otherwise(F.greatest("_final_conf", "_ai_score", "visual_score", "max_intent")),
+        .otherwise(F.greatest("_final_conf", "_ai_score", "visual_score", "_max_intent")),
         "verdict_risk": F.when(c("verdict") == "FAKE_SCAM", "HIGH").when(c("verdict") == "SUSPICIOUS", "MEDIUM").otherwise("LOW"),
-        "reasons": F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in reasons])),
-    }).select(*df.columns, "verdict", "verdict_confidence", "verdict_risk", "low_evidence", "reasons")
+        "reasons": F.concat(*[F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in first])), by_intent,
+                              F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in rest]))]),
+    }).select(*[x for x in df.columns if not x.startswith("_")], "verdict", "verdict_confidence", "verdict_risk", "low_evidence", "reasons")
