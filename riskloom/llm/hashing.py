@@ -49,6 +49,13 @@ def word_hashes(buffer: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.
     return mix(np.add.reduceat(values, firsts) + lengths.astype(U64)), starts, ends
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in slices of so many rows at most, so that a task holds few texts in more than one form."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[bytes]):
     """Yields (index of the first text, bytes of several texts with a line feed between, where each begins and the end).
 

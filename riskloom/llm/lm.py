@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.columns import whole
-from riskloom.llm.hashing import U64, batches_of_words, mix
+from riskloom.llm.hashing import U64, batches_of_words, mix, slices
 from riskloom.llm.langid import held_out
 from riskloom.session import written
 
@@ -59,7 +59,7 @@ def _count(of, emit):
     """Task function: counts `of(tokens)` over all its texts, combined before they leave the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, counts, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for _, tokens, _ in _tokens([(x or "").encode() for x in batch.column(0).to_pylist()]):
                 grams, n = np.unique(of(tokens), return_counts=True)
                 parts.append(grams)
@@ -186,7 +186,7 @@ def _score(shape: Filter, shared, stats: tuple[int, int], head: tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             size = batch.num_rows
             n_tokens, known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
             rest_words, rest_counts = [], []
