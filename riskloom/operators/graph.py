@@ -226,9 +226,14 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, limit: int = 1
     return nodes, inside
 
 
-def propagation_depth(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """Distance of each post from the nearest labelled post over similarity edges, up to a bound."""
-    return k_hop(edges, seeds, max_depth)
+def propagation_depth(edges: DataFrame, seeds: DataFrame, heads: DataFrame, max_depth: int) -> DataFrame:
+    """Distance of each post from the nearest labelled post over similarity edges, up to a bound.
+
+    `heads` (id, head) names the posts that are one node; edges lie among heads, and every post has its head's depth.
+    """
+    start = seeds.join(heads, "id").select(F.col("head").alias("id")).distinct()
+    depth = k_hop(edges, start, max_depth).select(F.col("id").alias("head"), "depth")
+    return heads.join(depth, "head").select("id", "depth")
 
 
 def top_nodes(ranks: DataFrame, n: int) -> DataFrame:

@@ -126,20 +126,28 @@ def best_match(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return neighbours(queries, vectors, k=1).select("query_id", "similarity")
 
 
+def head_of(vectors: DataFrame) -> DataFrame:
+    """(id, head): the smallest id with the same vector; a vector's own id if there is no copy before it."""
+    marked = vectors.select("id", F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256).alias("_key"))
+    return marked.join(marked.groupBy("_key").agg(F.min("id").alias("head")), "_key").select("id", "head")
+
+
+def head_edges(vectors: DataFrame, heads: DataFrame, floor: float, block: int = 4096) -> DataFrame:
+    """Edges (src < dst) at or above the floor among different vectors, each named by its head."""
+    base = vectors.join(heads.where("id = head").select("id"), "id", "left_semi").select("id", "vector")
+    return neighbours(base, base, k=0, floor=floor, skip_self=True, block=block).filter("query_id < vec_id").select(
+        F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "similarity")
+
+
 def similar_edges(vectors: DataFrame, floor: float, block: int = 4096) -> DataFrame:
-    """Undirected SIMILAR_TO edges (src < dst) at or above the floor.
+    """Undirected SIMILAR_TO edges (src < dst) at or above the floor, copies as one node.
 
-    Equal vectors are collapsed first: each copy is linked to the first of its group, and only
-    first ones are compared, so a large group of copies gives a star and not all its pairs.
+    Copies are linked to the first of their group (similarity 1) and take no part otherwise: a large group of copies
+    gives a star and not all its pairs, and its other edges are those of its head.
     """
-    marked = vectors.withColumn("_key", F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256))
-    heads = marked.groupBy("_key").agg(F.min("id").alias("id"), F.min_by("vector", "id").alias("vector"))
-    copies = marked.join(heads.select("_key", F.col("id").alias("head")), "_key").filter("id <> head").select(
-        F.col("head").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity"))
-    base = heads.select("id", "vector")
-    pairs = neighbours(base, base, k=0, floor=floor, skip_self=True, block=block).filter("query_id < vec_id").select(
-        F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "similarity")
-    return pairs.unionByName(copies)
+    heads = head_of(vectors)
+    copies = heads.filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity"))
+    return head_edges(vectors, heads, floor, block).unionByName(copies)
 
 
 def pseudo_embedding(text: Column, dims: int = 768) -> Column:

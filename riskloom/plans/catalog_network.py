@@ -201,8 +201,9 @@ h(id, d) as (select vec_id, 0 from embeddings where label = 1 union select p.dst
 select id, min(d) as depth from h group by 1""")
 def _(t):
     vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    edges = similarity.similar_edges(vectors, 0.3).select("src", "dst")
-    return graph.propagation_depth(edges, t("embeddings").filter("label = 1").select(F.col("vec_id").alias("id")), 4)
+    heads = similarity.head_of(vectors)
+    edges = similarity.head_edges(vectors, heads, 0.3).select("src", "dst")
+    return graph.propagation_depth(edges, t("embeddings").filter("label = 1").select(F.col("vec_id").alias("id")), heads, 4)
 
 
 # ---- node upkeep ------------------------------------------------------------------------------------

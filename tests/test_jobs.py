@@ -195,3 +195,14 @@ def test_communities_beat_components_and_lone_nodes(spark):
     assert {r.id: r.community for r in whole.collect()} == {i: 0 for i in range(16)} | {20: 20, 21: 20, 30: 30}
     value = lambda members: graph.modularity(edges, members).first()[0]
     assert value(graph.communities(edges)) > value(whole)
+
+
+def test_copies_of_a_vector_are_one_node(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    heads = similarity.head_of(vectors)
+    assert {r.id: r["head"] for r in heads.collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 2, 6: 6}
+    edges = similarity.head_edges(vectors, heads, 0.8).select("src", "dst")
+    assert {tuple(r) for r in edges.collect()} == {(1, 2), (3, 6)}
+    seeds = spark.createDataFrame([(4,)], "id long")
+    assert {r.id: r.depth for r in graph.propagation_depth(edges, seeds, heads, 3).collect()} == {1: 0, 4: 0, 2: 1, 5: 1}
