@@ -16,7 +16,7 @@ from riskloom.sources.tables import Tables
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.measure(docs).where("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

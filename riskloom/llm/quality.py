@@ -140,3 +140,14 @@ def measure(docs: DataFrame) -> DataFrame:
                                                | (F.col("js_words") > WORD_LIMIT + WORD_NOISE / F.col("n_words")))
     frame = frame.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return frame.select(*carried.outside(), *made)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `measure` keeps, with all their columns.
+
+    Verdicts are written before they are used: a filter on them would be pushed down and compute each measure many times.
+    """
+    carried = Carried(docs)
+    inside = docs.select(*carried.inside(), "text", "lang")
+    judged = written(measure(inside).select(*inside.columns[:-2], "kept"), "quality-kept")
+    return judged.where("kept").select(*carried.outside())
