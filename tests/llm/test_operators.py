@@ -286,6 +286,21 @@ def test_language_model_base_score_is_exact(spark, monkeypatch):
             assert r.held_out == (r.doc_id in held) and r.score < 0
 
 
+def test_language_model_scores_alike_when_its_filter_is_not_broadcast(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 500 + i % 7)) for i in range(700)] + ["", None, "one"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r for r in lm.score(frame).collect()}
+    monkeypatch.setattr(lm, "MOST_BYTES", 1 << 17)
+    for shard in (1, 2):
+        monkeypatch.setattr(lm, "SHARD", shard, raising=False)
+        apart = {r.doc_id: r for r in lm.score(frame).collect()}
+        assert len(apart) == len(texts) and sum(r.score for r in apart.values()) == pytest.approx(sum(r.score for r in whole.values()))
+        assert all(apart[i].score == pytest.approx(whole[i].score) and apart[i].base_score == pytest.approx(whole[i].base_score) for i in whole)
+
+
 def test_filter_reads_back_quantised_counts():
     import numpy as np
     import pyarrow as pa
