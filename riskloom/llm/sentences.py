@@ -1,8 +1,10 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences: words up to a full stop, exclamation or question mark, or up to a line's end. Sentences of
-more than LONG words are cut further, after words chosen by their hash, so the cuts of a passage do not depend on what
-stands around it. Every run of consecutive sentences that just reaches MIN_SENTENCES and MIN_WORDS, counted from its first
+more than LONG words are cut further, after the word of the least hash of every LONG words in a row (all of them, if there
+are several), so no sentence keeps more than LONG words, and cuts depend on fewer than LONG words to either side. A passage
+of over 50 words that stands twice therefore holds a common span, whatever its sentence ends: a cut lies within its first
+15 words, the least run from there ends within 27 more, and only cuts after its last 7 or 8 words may differ. Every run of consecutive sentences that just reaches MIN_SENTENCES and MIN_WORDS, counted from its first
 or from its last sentence, is hashed. Spans are counted over all documents; where a span stands more than once, the first
 place (by doc_id, then position; null ids last) stays and the sentences of all other places are removed.
 
@@ -23,11 +25,27 @@ from riskloom.llm.columns import whole
 from riskloom.llm.hashing import U64, chunks, mix, word_hashes
 from riskloom.session import written
 
-MIN_SENTENCES, MIN_WORDS, LONG, CUT = 3, 20, 12, 7
+MIN_SENTENCES, MIN_WORDS, LONG = 3, 20, 8
 _BASE = U64(0x9E3779B97F4A7C15)
 _BACK = U64(pow(int(_BASE), -1, 1 << 64))
 
 
+def _least(words: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words that have the least hash of some LONG words in a row of one sentence."""
+    chosen = np.zeros(len(words), bool)
+    if len(words) < LONG:
+        return chosen
+    sentence = np.cumsum(last) - last
+    n = len(words) - LONG + 1
+    least = words[:n].copy()
+    for k in range(1, LONG):
+        np.minimum(least, words[k: n + k], out=least)
+    inside = sentence[:n] == sentence[LONG - 1:]
+    for k in range(LONG):
+        chosen[k: n + k] |= inside & (words[k: n + k] == least)
+    return chosen
+
+
 def _cut(buffer: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     """Word hashes, first words of the sentences and of each text, and byte ranges of the words."""
     words, starts, ends = word_hashes(buffer)
@@ -40,7 +58,7 @@ def _cut(buffer: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     last[-1] = True
     last[texts[1:][texts[1:] > 0] - 1] = True
     size = np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))
-    last |= np.repeat(size > LONG, size) & ((words & U64(CUT)) == 0)
+    last |= np.repeat(size > LONG, size) & _least(words, last)
     return words, np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)), texts, starts, ends
 
 

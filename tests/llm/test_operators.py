@@ -385,3 +385,24 @@ def test_repeated_spans_match_brute_force(spark):
 
 def test_row_type_is_stable(odd):
     assert isinstance(secrets.scan(odd).first(), Row)
+
+
+def test_every_passage_of_over_50_words_is_found():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+
+    def text(n, ends):
+        return [f"w{x}" + ("." if rng.random() < ends else "") for x in rng.integers(0, 10**6, n)]
+
+    def spans(words):
+        data = " ".join(words).encode()
+        hashes, firsts, texts, _, _ = sentences._cut(np.frombuffer(data, np.uint8), np.array([0, len(data) + 1]))
+        assert len(firsts) == 0 or np.diff(np.append(firsts, len(hashes))).max() <= sentences.LONG
+        return set(sentences._runs(hashes, firsts, texts)[0].tolist())
+
+    for i in range(3000):
+        ends = (0, 0, 0.03, 0.08, 0.15)[i % 5]
+        passage = text(51, ends)
+        one, two = ([*text(rng.integers(0, 60), ends), *passage, *text(rng.integers(0, 60), ends)] for _ in range(2))
+        assert spans(one) & spans(two), passage
