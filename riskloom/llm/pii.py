@@ -16,8 +16,15 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
+# Only the first four characters are taken, so a number is tried at each of them; what may follow is looked at.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+))"
 NATIONAL = r"(?<![A-Za-z0-9.+-])[0-9]{2,4}-[0-9]{2,4}-[0-9]{3,5}(?![A-Za-z0-9-])"
+#: Length of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "national")
 
 # Words that raise the score of a span when they stand before it within CONTEXT characters.
@@ -53,6 +60,20 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(turned, "(?!^)(?!$)", -1), F.lit(0), step) == 1
 
 
+def _iban_spans(text: Column) -> Column:
+    """Proposed account numbers: as long as their country's are; of other codes, the whole run."""
+    countries = "|".join(c for names in IBAN_LENGTHS.values() for c in names.split())
+    number = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+    rest = F.when(text.rlike(IBAN), F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    def cut(x: Column, more: Column) -> Column:
+        run = F.concat(x["m"], more)
+        m = F.when(run.rlike(f"^(?:{countries})"), F.regexp_extract(run, f"^(?:{number})", 0)).otherwise(run)
+        return F.struct(x["s"].alias("s"), (x["s"] + F.length(m)).alias("e"), m.alias("m"))
+
+    return F.zip_with(spans(text, IBAN), rest, cut)
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         parts = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
@@ -88,7 +109,7 @@ def _found(frame: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), score.alias("score"))
 
     def valid_spans(kind: str) -> Column:
-        good = F.filter(spans(text, patterns[kind]), lambda x: _valid(kind, x["m"]))
+        good = F.filter(_iban_spans(text) if kind == "iban" else spans(text, patterns[kind]), lambda x: _valid(kind, x["m"]))
         return F.transform(good, lambda x: scored(kind, x))
 
     made = {f"_p_{kind}": valid_spans(kind) for kind in patterns}

@@ -84,6 +84,18 @@ def test_personal_data_is_confirmed_and_redacted(spark):
     assert clean[0] == "call me at [PHONE] ok" and clean[3] == "[EMAIL]@d.e [EMAIL]" and clean[9] == "ééééé [EMAIL]" and clean[10] is None and clean[1] == texts[1]
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    after = [" Bank", " BIC COBADEFF", " The end", " I paid", " 7 times", " GB82 WEST 1234 5698 7654 32", ".", ""]
+    texts = [f"{before}{n}{a}" for n in numbers for a in after for before in ("", "AT12 ")] + ["DE89370400440532013001 Bank", "DE8937040044053201300"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][x.s:x.e] for x in r.pii if x.kind == "iban"] for r in pii.find(frame).collect()}
+    second = "GB82 WEST 1234 5698 7654 32"
+    assert found == dict(enumerate([[n] + [second] * (second in a) for n in numbers for a in after for _ in range(2)] + [[], []]))
+    clean = {r.text for r in pii.redact(frame).collect()}
+    assert {"[IBAN] Bank", "[IBAN] BIC COBADEFF", "AT12 [IBAN] The end", "[IBAN] I paid", "[IBAN] [IBAN]"} <= clean
+
+
 def test_runs_of_one_kind_of_character_are_scanned_in_linear_time(spark):
     texts = [c * 200_000 for c in ("a", "1", "1.", "1-", "+1", "a.", "f", "token ", "AKIA", "A1 ")]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
