@@ -67,7 +67,8 @@ with e as (select user_id, ts from events where event_type = 'error'), w as (sel
 select user_id, epoch_us(window_end) as window_end_us, count(*) as n from w group by 1, 2 having count(*) >= 3""")
 def _(t):
     errors = _stream(t, "events").filter("event_type = 'error'").select("user_id", "ts")
-    alerts = jobs.latest_update(jobs.output_of(jobs.sliding_alerts(errors, "user_id", "ts", 3), "alerts", "update"), "user_id", "window_end")
+    late = jobs.backlog_lateness(t("events"), "ts")
+    alerts = jobs.latest_update(jobs.output_of(jobs.sliding_alerts(errors, "user_id", "ts", 3, late), "alerts", "update"), "user_id", "window_end")
     return alerts.select("user_id", F.unix_micros("window_end").alias("window_end_us"), "n")
 
 

@@ -54,12 +54,17 @@ def latest_status(stream: DataFrame, key: str, ts: str, row_id: str, status: str
     return stream.groupBy(key).agg(F.max_by(status, F.struct(ts, row_id)).alias(status), F.count(F.lit(1)).alias("updates"))
 
 
-def sliding_alerts(stream: DataFrame, key: str, ts: str, least: int, span: str = "24 hours", slide: str = "1 hour",
-                   late: str = "30 days") -> DataFrame:
+def backlog_lateness(rows: DataFrame, ts: str, span: str = "24 hours") -> str:
+    """How late a row of a backlog can come: all its time and a window more. `rows`: the stream's folder, read as a table."""
+    low, high = rows.agg(F.unix_seconds(F.min(ts)), F.unix_seconds(F.max(ts))).first()
+    return f"{(high or 0) - (low or 0) + 1} seconds {span}"
+
+
+def sliding_alerts(stream: DataFrame, key: str, ts: str, least: int, late: str, span: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     """Keys with at least `least` rows in a sliding window, for an update-mode job: open windows come out as well.
 
     `late` is how far behind the newest row a row may come and still count; a backlog of files has no order in time, so it
-    must span the backlog. Windows that end before that leave the state.
+    must span the backlog (`backlog_lateness`). Windows that end before that leave the state.
     """
     counts = stream.withWatermark(ts, late).groupBy(F.window(ts, span, slide), key).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") >= least).select(key, F.col("window.end").alias("window_end"), "n")

@@ -206,3 +206,22 @@ def test_copies_of_a_vector_are_one_node(spark):
     assert {tuple(r) for r in edges.collect()} == {(1, 2), (3, 6)}
     seeds = spark.createDataFrame([(4,)], "id long")
     assert {r.id: r.depth for r in graph.propagation_depth(edges, seeds, heads, 3).collect()} == {1: 0, 4: 0, 2: 1, 5: 1}
+
+
+def test_alerts_of_a_backlog_in_reverse_order(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from riskloom.plans import registry
+    from riskloom.sources.tables import SCHEMAS
+    from riskloom.streaming import jobs
+
+    start, folder = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc), f"{tmp_path}/events.parquet"
+    for day in (89, 45, 0):
+        rows = [(10 * day + i, start + datetime.timedelta(days=day, hours=i), 1, "error", 0.0, None) for i in range(4)]
+        spark.createDataFrame(rows, SCHEMAS["events"]).coalesce(1).write.mode("append").parquet(folder)
+    read = jobs.stream_table
+    monkeypatch.setattr(jobs, "stream_table", lambda spark, path, schema, files_per_batch=1: read(spark, path, schema, 1))
+    found = {(r.window_end_us, r.n) for r in registry.runners()["stream_high_risk_alerts"](spark, str(tmp_path)).collect()}
+    ends = [start + datetime.timedelta(days=d, hours=h) for d in (89, 45, 0) for h in range(1, 28)]
+    counts = {e: sum(e - datetime.timedelta(hours=24) <= start + datetime.timedelta(days=d, hours=i) < e for d in (89, 45, 0) for i in range(4)) for e in ends}
+    assert found == {(int(e.timestamp()) * 10**6, n) for e, n in counts.items() if n >= 3}
