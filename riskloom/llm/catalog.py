@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, extract, langid, lm, mixing, neardup, pii, quality, secrets, sentences
+from riskloom.llm import centroids, decontam, extract, langid, lm, mixing, neardup, pii, puquality, quality, search, secrets, sentences
 from riskloom.llm.twins import sql_texts  # noqa: F401
 from riskloom.sources.tables import Tables
 
@@ -99,3 +99,20 @@ def op10_decontamination(t: Tables) -> DataFrame:
     return decontam.mark(t("documents"), t("benchmark")).select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         _digest(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
+
+
+@_query
+def op11_quality_classifier(t: Tables) -> DataFrame:
+    docs = t("documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0))
+    model = puquality.fit(docs.where(~F.col("held_out")), t("labels"))
+    return puquality.score(docs, model, ["doc_id", "held_out"])
+
+
+@_query
+def op12_ranked_search(t: Tables) -> DataFrame:
+    return search.search(t("documents"), t("benchmark"))
+
+
+@_query
+def op13_centroids(t: Tables) -> DataFrame:
+    return centroids.cluster(t("embeddings"))

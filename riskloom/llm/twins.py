@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontam, mixing, neardup, pii, quality, secrets
+from riskloom.llm import centroids, decontam, mixing, neardup, pii, quality, search, secrets
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,7 +154,40 @@ def decontamination() -> str:
         FROM d LEFT JOIN words_hit USING (rid) LEFT JOIN items USING (rid)"""
 
 
+def ranked_search() -> str:
+    words = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_quoted(search.TERM)})"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+        s AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+        q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({words}) AS term FROM benchmark),
+        tf AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, s GROUP BY term, docs),
+        m AS (SELECT rid, doc_id, 100 - 50 + ((50 * len(w) * docs) // terms) AS m FROM d, s WHERE len(w) > 0),
+        hit AS (SELECT item_id, rid, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+                FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (rid) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+        FROM hit WHERE score > 0 QUALIFY rank <= {search.TOP}"""
+
+
+def centroid_clusters() -> str:
+    dims, k = centroids.DIMS, centroids.CLUSTERS
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), v) - 1 AS c, v AS m FROM v QUALIFY c < {k})"""]
+    nearest = """SELECT rid, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (
+        SELECT rid, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM v, {}) GROUP BY rid"""
+    for n in range(centroids.ROUNDS):
+        parts.append(f"a{n} AS MATERIALIZED ({nearest.format(f'c{n}')})")
+        means = ", ".join(f"floor(sum(v[{i + 1}])::DOUBLE / count(*))::BIGINT" for i in range(dims))
+        parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(x.m, c{n}.m) AS m FROM c{n} LEFT JOIN (
+            SELECT c, [{means}] AS m FROM a{n} JOIN v USING (rid) GROUP BY c) x USING (c))""")
+    last = f"c{centroids.ROUNDS}"
+    parts.append(f"a AS MATERIALIZED ({nearest.format(last)})")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, c::INT AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+        (sum(dist) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a JOIN v USING (rid) JOIN {last} USING (c)"""
+
+
 def sql_texts() -> dict[str, str]:
     return {
         "op1_secret_scan": secret_scan(), "op4_personal_data": personal_data(), "op6_source_mix": source_mix(),
-        "op7_quality_rules": quality_rules(), "op8_near_duplicates": near_duplicates(), "op10_decontamination": decontamination()}
+        "op7_quality_rules": quality_rules(), "op8_near_duplicates": near_duplicates(), "op10_decontamination": decontamination(),
+        "op12_ranked_search": ranked_search(), "op13_centroids": centroid_clusters()}
