@@ -22,7 +22,7 @@ from riskloom.session import written
 
 DIMS, SCALE, CLUSTERS, ROUNDS, SEED = 64, 256, 40, 5, 2
 #: Vectors in a block; axes of the curve and bits of each (together under 63); vectors that the axes are fitted on.
-BLOCK, AXES, BITS, SAMPLE = 128, 8, 7, 10_000
+BLOCK, AXES, BITS, SAMPLE = 64, 8, 7, 10_000
 #: Components are held within this bound, so that every squared distance is a 64-bit number.
 BOUND = 1 << 27
 #: Below this bound sums of products are exact in doubles.

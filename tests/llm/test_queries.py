@@ -37,8 +37,8 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert sum(truth[r.doc_id] == r.lang_pred for r in rows) >= 0.9 * len(rows)
 
 
-def test_queries_cover_all_ten():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in catalog.queries()) == list(range(1, 11))
+def test_queries_cover_every_operator():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in catalog.queries()) == list(range(1, 14))
 
 
 def test_pipeline_matches_brute_force(spark):
