@@ -65,6 +65,41 @@ def _(t):
     return scored.select("doc_id", "prediction", "status")
 
 
+#: Marks of a text counted by the batched model.
+MEASURES = ["[A-Z]", "!", "[|]", "[#$%&*]", "worthless|pathetic|stupid|idiot|loser"]
+
+
+def _discriminant_sql() -> str:
+    """The same model written out: pooled variances, linear scores, softmax."""
+    size = "length(text)"
+    shares = [f"coalesce(len(regexp_extract_all(text, {fx.quoted(p)})) / nullif({size}, 0)::double, 0.0)" for p in MEASURES] + [f"{size} / 1000.0::double"]
+    names = [f"x{i}" for i in range(len(shares))]
+    offset = " + ".join(f"m{i} * m{i} * p{i}" for i in range(len(names)))
+    return f"""
+with x as (select doc_id, text, {', '.join(f'{e} as {n}' for e, n in zip(shares, names))} from documents),
+l as (select case when toxic = 1 then 'FAKE_SCAM' when quality = 0 then 'SUSPICIOUS' else 'SAFE' end as label, x.* from labels join x using (doc_id) where text is not null),
+s as (select label, count(*)::double as n, {', '.join(f'avg({n}) as m{i}, var_pop({n}) as v{i}' for i, n in enumerate(names))} from l group by 1),
+p as (select sum(n) as total, {', '.join(f'case when sum(n * v{i}) / sum(n) > 1e-12 then sum(n) / sum(n * v{i}) else 0 end as p{i}' for i in range(len(names)))} from s),
+z as (select doc_id, label, ln(n / total) - 0.5 * ({offset}) + {' + '.join(f'x{i} * m{i} * p{i}' for i in range(len(names)))} as z from x, s, p where text is not null),
+g as (select doc_id, label, exp(z - max(z) over (partition by doc_id)) as g from z),
+e as (select doc_id, label, g / sum(g) over (partition by doc_id) as share from g),
+b as (select doc_id, arg_max(label, (share, label)) as prediction, max(share) as confidence, max(share) filter (label = 'SAFE') as safe_share from e group by 1)
+select x.doc_id, coalesce(prediction, 'ERROR') as prediction, round(coalesce(confidence, 0.0), 5) as confidence, round(safe_share, 5) as safe_share,
+  coalesce(prediction = 'SAFE', false) as is_safe, prediction is null or (prediction <> 'SAFE' and confidence < 0.8) as requires_review,
+  case when prediction is null then 'error' else 'ok' end as status from x left join b using (doc_id)"""
+
+
+@query("batched_model_scores", _discriminant_sql())
+def _(t):
+    label = F.when(F.col("toxic") == 1, "FAKE_SCAM").when(F.col("quality") == 0, "SUSPICIOUS").otherwise("SAFE")
+    known = t.wide("documents").join(t("labels").select("doc_id", label.alias("label")), "doc_id")
+    model = models.fit_discriminant(known, "text", "label", MEASURES)
+    # The fitted weights travel with the function: a few numbers. A larger model would be read by `load`, once a task.
+    scored = models.score_batches(t.wide("documents"), ["doc_id"], "text", lambda: model, model.labels, "SAFE")
+    return scored.select("doc_id", "prediction", F.round("confidence", 5).alias("confidence"), F.round(F.col("probabilities")["SAFE"], 5).alias("safe_share"),
+                         "is_safe", "requires_review", "status")
+
+
 @query("experiment_metrics")
 def _(t):
     rows = _rows(t)
