@@ -128,29 +128,3 @@ def hit_statistics(marked: DataFrame) -> DataFrame:
     return marked.agg(
         hits.alias("hits"), F.count_if(F.col("is_miss")).alias("misses"),
         F.coalesce(F.try_divide(hits, n), F.lit(0.0)).alias("hit_rate"))
-
-
-STATE = T.StructType([T.StructField("busy", T.LongType())])
-
-
-def ttl_dedup_stream(events: DataFrame, key: str, ts: str, row_id: str, seconds: int = 300) -> DataFrame:
-    """Streaming form: the end of the open window is the state of each key."""
-    ttl = seconds * 1_000_000
-    fields = {f.name: f.dataType for f in events.schema}
-    schema = T.StructType([
-        T.StructField(key, fields[key]), T.StructField(row_id, fields[row_id]), T.StructField("is_miss", T.BooleanType())])
-
-    def step(group, batches, state):
-        busy = state.get[0] if state.exists else FREE
-        rows = pd.concat(list(batches)).sort_values(["us", row_id])
-        flags = []
-        for at in rows["us"]:
-            miss = at > busy
-            if miss:
-                busy = int(at) + ttl
-            flags.append(bool(miss))
-        state.update((busy,))
-        yield pd.DataFrame({key: group[0], row_id: rows[row_id].to_numpy(), "is_miss": flags})
-
-    source = events.select(key, row_id, F.unix_micros(ts).alias("us"))
-    return source.groupBy(key).applyInPandasWithState(step, schema, STATE, "append", "NoTimeout")

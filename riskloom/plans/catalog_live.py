@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import ttl
@@ -9,7 +11,7 @@ from riskloom.operators.ingest import post_metadata, quarantine
 from riskloom.plans import fixture as fx
 from riskloom.plans.registry import query
 from riskloom.sources.tables import SCHEMAS
-from riskloom.streaming import jobs
+from riskloom.streaming import jobs, stateful
 
 LOW = "lower(text)"
 HARM = ["worthless.*the", "token"]
@@ -66,9 +68,13 @@ def _(t):
 with e as (select user_id, ts from events where event_type = 'error'), w as (select user_id, date_trunc('hour', ts) + interval 1 hour + (h * interval 1 hour) as window_end from e, range(24) r(h))
 select user_id, epoch_us(window_end) as window_end_us, count(*) as n from w group by 1, 2 having count(*) >= 3""")
 def _(t):
-    errors = _stream(t, "events").filter("event_type = 'error'").select("user_id", "ts")
-    late = jobs.backlog_lateness(t("events"), "ts")
-    alerts = jobs.latest_update(jobs.output_of(jobs.sliding_alerts(errors, "user_id", "ts", 3, late), "alerts", "update"), "user_id", "window_end")
+    def build(rows):
+        return stateful.sliding_counts(rows.where("event_type = 'error' or user_id is null"), "user_id", "ts", "event_id", 3, "2 days")
+
+    rows, _ = jobs.settled_output(t.spark, t.path("events"), SCHEMAS["events"], build, "user_id", "ts", datetime.timedelta(days=4), "alerts", "update")
+    alerts, late = jobs.sliding_alerts(rows, "user_id")
+    if not late.isEmpty():
+        alerts = jobs.corrected_alerts(alerts, late, t("events").where("event_type = 'error'"), "user_id", "ts", 3)
     return alerts.select("user_id", F.unix_micros("window_end").alias("window_end_us"), "n")
 
 
@@ -94,8 +100,29 @@ def _(t):
 
 @query("stream_ttl_dedup", TTL_SQL + " select user_id, event_id, miss as is_miss from r")
 def _(t):
-    out = ttl.ttl_dedup_stream(_stream(t, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 43_200)
-    return jobs.output_of(out, "ttl").select("user_id", "event_id", "is_miss")
+    def build(rows):
+        return stateful.ttl_marks(rows, "user_id", "ts", "event_id", 43_200, "2 days")
+
+    rows, _ = jobs.settled_output(t.spark, t.path("events"), SCHEMAS["events"], build, "user_id", "ts", datetime.timedelta(days=4), "ttl")
+    marks = rows.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "is_miss", "is_late")
+    late = marks.where("is_late").select("user_id").distinct()
+    if not late.isEmpty():
+        # Keys with a late row are settled from the table.
+        again = ttl.ttl_dedup(t("events").join(late, "user_id", "left_semi").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 43_200)
+        marks = marks.join(late, "user_id", "left_anti").select("user_id", "event_id", "is_miss").unionByName(again.select("user_id", "event_id", "is_miss"))
+    return marks.select("user_id", "event_id", "is_miss")
+
+
+@query("stream_observed_counters", f"""
+select count_if(regexp_matches({LOW}, 'worthless.*the|token'))::bigint as quarantined, count_if(not regexp_matches({LOW}, 'worthless.*the|token') and {fx.sql_count_words(LOW, fx.KEYWORDS)} > 1)::bigint as flagged,
+  count(*)::bigint as processed, sum(length(text))::bigint as chars from documents""")
+def _(t):
+    from riskloom.functions.patterns import any_pattern, count_words
+    low, harm = F.lower("text"), any_pattern(F.lower("text"), HARM)
+    counters = {"quarantined": F.count_if(harm), "flagged": F.count_if(~harm & (count_words(low, fx.KEYWORDS) > 1)),
+                "processed": F.count(F.lit(1)), "chars": F.sum(F.length("text"))}
+    _, told = jobs.observed_counters(_stream(t, "documents").select("doc_id", "text"), counters, "observed")
+    return told.agg(*[F.max(f"running_{n}").alias(n) for n in counters])
 
 
 @query("retention_partition_drop", """
