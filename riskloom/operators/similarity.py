@@ -1,7 +1,7 @@
 """Exact cosine neighbours over vector tables.
 
 Few queries: their matrix (size checked) goes to every task and the vectors stay where they are.
-Many queries: queries and vectors are cut into blocks and each pair of blocks is one small task.
+Many queries: a metric index (`operators.vector_index`) tells which blocks of vectors have to be compared.
 Either way a task keeps only its k best per query, so the final ranking sees little data.
 """
 
@@ -15,14 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGITS = 6
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
+from riskloom.operators import vector_index
+from riskloom.operators.vector_index import DIGITS
+from riskloom.operators.vector_index import unit_rows as _unit
 
-def _unit(vectors) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _best(q_ids, q_unit, v_ids, v_unit, k: int, skip_self: bool, floor: float | None) -> pd.DataFrame:
@@ -67,7 +64,8 @@ def neighbours(
     if (size["n"] or 0) * (size["d"] or 0) * 8 <= MAX_BROADCAST_BYTES and size["n"] <= block:
         found = _by_broadcast(queries, vectors, k, floor, skip_self)
     else:
-        found = _by_blocks(queries, vectors, size["n"], k, floor, skip_self, block)
+        find = vector_index.k_nearest if k else vector_index.all_at_least
+        found, _ = find(queries, vectors, k, floor, skip_self, block)
     if not k:
         return found
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
@@ -100,27 +98,6 @@ def _by_broadcast(queries, vectors, k, floor, skip_self) -> DataFrame:
     return vectors.select("id", "vector").mapInPandas(scan, _SCHEMA)
 
 
-def _by_blocks(queries, vectors, n_queries, k, floor, skip_self, block) -> DataFrame:
-    n_vectors = vectors.count()
-    q_blocks, v_blocks = -(-n_queries // block), -(-n_vectors // block)
-
-    def cut(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(
-            "id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
-
-    left = cut(queries, "qb", q_blocks, "vb", v_blocks).groupBy("qb", "vb")
-    right = cut(vectors, "vb", v_blocks, "qb", q_blocks).groupBy("qb", "vb")
-
-    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "similarity": "float64"})
-        return _best(q["id"].to_numpy(np.int64), _unit(q["vector"]), v["id"].to_numpy(np.int64), _unit(v["vector"]), k, skip_self, floor)
-
-    return left.cogroup(right).applyInPandas(pair, _SCHEMA)
-
-
 def best_match(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Largest similarity per query."""
     return neighbours(queries, vectors, k=1).select("query_id", "similarity")
@@ -135,8 +112,8 @@ def head_of(vectors: DataFrame) -> DataFrame:
 def head_edges(vectors: DataFrame, heads: DataFrame, floor: float, block: int = 4096) -> DataFrame:
     """Edges (src < dst) at or above the floor among different vectors, each named by its head."""
     base = vectors.join(heads.where("id = head").select("id"), "id", "left_semi").select("id", "vector")
-    return neighbours(base, base, k=0, floor=floor, skip_self=True, block=block).filter("query_id < vec_id").select(
-        F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "similarity")
+    found, _ = vector_index.edges_at_least(base, floor, block)
+    return found.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "similarity")
 
 
 def similar_edges(vectors: DataFrame, floor: float, block: int = 4096) -> DataFrame:
