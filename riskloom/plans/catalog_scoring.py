@@ -12,6 +12,7 @@ from riskloom.operators import drift, lexicon
 from riskloom.plans import fixture as fx
 from riskloom.plans.fixture import dbl, quoted, sql_count_patterns, sql_count_words
 from riskloom.plans.registry import query
+from riskloom.sources.reference import literal_table
 
 LOW = "lower(text)"
 
@@ -137,6 +138,25 @@ def _(t):
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("known_words"))
 
 
+LOOSE = [("number", "[0-9]{16}"), ("number", r"\+1 \([0-9]+\)"), ("mark", "(!!|[|]{2})")]
+
+
+@query("lexicon_regex_matches", rf"""
+with w as (select regexp_extract_all(lower(text), '[\p{{L}}]+') as w from benchmark),
+l as (select distinct 'phrase' as category, w[i] as a, w[i + 1] as b, w[i] || 's?\s+(?:the\s+|[a-z]{{2}}\s+)?' || w[i + 1] as pattern from (select w, unnest(range(1, len(w))) as i from w)
+  union all select * from (values {', '.join(f"('{c}', '', '', {fx.quoted(p)})" for c, p in LOOSE)})),
+d as materialized (select doc_id, {LOW} as low from documents),
+near as materialized (select doc_id, low, category, pattern from d, l where contains(low, a) and contains(low, b))
+select doc_id, category, pattern from near where regexp_matches(low, pattern)""")
+def _(t):
+    from riskloom.operators.pattern_lexicon import regex_matches
+    words = t("benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    two = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(
+        F.get("w", i), F.lit(r"s?\s+(?:the\s+|[a-z]{2}\s+)?"), F.get("w", i + 1)))).alias("pattern")).distinct()
+    lexicon = two.select(F.lit("phrase").alias("category"), "pattern").unionByName(literal_table(t.spark, LOOSE, "category string, pattern string"))
+    return regex_matches(t.wide("documents"), "doc_id", "text", lexicon)
+
+
 NEW = {"ai": ("worthless", "token"), "tech": ("license", "rating", "free"), "social": ("loser",)}
 EMERGING = {"secrets": ("token =", "mail"), "abuse": ("pathetic", "stupid")}
 
