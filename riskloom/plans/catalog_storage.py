@@ -8,21 +8,24 @@ from riskloom.operators import retention
 from riskloom.plans import fixture as fx
 from riskloom.plans.registry import query
 from riskloom.session import fresh_path, spread
-from riskloom.sources import files, html, reference
+from riskloom.sources import files, html, pages, reference
+from riskloom.sources.keyed_table import KeyedTable
 from riskloom.functions.patterns import matched_words
 
 
 @query("json_array_scan", "select role, count(*) as n, sum(length(text))::bigint as chars, max(turn) as last_turn from conversations group by role")
 def _(t):
-    path = fresh_path(t.spark, "json-arrays")
-    # One file holds a run of conversations as one JSON array per line group.
-    rows = t("conversations").groupBy("conv_id", F.floor(F.col("turn") / 512)).agg(
-        F.to_json(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("value"))
-    rows.select("value").write.text(path)
-    arrays = t.spark.read.schema("value string").text(path)
-    parsed = arrays.select(F.inline(F.from_json("value", "array<struct<conv_id:long,turn:long,role:string,text:string>>")))
-    return parsed.groupBy("role").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+    base = fresh_path(t.spark, "json-arrays")
+    talks = t("conversations")
+    # Two files of arrays that have to be there, an extension that is, one that is not, and a file that is no JSON.
+    for name, part in (("even", "turn % 2 = 0"), ("odd", "turn % 2 = 1 and role <> 'user'"), ("extra", "turn % 2 = 1 and role = 'user'")):
+        files.write_json_arrays(talks.where(part), f"{base}/{name}")
+    t.spark.createDataFrame([('[{"conv_id": 1, "text": ',)], "value string").coalesce(1).write.text(base + "/broken")
+    rows, broken = files.read_json_arrays(
+        t.spark, [base + "/even", base + "/odd"], "conv_id long, turn long, role string, text string", [base + "/extra", base + "/absent", base + "/broken"])
+    if broken.count() != 1:
+        raise ValueError("one file is broken")
+    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
 
 
 @query("json_lines_round_trip", "select lang, count(*) as n, sum(length(text))::bigint as chars from documents group by lang")
@@ -86,6 +89,20 @@ def _(t):
     return retention.upsert(old, new, ["id"], ["at"]).select("id", "segment")
 
 
+@query("keyed_table_upserts", """
+with o as (select c_custkey as id, c_mktsegment as segment, timestamp '1990-01-01' as at from customer),
+n as (select o_custkey as id, o_orderpriority as segment, o_orderdate as at from orders where o_orderkey % 97 = 0 qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderpriority desc) = 1)
+select id, segment, version from (select coalesce(n.id, o.id) as id, coalesce(n.segment, o.segment) as segment, case when n.id is null then 0 else 1 end as version from o full join n on n.id = o.id) where segment <> '5-LOW'""")
+def _(t):
+    table = KeyedTable(t.spark, fresh_path(t.spark, "keyed"), "id long, at timestamp, segment string, version int", ["id"], ["at", "segment"])
+    table.upsert(t("customer").select(F.col("c_custkey").alias("id"), F.lit("1990-01-01").cast("timestamp").alias("at"), F.col("c_mktsegment").alias("segment"), F.lit(0).alias("version")))
+    # The second version: a change for the customers of some orders; customers whose newest order is of low priority leave.
+    changes = t("orders").where("o_orderkey % 97 = 0").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("segment"), F.lit(1).alias("version"))
+    table.upsert(changes, gone=F.col("segment") == "5-LOW")
+    return table.read().select("id", "segment", "version")
+
+
 @query("nested_report_sink", """
 select count(*) as total, round(avg(n_chars), 6) as avg_chars, (select string_agg(lang || '=' || n, ',' order by lang) from (select lang, count(*) as n from documents group by 1)) as by_lang from documents""")
 def _(t):
@@ -115,13 +132,21 @@ def _(t):
 
 
 @query("reference_table_fallback", """
-with b(event_type, weight) as (values ('click', 1.0::double), ('error', 5.0::double), ('view', 0.5::double))
-select event_type, count(*) as n, round(sum(weight), 6) as weight from events join b using (event_type) group by 1""")
-def _(t):
-    table = reference.load_or_default(
-        t.spark, fresh_path(t.spark, "absent"), "event_type string, weight double", [("click", 1.0), ("error", 5.0), ("view", 0.5)])
-    return t("events").join(table, "event_type").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+with b(event_type, weight) as (values ('click', 1.0::double), ('error', 5.0::double), ('view', 0.5::double)),
+f as (select event_type, round(avg(value), 3) as weight from events group by 1)
+select 'default' as origin, event_type, count(*) as n, round(sum(weight), 6) as weight from events join b using (event_type) group by 2
+union all select 'file', event_type, count(*), round(sum(weight), 6) from events join f using (event_type) group by 2""")
+def _(t):
+    schema, default = "event_type string, weight double", [("click", 1.0), ("error", 5.0), ("view", 0.5)]
+    path = fresh_path(t.spark, "reference")
+    t("events").groupBy("event_type").agg(F.round(F.avg("value"), 3).alias("weight")).write.json(path)
+    out = None
+    for origin, where in (("default", fresh_path(t.spark, "absent")), ("file", path)):
+        table = reference.load_or_default(t.spark, where, schema, default)
+        found = t("events").join(table, "event_type").groupBy(F.lit(origin).alias("origin"), "event_type").agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("pattern_export", "select count(*) as n, round(sum(embedding[1]::double), 6) as s, count(distinct label) as labels, min(len(embedding))::int as dims from embeddings")
@@ -154,6 +179,28 @@ def _(t):
     return texts.select("page_id", F.sha2("page_text", 256).alias("digest"))
 
 
+PREVIEWED = "contains(url, '.example.net')"
+
+
+def _social_pages(t):
+    """The pages with social tags and a preview block that nests others, in front of what they hold."""
+    page = F.col("page_id").cast("string")
+    front = F.concat(
+        F.lit('<head><meta content="Offer &amp; deal '), page, F.lit('" property="og:title"><meta name="twitter:description" content="Seen on page '), page,
+        F.lit('"><meta property="og:image" content="'), F.when(F.col("page_id") % 3 == 0, "/local.png").otherwise("https://img.example/1.png"),
+        F.lit('"></head><div class="a"><div data-ad-preview="m">Buy <div>now <div>at</div> once</div> '), page, F.lit("</div><div>apart</div></div>"))
+    return spread(t("pages").select("page_id", "url", F.concat(front, "html").alias("html")))
+
+
+@query("page_parts", rf"""
+with x as (select page_id, trim(regexp_replace({UNESCAPED.format("coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '')")}, '\s+', ' ', 'g')) as title, {PREVIEWED} as shown from pages)
+select page_id, title || case when title = '' then '' else ' ' end || 'Offer & deal ' || page_id || ' Seen on page ' || page_id || case when shown then ' Buy now at once ' || page_id else '' end as page_text,
+  case when page_id % 3 <> 0 then 'https://img.example/1.png' end as image from x""")
+def _(t):
+    parts = pages.page_parts(_social_pages(t), "html", ["page_id", "url"])
+    return pages.with_text(parts, F.expr(PREVIEWED)).select("page_id", "page_text", pages.image_link().alias("image"))
+
+
 @query("thumbnail_link", r"""
 select page_id, case when contains(url, '.example.net') and regexp_matches(url, '[?&]page=') then 'https://img.example/vi/' || regexp_extract(url, '[?&]page=([^&#]*)', 1) || '/hq.jpg' end as thumbnail from pages""")
 def _(t):
