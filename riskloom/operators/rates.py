@@ -2,47 +2,93 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from riskloom.functions import fixed_values as fixed
 from riskloom.functions.patterns import uni
 from riskloom.functions.text import parse_number
 from riskloom.sources.reference import literal_table
 
-# Plain classes with the Unicode cases spelled out run several times faster than Unicode mode.
 NUMBER = r"(?:[0-9]{1,3}(?:[\.,][0-9]{3})+|[0-9]+(?:[\.,][0-9]+)?)"
-BLANKS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
-_START, _FIELD, _END = "\x01", "\x02", "\x03"
+#: White space of all kinds, spelled out so that every engine reads it alike.
+BLANKS = "[ \\t\\n\\x0b\\f\\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
 
 
-def mentions(text: Column, units: Sequence[str]) -> Column:
-    """All `number unit` mentions of a lower-cased text as array<struct<pos, raw, unit>>.
+@lru_cache(maxsize=64)
+def _mention_pattern(units: tuple[str, ...]):
+    longest = sorted(units, key=lambda u: (-len(u), u))
+    return regex.compile(rf"({NUMBER})({BLANKS})({'|'.join(regex.escape(u) for u in longest)})(?![\p{{L}}\p{{N}}\p{{M}}_])")
+
+
+def found_mentions(text: str, units: Sequence[str]) -> Iterator[tuple[int, str, str]]:
+    """(pos, raw, unit) of each `number unit` in a lower-cased text, in order. One pass, whatever the number of mentions."""
+    for m in _mention_pattern(tuple(units)).finditer(text):
+        yield m.start(), m[1], m[3]
+
+
+def found_pairs(text: str, prices: Sequence[str], items: Sequence[str], proximity: int) -> Iterator[tuple[int, str, str, int, str, str]]:
+    """(price_pos, price, unit, item_pos, amount, alias) of the price and item mentions that start within `proximity` of each other.
 
-    Each match is fenced with control characters and the text split at the fences; the lengths of
-    the pieces before a match add up to its position. One pass, no Python.
+    One search finds both kinds: every mention ends at its unit, so the kinds cannot overlap. A window moves over the items in
+    order, so a text costs its mentions and its pairs.
     """
-    longest = sorted(units, key=lambda u: (-len(u), u))
-    pattern = rf"({NUMBER})({BLANKS})({'|'.join(re.escape(u) for u in longest)})(?![\p{{L}}\p{{N}}\p{{M}}_])"
-    plain = F.translate(text, _START + _FIELD + _END, "   ")
-    pieces = F.split(F.regexp_replace(plain, pattern, f"{_START}$1{_FIELD}$2{_FIELD}$3{_END}"), _START)
-    # Pieces after the first hold three marks that the text did not have.
-    found = F.array().cast("array<struct<pos:int,raw:string,unit:string>>")
+    kinds = {u.lower() for u in prices}
+    every = list(found_mentions(text, (*prices, *items)))
+    wares, low = [m for m in every if m[2] not in kinds], 0
+    for pos, raw, unit in (m for m in every if m[2] in kinds):
+        while low < len(wares) and wares[low][0] < pos - proximity:
+            low += 1
+        for k in range(low, len(wares)):
+            if wares[k][0] > pos + proximity:
+                break
+            yield pos, raw, unit, *wares[k]
+
+
+MENTION = "pos int, raw string, unit string"
+
+
+def register_mentions(spark: SparkSession, units: Sequence[str], name: str = "mentions") -> str:
+    """A table function for SQL: `SELECT ... FROM t, LATERAL mentions(lower(text))` gives a row (pos, raw, unit) a mention."""
+    wanted = tuple(units)
 
-    def step(acc: Column, p: Column) -> Column:
-        field = F.contains(p, F.lit(_FIELD))
-        hit = F.struct(
-            acc["at"].alias("pos"), F.split_part(p, F.lit(_FIELD), F.lit(1)).alias("raw"),
-            F.split_part(F.split_part(p, F.lit(_FIELD), F.lit(3)), F.lit(_END), F.lit(1)).alias("unit"))
-        return F.struct(
-            (acc["at"] + F.length(p) - F.when(field, 3).otherwise(0)).alias("at"),
-            F.when(field, F.array_append(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+    @udtf(returnType=MENTION)
+    class Mentions:
+        def eval(self, text: str):
+            yield from found_mentions(text or "", wanted)
 
-    start = F.struct(F.lit(0).alias("at"), found.alias("found"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    spark.udtf.register(name, Mentions)
+    return name
+
+
+def mention_rows(df: DataFrame, key: str, text: str, units: Sequence[str]) -> DataFrame:
+    """(key, pos, raw, unit): a row per mention of the lower-cased text."""
+    wanted = tuple(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *m) for i, t in enumerate(batch.column(1)) for m in found_mentions(t.as_py(), wanted)]
+            yield _generated(batch, rows, [("pos", pa.int32()), ("raw", pa.string()), ("unit", pa.string())])
+
+    return _lowered(df, key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {MENTION}")
+
+
+def _lowered(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+
+
+def _generated(batch: pa.RecordBatch, rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """The first column of the batch beside rows that start with a row number of the batch."""
+    cols = list(zip(*rows)) if rows else [()] * (len(columns) + 1)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(cols[1:], columns)]],
+        [batch.schema.names[0], *[n for n, _ in columns]])
 
 
 def band_table(spark: SparkSession, bands=fixed.RATE_BANDS) -> DataFrame:
@@ -57,22 +103,19 @@ def rate_pairs(
     units: Sequence[str] = fixed.PRICE_UNITS,
 ) -> DataFrame:
     """Price and item mentions of one text that start within `proximity` characters."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    # One search finds both kinds: every mention ends at its unit, so the kinds cannot overlap.
-    found = df.select(F.col(key), mentions(low, [*units, *aliases]).alias("found"))
-    is_price = [u.lower() for u in units]
-    both = found.select(
-        key, F.filter("found", lambda m: m["unit"].isin(is_price)).alias("prices"),
-        F.filter("found", lambda m: ~m["unit"].isin(is_price)).alias("items"))
-    # Outer explodes: a plain one lets the optimizer push a copy of the mention search into a filter.
-    prices = both.select(key, F.explode_outer("prices").alias("p"), "items")
-    pairs = prices.select(key, "p", F.explode_outer(
-        F.filter("items", lambda i: F.abs(i["pos"] - F.col("p")["pos"]) <= proximity)).alias("i")).filter("i is not null")
-    amount = parse_number(F.col("p.raw"))
+    prices, items = tuple(units), tuple(aliases)
+    shape = [("price_pos", pa.int32()), ("price_raw", pa.string()), ("unit", pa.string()), ("item_pos", pa.int32()), ("item_raw", pa.string()), ("item", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _generated(batch, [(i, *m) for i, t in enumerate(batch.column(1)) for m in found_pairs(t.as_py(), prices, items, proximity)], shape)
+
+    pairs = _lowered(df, key, text).mapInArrow(
+        run, f"`{key}` {df.schema[key].dataType.simpleString()}, price_pos int, price_raw string, unit string, item_pos int, item_raw string, item string")
+    price = parse_number(F.col("price_raw"))
     return pairs.select(
-        key, F.col("p.pos").alias("price_pos"), F.col("i.pos").alias("item_pos"),
-        F.when(F.col("p.unit") == "k", amount * 1000.0).otherwise(amount).alias("price"),
-        parse_number(F.col("i.raw")).alias("amount"), F.trim(F.col("i.unit")).alias("alias"),
+        key, "price_pos", "item_pos", F.when(F.col("unit") == "k", price * 1000.0).otherwise(price).alias("price"),
+        parse_number(F.col("item_raw")).alias("amount"), F.trim("item").alias("alias"),
     ).filter((F.col("price") > 0) & (F.col("amount") > 0))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import written
+
 
 def group_count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
@@ -67,50 +69,69 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     return spine.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def exact_quantiles(
-    df: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = 10_000
-) -> DataFrame:
-    """Linear-interpolated quantiles per key, exact, without gathering a key in one place.
+#: Counted cells a bracket is cut into per round.
+CELLS = 1024
+
+
+def _cell(v: str, lo: str, hi: str) -> Column:
+    """Cell of a value within [lo, hi]: both ends have cells of their own, so a bracket of two values always splits."""
+    x, a, b = F.col(v), F.col(lo), F.col(hi)
+    # Halves, so that the width of any two finite numbers is finite.
+    place = F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * (CELLS - 2)).cast("int")
+    return F.when(x == a, 0).when(x == b, CELLS - 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(CELLS - 2), F.coalesce(place, F.lit(1)))))
+
+
+def _narrowed(targets: DataFrame, cells: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Targets (key, r, below, lo, hi) moved to the counted cell (c, n, lo, hi) that holds rank r."""
+    listed = cells.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("c", "n", "lo", "hi"))).alias("cells"))
+    # At most CELLS entries a list.
+    start = F.struct(F.col("below").alias("below"), F.lit(None).cast("struct<c:int,n:bigint,lo:double,hi:double>").alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc["hit"].isNull() & (F.col("r") < acc["below"] + x["n"])
+        return F.struct(F.when(acc["hit"].isNull() & ~here, acc["below"] + x["n"]).otherwise(acc["below"]).alias("below"),
+                        F.when(here, x).otherwise(acc["hit"]).alias("hit"))
+
+    found = targets.join(listed, on).withColumn("_at", F.aggregate("cells", start, step))
+    return found.select(key, "r", F.col("_at.below").alias("below"), F.col("_at.hit.lo").alias("lo"), F.col("_at.hit.hi").alias("hi"))
 
-    A sketch per key brackets each wanted rank. A second scan counts what lies below the bracket
-    and keeps only the values inside it, so just about 1/500 of the rows reach the window.
+
+def values_at_ranks(rows: DataFrame, key: str, value: str, ranks: DataFrame, most_rounds: int = 400) -> DataFrame:
+    """(key, r, value): the value at rank r (from 0, ascending) of each key, exact. `rows` has no null values; `ranks`: key, r.
+
+    Rounds of refinement: values between the ends of a rank's bracket are counted in cells, before the shuffle, and the
+    cell that holds the rank becomes the bracket, with the least and greatest value found in it as its ends. A bracket of one
+    value is done. Neither a key nor a bracket is ever gathered or sorted, and each round reads only what its brackets hold.
     """
-    slack = 0.001 + 10 / accuracy
-    edges = [min(max(q, 0.0), 1.0) for p in probs for q in (p - slack, p + slack)]
+    v = rows.select(F.col(key), F.col(value).cast("double").alias("v"))
+    span = v.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # The first cells are the same for all ranks of a key: one count serves them all.
+    first = v.join(span, key).groupBy(key, _cell("v", "lo", "hi").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    targets = written(_narrowed(ranks.select(key, "r", F.lit(0).cast("long").alias("below")), first, [key], key), "ranks")
+    for _ in range(most_rounds):
+        open_ones = targets.where("lo < hi")
+        if open_ones.isEmpty():
+            return targets.select(key, "r", F.col("lo").alias("value"))
+        inside = v.join(open_ones, key).where("v >= lo and v <= hi")
+        cells = inside.groupBy(key, "r", _cell("v", "lo", "hi").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        moved = _narrowed(open_ones.select(key, "r", "below"), cells, [key, "r"], key)
+        targets = written(moved.unionByName(targets.where("lo = hi")), "ranks")
+    raise RuntimeError("brackets did not close")
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """(key, p, q): linear-interpolated quantiles per key, exact, without gathering a key in one place."""
     rows = df.select(key, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    sketch = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-    )
-    wanted = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        # In small groups the slack is less than a few ranks: their bracket is the whole group.
-        small = F.col("_n") < 5 / slack
-        low = F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i])
-        high = F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
-        wanted.append(F.struct(
-            F.lit(float(p)).alias("p"), F.floor(h).alias("r0"), F.ceil(h).alias("r1"),
-            (h - F.floor(h)).alias("frac"), low.alias("lo"), high.alias("hi")))
-    brackets = sketch.select(key, F.explode(F.array(*wanted)).alias("w")).select(key, "w.*")
-    near = rows.join(brackets, key).filter(F.col("_v") <= F.col("hi"))
-    # Everything under the bracket collapses into one counted row before the shuffle.
-    counted = near.groupBy(
-        key, "p", "r0", "r1", "frac",
-        F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"),
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(
-        Window.partitionBy(key, "p").orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
-
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col("_lo") <= F.col(rank)) & (F.col(rank) < F.col("_hi")), F.col("_v")))
-
-    return (
-        ranked.groupBy(key, "p", "frac").agg(at("r0").alias("_a"), at("r1").alias("_b"))
-        .select(key, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac")).alias("q"))
-    )
+    sizes = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    h = (F.col("n") - 1) * F.col("p")
+    wanted = sizes.select(key, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).select(
+        key, "p", F.floor(h).alias("r0"), F.ceil(h).alias("r1"), (h - F.floor(h)).alias("frac"))
+    ranks = wanted.select(key, F.explode(F.array("r0", "r1")).alias("r")).distinct()
+    at = values_at_ranks(rows, key, "_v", ranks)
+    low, high = at.select(key, F.col("r").alias("r0"), F.col("value").alias("a")), at.select(key, F.col("r").alias("r1"), F.col("value").alias("b"))
+    both = wanted.join(low, [key, "r0"]).join(high, [key, "r1"])
+    # Equal neighbours need no step between them; infinite ones would make it undefined.
+    return both.select(key, "p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("q"))
 
 
 def box_statistics(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -65,12 +65,19 @@ def _hits(t):
 @query("quantity_mentions", rf"""with {OFFERS_SQL}, pr as ({_found('vnd|k')}), it as ({_found(ITEMS)})
 select offer_id, 'price' as kind, pos, raw, unit, count(*) as n from pr group by all union all select offer_id, 'item', pos, raw, unit, count(*) from it group by all""")
 def _(t):
-    low = F.lower("text")
-    both = _offers(t).select("offer_id", F.explode(F.array(
-        F.struct(F.lit("price").alias("kind"), rates.mentions(low, ["vnd", "k"]).alias("found")),
-        F.struct(F.lit("item").alias("kind"), rates.mentions(low, KNOWN).alias("found")))).alias("m"))
-    found = both.select("offer_id", "m.kind", F.explode_outer("m.found").alias("f")).filter("f is not null")
-    return found.groupBy("offer_id", "kind", "f.pos", "f.raw", "f.unit").agg(F.count(F.lit(1)).alias("n"))
+    offers = _offers(t)
+    found = rates.mention_rows(offers, "offer_id", "text", ["vnd", "k"]).withColumn("kind", F.lit("price")).unionByName(
+        rates.mention_rows(offers, "offer_id", "text", KNOWN).withColumn("kind", F.lit("item")))
+    return found.groupBy("offer_id", "kind", "pos", "raw", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mentions_lateral", rf"""with {OFFERS_SQL}, pr as ({_found('vnd|k')})
+select unit, count(*) as n, min(pos) as first_pos, max(pos) as last_pos, sum(length(raw))::bigint as digits from pr group by 1""")
+def _(t):
+    name = rates.register_mentions(t.spark, ["vnd", "k"])
+    found = t.spark.sql(f"select unit, pos, raw from {{offers}} o, lateral {name}(lower(o.text))", offers=_offers(t))
+    return found.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
+                                     F.sum(F.length("raw")).alias("digits"))
 
 
 @query("mention_pairs_nearby", rf"""with {PAIRS_SQL} select offer_id, price_pos, item_pos, price, amount, alias, count(*) as n from pairs group by all""")
@@ -123,19 +130,27 @@ def _(t):
 CHANNELS = [("store", ["the hein", "license"]), ("shop", ["token", "rating", "mail3.example"]), ("help", ["nicht", "que la"])]
 
 
-@query("trusted_channels", r"""
-with f as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[\-–—_/|:;,\.\(\)\[\]\{\}!]+', ' ', 'g'), '\s+', ' ', 'g')) as t from documents),
-h as (select doc_id, concat_ws(',', case when contains(t, 'the hein') or contains(t, 'license') then 'store' end, case when contains(t, 'token') or contains(t, 'rating') or contains(t, 'mail3 example') then 'shop' end,
+#: tf: texts in the form channels are looked for; th: what is found; ts: the verdict on the source.
+TRUSTED_SQL = r"""tf as (select doc_id, text, trim(regexp_replace(regexp_replace(lower(text), '[\-–—_/|:;,\.\(\)\[\]\{\}!]+', ' ', 'g'), '\s+', ' ', 'g')) as t from documents),
+th as (select doc_id, text, concat_ws(',', case when contains(t, 'the hein') or contains(t, 'license') then 'store' end, case when contains(t, 'token') or contains(t, 'rating') or contains(t, 'mail3 example') then 'shop' end,
    case when contains(t, 'nicht') or contains(t, 'que la') then 'help' end) as channels,
   (contains(t, 'the hein') or contains(t, 'license'))::int + (contains(t, 'token') or contains(t, 'rating') or contains(t, 'mail3 example'))::int + (contains(t, 'nicht') or contains(t, 'que la'))::int as n,
   regexp_matches(t, 'free')::int + regexp_matches(t, 'thing')::int + regexp_matches(t, 'dans')::int >= 2 as promo, regexp_matches(t, 'worthless') as warned,
-  regexp_matches(t, 'pathetic') or contains(t, 'idiot') as risky, regexp_matches(t, 'loser') or contains(t, 'secret') as cred from f),
-s as (select *, risky or (cred and not warned) as prompt from h)
+  regexp_matches(t, 'pathetic') or contains(t, 'idiot') as risky, regexp_matches(t, 'loser') or contains(t, 'secret') as cred from tf),
+ts as (select *, risky or (cred and not warned) as prompt from th)"""
+
+
+def trusted_documents(t):
+    """Documents with the source check, channels and patterns that occur in the base tables."""
+    return trusted.trusted_source(
+        spread(t("documents").select("doc_id", "text")), "text", CHANNELS, ["free", "thing", "dans"], ["worthless"], ["pathetic"], ["loser"],
+        ["idiot", "secret"], ["secret"])
+
+
+@query("trusted_channels", "with " + TRUSTED_SQL + """
 select doc_id, channels, n as trusted_hits, promo as official_promo, prompt as risky_prompt, (n > 0 or promo) and not prompt as safe_reference,
-  round(case when (n > 0 or promo) and not prompt then least(0.10::double + n * 0.05::double + case when promo then 0.06::double else 0 end, 0.40::double) else 0 end, 6) as safe_discount from s""")
+  round(case when (n > 0 or promo) and not prompt then least(0.10::double + n * 0.05::double + case when promo then 0.06::double else 0 end, 0.40::double) else 0 end, 6) as safe_discount from ts""")
 def _(t):
-    out = trusted.trusted_source(
-        t("documents").select("doc_id", "text"), "text", CHANNELS, ["free", "thing", "dans"], ["worthless"], ["pathetic"], ["loser"],
-        ["idiot", "secret"], ["secret"])
+    out = trusted_documents(t)
     return out.select("doc_id", F.array_join("channels", ",").alias("channels"), "trusted_hits", "official_promo", "risky_prompt",
                       "safe_reference", F.round("safe_discount", 6).alias("safe_discount"))
