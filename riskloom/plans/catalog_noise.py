@@ -27,10 +27,8 @@ def _(t):
                        F.sha2("perturbed_text", 256).alias("digest"))
 
 
-# With probability 0 a step never changes the text, so part of the report has an exact twin.
-@query("noise_report", """
-select 'share_pct' as section, 'case' as key, 0.0::double as value union all select 'mean', 'perturbation_score', 0.0::double
-union all select 'count_lang', lang, count(*)::double from documents group by lang""")
+# The draws have no SQL form; a test holds the shares against the flags of noise_all_kinds.
+@query("noise_report")
 def _(t):
-    rows = noise.augment(t("documents").select("doc_id", "text", "lang"), "doc_id", "text", 42, ["case"], {"case": -1.0})
-    return noise.noise_report(rows, ["case"], ["lang"])
+    rows = noise.augment(spread(t("documents").select("doc_id", "text", "lang")), "doc_id", "text")
+    return noise.noise_report(rows, list(noise.STEP_PROBABILITY), ["lang"])

@@ -9,10 +9,11 @@ from riskloom.functions import scores
 from riskloom.functions import text as tx
 from riskloom.operators import lexicon, rates
 from riskloom.plans import detector, fixture as fx, fusion, guards
-from riskloom.plans.catalog_rates import ALIASES, KNOWN, PAIRS_SQL
+from riskloom.plans.catalog_rates import ALIASES, KNOWN, PAIRS_SQL, TRUSTED_SQL, trusted_documents
 from riskloom.plans.fixture import quoted, sql_count_patterns, sql_count_words
 from riskloom.plans.registry import query
-from riskloom.session import spread
+from riskloom.session import fresh_path, spread
+from riskloom.sources.reference import literal_table
 
 LOW = "lower(text)"
 
@@ -61,8 +62,16 @@ RULES = detector.DetectorRules(
 )
 
 
-def _detector_sql(frame: str, rate: bool) -> str:
-    """The detector spelled out over `frame(id, text)` (plus risk and severity when `rate`)."""
+def _detector_sql(frame: str, rate: bool, trust: bool = False) -> str:
+    """The detector spelled out over `frame(id, text)` (plus risk and severity when `rate`, plus the source check when `trust`)."""
+    if trust:
+        source, against = "(trusted_hits > 0 or official_promo)", "((trusted_hits > 0 or official_promo) and risky_prompt)"
+        relief = f"case when {source} and not risky_prompt and safe_reference then safe_discount else 0 end"
+        promo = f"(official_promo or safe_reference) and not (theft or sev = 'scam' or laun or n_shortlink > 0 or {against}) and not risky_prompt"
+        trust_flags = (f"case when {source} then 'SAFE_ROBLOX_SOURCE' end, case when official_promo then 'OFFICIAL_ROBLOX_PROMO_CONTEXT' end, "
+                       f"case when {against} then 'SAFE_SOURCE_CONTRADICTION:risky_prompt_detected' end, ")
+    else:
+        relief, promo, against, trust_flags = "0", "false", "false", ""
     n = {k: sql_count_patterns("t", v) for k, v in RULES.signals.items()}
     tag = r"regexp_extract_all(t, '#([a-z0-9_]{4,64})', 1)"
     return f"""
@@ -82,16 +91,17 @@ h as (select *, {", ".join(f"{n[k]} as n_{k}" for k in n)},
   len(list_filter(list_distinct(regexp_extract_all(t, '#([\\p{{L}}\\p{{N}}_]+)', 1)), lambda g: len(list_filter(regexp_extract_all(t, '#([\\p{{L}}\\p{{N}}_]+)', 1), lambda x: x = g)) >= 3)) as tags,
   {"coalesce(rate_risk, 0)::double" if rate else "0.0::double"} as rr, {"coalesce(top_severity, '')" if rate else "''"} as sev from l),
 d as (select *, item and giv and rec as dbl, coalesce(item and ratio >= 30, false) as unreal, coalesce(item and ratio >= 15 and ratio < 30, false) as odd from h),
-b as (select *, least(n_pay_first * 0.4::double, 0.4::double) + case when dbl then 0.45::double else 0 end + case when item and peer > 0 then 0.3::double else 0 end
+b as (select *, greatest(least(n_pay_first * 0.4::double, 0.4::double) + case when dbl then 0.45::double else 0 end + case when item and peer > 0 then 0.3::double else 0 end
   + case when fused then 0.6::double else 0 end + case when laun then 0.38::double else 0 end + case when laun and board then 0.34::double else 0 end
-  + least(n_doubling * 0.2::double, 0.5::double) + rr + least(n_takeover * 0.2::double, 0.55::double) + case when unreal then 0.4::double when odd then 0.15::double else 0 end
+  + least(n_doubling * 0.2::double, 0.5::double) + rr - {relief}, 0) + least(n_takeover * 0.2::double, 0.55::double) + case when unreal then 0.4::double when odd then 0.15::double else 0 end
   + least(n_crypto * 0.18::double, 0.55::double) + n_send_receive * 0.35::double + n_money_doubling * 0.25::double + least(n_giveaway * 0.15::double, 0.45::double)
   + least(n_shortlink * 0.15::double, 0.4::double) + least((f1::int + f2::int) * 0.12::double, 0.5::double) + least(n_urgency * 0.08::double, 0.3::double)
   + least(n_slang * 0.05::double, 0.15::double) + least(n_trust * 0.08::double, 0.2::double) + least(emoji * 0.02::double, 0.1::double)
   + case when caps > 0.3::double then least(caps * 0.3::double, 0.15::double) else 0 end + least(tags * 0.12::double, 0.25::double) as base from d),
 c1 as (select *, base + case when border > 0 and base < 0.20::double then least(border * 0.06::double, 0.18::double) else 0 end as s1,
   n_pay_first > 0 or n_takeover > 0 or dbl or n_doubling > 0 or unreal as theft, item and question and talk as asked from b),
-c2 as (select *, case when asked and not exec and not theft then least(s1, 0.39::double) else s1 end as s2,
+c2 as (select *, greatest(least(case when asked and not exec and not theft then least(s1, 0.39::double) else s1 end, case when {promo} then 0.18::double else 1e9::double end),
+   case when {against} and ask then 0.58::double when {against} then 0.40::double else 0 end) as s2,
   dbl or n_doubling > 0 or n_takeover > 0 or unreal or laun as gs from c1),
 c3 as (select *, greatest(s2 - case when gs then least(benign * 0.1::double, 0.2::double) else least(benign * 0.25::double, 0.6::double) end, 0) as s3 from c2),
 c4 as (select *, greatest(s3 - case when tut and not tutrisk then 0.4::double else 0 end, 0) as s4 from c3),
@@ -102,7 +112,7 @@ verdict as (select *, case when score >= 0.40::double then 'FAKE_SCAM' when scor
   concat_ws(',', case when n_pay_first > 0 then 'FINANCIAL_SCAM:pay_first_scheme' end, case when dbl then 'GAMING_DOUBLING_SCAM:give_receive_pattern' end,
    case when not dbl and item and (act or rec) then 'GAMING_SCAM_CONTEXT' end, case when item and peer > 0 then 'RISKY_P2P_TRADING' end, case when fused then 'SQUASHED_HASHTAG_SCAM' end,
    case when laun then 'HASHTAG_ROBUX_LAUNDERING' end, case when laun and board then 'HASHTAG_PRICEBOARD_SCAM_COMBO' end, case when n_doubling > 0 then 'GAMING_DOUBLING_SCAM:explicit' end,
-   case when sev = 'scam' then 'PRICE_ANOMALY_SCAM' end, case when sev = 'suspicious' then 'PRICE_ANOMALY_SUSPICIOUS' end, case when n_takeover > 0 then 'ACCOUNT_TAKEOVER' end,
+   case when sev = 'scam' then 'PRICE_ANOMALY_SCAM' end, case when sev = 'suspicious' then 'PRICE_ANOMALY_SUSPICIOUS' end, {trust_flags}case when n_takeover > 0 then 'ACCOUNT_TAKEOVER' end,
    case when unreal then 'UNREALISTIC_RATIO' end, case when odd then 'SUSPICIOUS_RATIO' end, case when n_crypto > 0 then 'FINANCIAL_SCAM:crypto_keywords' end,
    case when n_send_receive > 0 then 'FINANCIAL_SCAM:send_receive_doubling' end, case when n_money_doubling > 0 then 'FINANCIAL_SCAM:money_doubling' end,
    case when n_giveaway > 0 then 'FAKE_REWARD:giveaway_prize' end, case when n_shortlink > 0 then 'SHORTLINK_SUSPICIOUS' end, case when f1 then 'FINANCIAL_SCAM:alpha' end,
@@ -134,6 +144,27 @@ def _(t):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("rule_detector_with_trusted_source", f"""with {TRUSTED_SQL},
+docs as (select doc_id, text, n as trusted_hits, promo as official_promo, prompt as risky_prompt, (n > 0 or promo) and not prompt as safe_reference,
+  case when (n > 0 or promo) and not prompt then least(0.10::double + n * 0.05::double + case when promo then 0.06::double else 0 end, 0.40::double) else 0 end as safe_discount from ts),""" + _detector_sql("docs", False, True).replace("\\\\", "\\") + """
+select doc_id, round(score, 6) as risk_score, prediction, risk_level, flags from verdict""")
+def _(t):
+    # The source check adds its columns to the row, so the detector needs no join.
+    out = detector.detect(trusted_documents(t), "text", RULES)
+    return out.select("doc_id", F.round("risk_score", 6).alias("risk_score"), "prediction", "risk_level", F.array_join("flags", ",").alias("flags"))
+
+
+@query("rule_detector_from_table", "with docs as (select doc_id, text from documents)," + _detector_sql("docs", False).replace("\\\\", "\\") + """
+select doc_id, round(score, 6) as risk_score, prediction, flags from verdict""")
+def _(t):
+    # The same rules kept as a table, as a deployment would: written, read back and checked for size.
+    path = fresh_path(t.spark, "rules")
+    literal_table(t.spark, detector.rule_rows(RULES), detector.RULE_SCHEMA).write.parquet(path)
+    rules = detector.load_rules(t.spark.read.schema(detector.RULE_SCHEMA).parquet(path))
+    out = detector.detect(spread(t("documents").select("doc_id", "text")), "text", rules)
+    return out.select("doc_id", F.round("risk_score", 6).alias("risk_score"), "prediction", F.array_join("flags", ",").alias("flags"))
+
+
 SCAM_WORDS = ["worthless", "pathetic", "token =", "secret", "[0-9]"]
 WATCH_WORDS = ["license", "rating", "free", "only"]
 

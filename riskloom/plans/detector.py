@@ -207,6 +207,23 @@ def detect(df: DataFrame, text: str, rules: DetectorRules) -> DataFrame:
     return out.select(*df.columns, "risk_score", "prediction", "risk_level", "confidence", "flags")
 
 
+RULE_SCHEMA = "section string, name string, ordinal int, pattern string"
+#: Sections whose entries are pairs are stored as two rows each, one after the other.
+_PAIRS = ("tag_pairs",)
+
+
+def rule_rows(rules: DetectorRules) -> list[tuple[str, str, int, str]]:
+    """The rules as rows of RULE_SCHEMA: what `load_rules` reads."""
+    rows = []
+    for section, value in vars(rules).items():
+        if isinstance(value, Mapping):
+            rows += [(section, name, i, p) for name, own in value.items() for i, p in enumerate(own)]
+        else:
+            flat = [value] if isinstance(value, str) else [p for pair in value for p in pair] if section in _PAIRS else value
+            rows += [(section, "", i, p) for i, p in enumerate(flat)]
+    return rows
+
+
 def load_rules(table: DataFrame, limit: int = 20_000) -> DetectorRules:
     """Rules from a (section, name, ordinal, pattern) table. Its size is checked before it is read."""
     rows = table.select("section", "name", "ordinal", "pattern").orderBy("section", "name", "ordinal").take(limit + 1)
@@ -215,7 +232,13 @@ def load_rules(table: DataFrame, limit: int = 20_000) -> DetectorRules:
     nested: dict[str, dict[str, list[str]]] = {}
     for r in rows:
         nested.setdefault(r["section"], {}).setdefault(r["name"], []).append(r["pattern"])
-    lists = {s: names[""] for s, names in nested.items() if "" in names}
+    lists: dict[str, object] = {s: names[""] for s, names in nested.items() if "" in names}
+    for section in _PAIRS:
+        if section in lists:
+            flat = lists[section]
+            lists[section] = list(zip(flat[::2], flat[1::2]))
+    if "tag_item" in lists:
+        lists["tag_item"] = lists["tag_item"][0]
     return DetectorRules(signals=nested.get("signals", {}), finance=nested.get("finance", {}), **lists)
 
 
