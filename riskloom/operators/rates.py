@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -22,15 +23,21 @@ BLANKS = "[ \\t\\n\\x0b\\f\\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 
 
 @lru_cache(maxsize=64)
-def _mention_pattern(units: tuple[str, ...]):
+def _mention_pattern(units: tuple[str, ...]) -> re.Pattern:
     longest = sorted(units, key=lambda u: (-len(u), u))
-    return regex.compile(rf"({NUMBER})({BLANKS})({'|'.join(regex.escape(u) for u in longest)})(?![\p{{L}}\p{{N}}\p{{M}}_])")
+    return re.compile(rf"({NUMBER}){BLANKS}({'|'.join(re.escape(u) for u in longest)})(?!\w)")
 
 
 def found_mentions(text: str, units: Sequence[str]) -> Iterator[tuple[int, str, str]]:
     """(pos, raw, unit) of each `number unit` in a lower-cased text, in order. One pass, whatever the number of mentions."""
-    for m in _mention_pattern(tuple(units)).finditer(text):
-        yield m.start(), m[1], m[3]
+    search, at = _mention_pattern(tuple(units)).search, 0
+    while m := search(text, at):
+        at = m.end()
+        # A combining mark goes on with the unit's last letter, so the unit ends elsewhere.
+        if at < len(text) and text[at] > "\u02ff" and unicodedata.category(text[at])[0] == "M":
+            at = m.start() + 1
+            continue
+        yield m.start(), m[1], m[2]
 
 
 def found_pairs(text: str, prices: Sequence[str], items: Sequence[str], proximity: int) -> Iterator[tuple[int, str, str, int, str, str]]:
@@ -42,7 +49,11 @@ def found_pairs(text: str, prices: Sequence[str], items: Sequence[str], proximit
     kinds = {u.lower() for u in prices}
     every = list(found_mentions(text, (*prices, *items)))
     wares, low = [m for m in every if m[2] not in kinds], 0
-    for pos, raw, unit in (m for m in every if m[2] in kinds):
+    if not wares:
+        return
+    for pos, raw, unit in every:
+        if unit not in kinds:
+            continue
         while low < len(wares) and wares[low][0] < pos - proximity:
             low += 1
         for k in range(low, len(wares)):
