@@ -4,6 +4,9 @@ A page becomes a row of text blocks. Costs of calling a block article or boilerp
 over its length, punctuation, links, and the elements around it; they are the capacities to the two terminals. Neighbours
 in the page and siblings in the document tree are tied by smoothness capacities. The minimum cut, found by max-flow,
 is the labelling with the least total cost: a short line inside an article stays, a long one inside a menu goes.
+
+Names of classes and elements are features with a finite cost like the others. An `article` or `main` element takes back what
+wrappers around it were named, and a page that would be left with nothing is cut once more without the names of its layout.
 """
 
 from __future__ import annotations
@@ -25,36 +28,71 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg iframe object title textarea math canvas video audio noframes".split())
+RAW_TAGS = frozenset("script style noscript template svg iframe object title textarea canvas video audio noframes".split())
 OUTSIDE_TAGS = frozenset("nav footer aside form head button select menu dialog fieldset".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal overlay newsletter "
     "subscribe subscription signup share sharing social related recommended recommendations sidebar widget breadcrumb breadcrumbs pagination "
-    "pager menu nav navbar navigation toolbar footer masthead comment comments reply replies respond disqus login search skip copyright".split())
+    "pager menu nav navbar navigation toolbar footer masthead login search skip copyright header".split())
+READER_NAMES = frozenset("comment comments reply replies respond disqus".split())
+#: A name with one of these parts tells of a layout, a state or a topic, not of what the element is; CONTENT only in front.
+LAYOUT_PARTS = frozenset("no not has with without is wrap wrapper container layout open closed enabled disabled category tag format type".split())
+CONTENT_PARTS = frozenset(("content", "main", "page"))
+#: Wording of notices, which need not be named.
+NOTICE = re.compile(r"\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|unsubscribe|newsletter)\b", re.I)
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_NAMES = frozenset("article content entry post story main".split())
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW_TAGS}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-#: Costs in units of a clear short sentence; a terminal that must not be cut.
-SURE, NEIGHBOUR, SIBLING, STRANGER = 1000.0, 0.8, 0.5, 0.15
+#: Costs in units of a clear short sentence: of a telling element, of a telling name, of a notice's wording; of parting neighbours.
+ELEMENT, NAME, WORDING = 9.0, 8.0, 2.5
+NEIGHBOUR, SIBLING, STRANGER = 0.8, 0.5, 0.15
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "article", "tag", "parent")
+    """away: what the elements around speak against the text; readers: that of it which comments by readers make up."""
+
+    __slots__ = ("text", "linked", "away", "readers", "article", "tag", "parent")
+
+    def __init__(self, text: str, linked: int, away: float, readers: float, article: bool, tag: str, parent: int):
+        self.text, self.linked, self.away, self.readers, self.article, self.tag, self.parent = text, linked, away, readers, article, tag, parent
+
+
+class _Open:
+    """An open element: its context, the innermost block element, and the place of a paragraph that a block would end."""
+
+    __slots__ = ("tag", "number", "away", "readers", "article", "block", "paragraph")
+
+    def __init__(self, tag, number, away, readers, article, block, paragraph):
+        self.tag, self.number, self.away, self.readers, self.article, self.block, self.paragraph = tag, number, away, readers, article, block, paragraph
+
 
-    def __init__(self, text: str, linked: int, outside: bool, article: bool, tag: str, parent: int):
-        self.text, self.linked, self.outside, self.article, self.tag, self.parent = text, linked, outside, article, tag, parent
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Of a class or id: does a name in it tell of boilerplate, of readers' comments, of an article."""
+    outside = readers = article = False
+    for name in value.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not parts:
+            continue
+        article = article or bool(ARTICLE_NAMES.intersection(parts))
+        if LAYOUT_PARTS.intersection(parts) or parts[0] in CONTENT_PARTS and len(parts) > 1:
+            continue
+        outside = outside or bool(OUTSIDE_NAMES.intersection(parts))
+        readers = readers or bool(READER_NAMES.intersection(parts))
+    return outside, readers, article
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Unclosed elements end where an outer one is closed; broken tags are dropped."""
     out: list[Block] = []
-    # tag, number, outside an article's text, inside an article
-    stack = [("", 0, False, False)]
+    stack = [_Open("", 0, 0.0, 0.0, False, ("", 0), 0)]
+    # How many elements of a name are open: a closing tag without one costs nothing.
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     links, linked, count, at, size = 0, 0, 0, 0, len(page)
 
@@ -62,11 +100,19 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            inner = next((s for s in reversed(stack) if s[0] in BLOCK_TAGS), stack[0])
-            out.append(Block(text, linked, stack[-1][2], stack[-1][3], inner[0], inner[1]))
+            top = stack[-1]
+            out.append(Block(text, linked, top.away, top.readers, top.article, *top.block))
         pieces.clear()
         linked = 0
 
+    def close(place: int) -> None:
+        """Close the elements from this place of the stack on."""
+        nonlocal links
+        for gone in stack[place:]:
+            opened[gone.tag] -= 1
+            links -= gone.tag == "a"
+        del stack[place:]
+
     def add(raw: str) -> None:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
@@ -101,70 +147,73 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             pieces.append(" ")
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(1 for s in stack[i:] if s[0] == "a")
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close(place)
             continue
         if tag in RAW_TAGS:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else size
+                stop = _ENDS[tag].search(page, at)
+                at = stop.end() if stop else size
             continue
         if tag in VOID_TAGS:
             continue
         # A block ends an open paragraph; a list item or a cell ends the one before it.
-        if tag in BLOCK_TAGS and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
-            stack.pop()
-        elif tag in BLOCK_TAGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    links -= sum(1 for s in stack[i:] if s[0] == "a")
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK_TAGS:
-                    break
-        _, _, outside, article = stack[-1]
-        names, roles = set(), set()
+        if tag in BLOCK_TAGS and stack[-1].paragraph:
+            close(stack[-1].paragraph)
+        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag:
+            close(len(stack) - 1)
+        top = stack[-1]
+        away, readers, article = top.away, top.readers, top.article
+        outside = of_readers = of_article = False
+        roles = set()
         if rest:
             for m in _NAMES.finditer(rest):
                 value = m[2] or m[3] or m[4] or ""
                 if m[1].lower() == "role":
                     roles.add(value.lower())
                 else:
-                    names.update(x.lower() for x in _PARTS.findall(value))
-        article = article or tag in ARTICLE_TAGS or "main" in roles or "article" in roles
-        if tag not in ("html", "body"):
-            outside = (outside or tag in OUTSIDE_TAGS or bool(roles & OUTSIDE_ROLES) or bool(names & OUTSIDE_NAMES)
-                       or (tag == "header" or "header" in names) and not article)
-            article = article or bool(names & ARTICLE_NAMES) and not outside
+                    found_names = _named(value)
+                    outside, of_readers, of_article = outside or found_names[0], of_readers or found_names[1], of_article or found_names[2]
+        if tag in ARTICLE_TAGS or roles & {"main", "article"}:
+            # The article itself: what wrappers are named does not count against it, readers' comments and side columns do.
+            article, away = True, readers + (away - readers) * (0.0 if away - readers <= NAME else 0.5)
+        elif tag not in ("html", "body"):
+            telling = ELEMENT if tag in OUTSIDE_TAGS or roles & OUTSIDE_ROLES or tag == "header" and not article else NAME if outside or of_readers else 0.0
+            if of_readers:
+                readers = max(readers, NAME)
+            away = max(away, telling)
+            article = article or of_article and not away
         count += 1
-        stack.append((tag, count, outside, article))
+        block = (tag, count) if tag in BLOCK_TAGS else top.block
+        paragraph = len(stack) if tag == "p" else 0 if tag in BLOCK_TAGS else top.paragraph
+        stack.append(_Open(tag, count, away, readers, article, block, paragraph))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     flush()
     return out
 
 
-def costs(block: Block) -> tuple[float, float]:
-    """Cost of calling the block boilerplate, and of calling it article."""
-    if block.outside:
-        return 0.0, SURE
+def costs(block: Block, names: bool = True) -> tuple[float, float]:
+    """Cost of calling the block boilerplate, and of calling it article. names: whether the elements around count, or only readers'."""
     length, share = len(block.text), min(1.0, block.linked / max(1, len(block.text)))
     stops = sum(block.text.count(c) for c in ".,;:!?")
     score = 0.6 * math.log1p(length / 20) + 0.3 * min(stops, 6) - 3.0 * share - 1.2
     score += 1.5 * block.article + 0.5 * (block.tag in ("p", "blockquote", "pre", "h1", "h2", "h3")) - 0.5 * (block.tag in ("li", "td", "th"))
+    if not block.article and length < 400 and NOTICE.search(block.text):
+        score -= WORDING
+    score -= block.away if names else block.readers
     return (score, 0.0) if score > 0 else (0.0, -score)
 
 
 def ties(row: list[Block]) -> Iterator[tuple[int, int, float]]:
-    """Smoothness capacities: next block in the page, and next one under the same parent. Marked parts are no neighbours."""
+    """Smoothness capacities: next block in the page, and next one under the same parent. Blocks in unlike surroundings are strangers."""
     last: dict[int, int] = {}
     for i, block in enumerate(row):
-        if block.outside:
-            continue
-        if i and not row[i - 1].outside:
-            near = row[i - 1].article == block.article
+        if i:
+            near = row[i - 1].article == block.article and row[i - 1].away == block.away
             yield i - 1, i, NEIGHBOUR if near else STRANGER
         before = last.get(block.parent)
         if before is not None and before != i - 1:
@@ -172,12 +221,12 @@ def ties(row: list[Block]) -> Iterator[tuple[int, int, float]]:
         last[block.parent] = i
 
 
-def labels(row: list[Block]) -> list[bool]:
+def labels(row: list[Block], names: bool = True) -> list[bool]:
     """Which blocks are article: the source side of a minimum cut."""
     n = len(row)
     spare = []
     for block in row:
-        boilerplate, article = costs(block)
+        boilerplate, article = costs(block, names)
         spare.append(boilerplate - article)
     # What can go straight from source to sink through a block is gone already; the rest flows along the ties.
     graph: list[list[int]] = [[] for _ in range(n + 2)]
@@ -244,7 +293,11 @@ def labels(row: list[Block]) -> list[bool]:
 def main_text(page: str) -> str:
     """The article's blocks in page order, one to a line."""
     row = blocks(page)
-    return "\n".join(b.text for b, keep in zip(row, labels(row)) if keep)
+    kept = labels(row)
+    if not any(kept):
+        # A wrapper of the whole page may bear a telling name: then names tell nothing, but for readers' comments.
+        kept = labels(row, names=False)
+    return "\n".join(b.text for b, keep in zip(row, kept) if keep)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +309,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` of `pages` with text and n_chars (code points); null or empty html gives an empty text."""
+    """Columns `keep` of `pages` with text and n_chars (code points).
+
+    Null or empty html gives an empty text, an empty table no rows. Repeated rows stay and get the same text. Long pages are
+    read whole, in time that grows with their length. Columns of `keep` named text or n_chars are replaced.
+    """
     carried = Carried(pages.select(*keep), ("text", "n_chars"))
     frame = pages.select(*carried.inside(), whole("html").alias("_html"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[:-1])

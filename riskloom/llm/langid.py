@@ -4,8 +4,8 @@ A text's UTF-8 bytes are cut into windows of fixed length, all of them, the last
 several widths slide over them, each filter keeps its largest response in the window, and a linear layer with softmax gives
 the languages. A text's probabilities are the windows' log-probabilities averaged by the bytes they hold.
 
-The network is fitted on a bounded sample of the labelled rows, the first SAMPLE different rows in order of a hash; the
-weights (a few thousand numbers, whatever the input) travel to the tasks with the function.
+The network is fitted on a bounded sample of the labelled rows, SAMPLE different texts dealt by language, each language's
+first in order of a hash; the weights (a few thousand numbers, whatever the input) travel to the tasks with the function.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.columns import Carried, whole
@@ -120,17 +120,38 @@ def windows_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), dtype=np.uint8).reshape(n, WINDOW)
 
 
-def fit(labelled: DataFrame) -> ByteCnn | None:
-    """The network for `labelled` (text, lang), or None if it has no text. Rows without text or lang are left out."""
+def _quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
+    """How many texts of each language: equal shares, and what a small language leaves goes to the others."""
+    out, left = {}, total
+    for n, lang in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[lang] = max(1, min(sizes[lang], left // (len(sizes) - n)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def fit(labelled: DataFrame, size: int = SAMPLE) -> ByteCnn | None:
+    """The network for `labelled` (text, lang), or None if it has no text. Rows without text or lang are left out.
+
+    The sample is dealt by language, and copies of a text count once: neither a language with most rows nor a text with most
+    rows takes the place of others.
+    """
     order = F.xxhash64("text", "lang")
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
     # The sample's texts are bounded as well: WINDOWS_EACH windows spread over the whole text.
     piece = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS_EACH)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda i: F.substr("text", i * piece + 1, F.lit(WINDOW)))
-    # Only hashes below a bound are looked at, about twice as many rows as are wanted: tasks send no more, however many they are.
-    share = 2 * SAMPLE / max(1, rows.count())
-    few = rows.where(F.pmod(order, F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
-    sample = few.select(order.alias("o"), "lang", pieces.alias("pieces")).dropDuplicates().orderBy("o", "lang", "pieces").limit(SAMPLE).collect()
+    # One row a language.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(order).alias("n")).collect()}
+    if not sizes:
+        return None
+    quota = _quotas(sizes, size)
+    # Only hashes below a language's bound are looked at, about twice as many texts as are wanted; tasks send no more.
+    bounds = [(k, n, int(min(1.0, 2 * n / max(1, sizes[k])) * (1 << 40))) for k, n in quota.items()]
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, quota int, bound long"))
+    few = rows.join(wanted, "lang").where(F.pmod(order, F.lit(1 << 40)) < F.col("bound"))
+    each = few.select(order.alias("o"), "lang", "quota", pieces.alias("pieces")).dropDuplicates(["o", "lang"])
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "pieces"))).where("n <= quota")
+    sample = ranked.orderBy("o", "lang", "pieces").select("lang", "pieces").collect()
     if not sample:
         return None
     labels = sorted({r.lang for r in sample})
@@ -176,7 +197,8 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def identify(docs: DataFrame, model: ByteCnn | None, keep: list[str]) -> DataFrame:
     """Columns `keep` of `docs` with lang_pred and score (the predicted language's share of the window average).
 
-    `und` with score 0 for null text, text without a letter, or no model. Equal texts get equal predictions.
+    `und` with score 0 for null text, text without a letter, or no model. Equal texts get equal predictions; repeated rows stay,
+    an empty table gives no rows. Long texts are read whole, window by window. Columns of `keep` named lang_pred or score are replaced.
     """
     text, carried = whole("text"), Carried(docs.select(*keep), ("lang_pred", "score"))
     frame = docs.select(*carried.inside(), text.alias("_t"), text.rlike(r"\p{L}").alias("_letters"))

@@ -263,3 +263,72 @@ def test_counts_add_up_over_pieces(monkeypatch):
     parts = puquality.counts(text)
     k = puquality._CLASSES
     assert (whole[:k] == parts[:k]).all() and whole[k] == parts[k]
+
+
+# --- language sample and page wrappers ---------------------------------------------------------------------------------
+
+def test_language_model_of_copies_and_of_a_rare_language(spark):
+    """Five texts make up nearly all rows and one language has one row in ten thousand: all are learned."""
+    from riskloom.llm import langid
+
+    rng = random.Random(4)
+    alphabets = {"aa": "abcdef ", "bb": "ghijkl ", "cc": "mnopqr "}
+    some = {k: ["".join(rng.choices(a, k=150)) for _ in range(40)] for k, a in alphabets.items()}
+    rows = [(some["aa"][k % 5], "aa") for k in range(60_000)] + [(t, "bb") for t in some["bb"] for _ in range(2)] + [(t, "cc") for t in some["cc"][:6]]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(6), size=60)
+    assert model is not None and model.labels == ["aa", "bb", "cc"]
+    docs = spark.createDataFrame([(i, t, k) for k, own in some.items() for i, t in enumerate(own)], "n int, text string, truth string")
+    got = langid.identify(docs, model, ["truth"]).collect()
+    assert sum(r.truth == r.lang_pred for r in got) >= 0.95 * len(got)
+    same = spark.createDataFrame([("one text only", "xx")] * 5000, "text string, lang string")
+    assert langid.fit(same).labels == ["xx"]
+
+
+PROSE = ["The first paragraph tells, with some commas, what happened on that day. It goes on for a while.",
+         "A second one follows it, and says rather more, as paragraphs do; there is no end to it yet.",
+         "The third one ends the story, for now, with a few words of thanks to all who took part in it."]
+MARKUP = "".join(f"<p>{p}</p>" for p in PROSE)
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content-sidebar-wrap">{}</div>', '<div class="site no-sidebar">{}</div>', '<div class="layout has-header search-enabled">{}</div>',
+    '<form id="aspnetForm">{}</form>', '<div class="sidebar-layout">{}</div>', '<div id="widget"><section>{}</section></div>', '<body class="menu-open">{}</body>',
+    '<div class="modal"><div class="overlay">{}</div></div>'])
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<main>{}</main>", "<div class='text'>{}</div>", '<article class="post category-social">{}</article>',
+                                    '<article class="post comments-open">{}</article>', '<div role="main">{}</div>'])
+def test_wrappers_do_not_take_the_article(wrapper, inside):
+    from riskloom.llm import extract
+
+    menu = '<nav><ul><li><a href="/">Home page of the site</a></li><li><a href="/x">Another page of it</a></li></ul></nav>'
+    comments = '<div class="comments"><p>I have read this with much interest, and I agree, said a reader. Many thanks, and more of it!</p></div>'
+    page = "<html>" + wrapper.format(menu + inside.format(MARKUP + comments)) + "<footer>All rights reserved, 2024, by the makers of it.</footer></html>"
+    assert extract.main_text(page) == "\n".join(PROSE)
+
+
+@pytest.mark.parametrize("part", [
+    '<aside><p>{}</p></aside>', '<div class="ad">{}</div>', '<div class="cookie-notice">{}</div>', '<div id="left-sidebar"><p>{}</p></div>',
+    '<section class="related-posts"><p>{}</p></section>', '<form><p>{}</p></form>', '<div class="post-comments"><p>{}</p></div>', '<header><p>{}</p></header>'])
+def test_parts_beside_the_article_go(part):
+    from riskloom.llm import extract
+
+    other = "Some other text, of fair length and with a comma, that is no part of the article. It is long enough."
+    for page in (f"<div><article>{MARKUP}</article>{part.format(other)}</div>", f"<div>{part.format(other)}<div>{MARKUP}</div></div>"):
+        assert extract.main_text(page) == "\n".join(PROSE)
+
+
+def test_notices_without_a_name_go_and_formulas_stay():
+    from riskloom.llm import extract
+
+    page = f"<div>We use cookies to make this site work better, see our privacy policy.</div><article>{MARKUP}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be a number, as was said.</p></article>"
+    assert extract.main_text(page) == "\n".join([*PROSE, "Let x=1 be a number, as was said."])
+
+
+@pytest.mark.parametrize("piece", ["<b>", "</i>", "<b><div></div>", "<p><b>", "<div>", "<a>x", "<li>", "</p>"])
+def test_open_elements_cost_no_more_than_their_number(piece):
+    import time
+
+    from riskloom.llm import extract
+
+    start = time.time()
+    extract.main_text(piece * 100_000)
+    assert time.time() - start < 20
