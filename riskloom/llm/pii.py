@@ -1,24 +1,33 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Kinds: email, ip, card (Luhn), phone; the method adds iban (mod 97) and national number (nine to eleven grouped digits with
-no checksum of their own, so reported only beside a context word). All work is on column expressions, in the scan.
+no checksum of their own, so reported only beside a context word). A text is worked off in one pass per kind, in Arrow
+batches, in time that grows with its length and its spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import string
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import Carried, spans, whole
+from riskloom.llm.columns import Carried, whole
 
 # Every loop is possessive or starts only where a run starts, so a text of one long run is scanned in linear time.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
-PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Only the first four characters are taken, so a number is tried at each of them; what may follow is looked at.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+))"
-NATIONAL = r"(?<![A-Za-z0-9.+-])[0-9]{2,4}-[0-9]{2,4}-[0-9]{3,5}(?![A-Za-z0-9-])"
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+))")
+NATIONAL = re.compile(r"(?<![A-Za-z0-9.+-])[0-9]{2,4}-[0-9]{2,4}-[0-9]{3,5}(?![A-Za-z0-9-])")
 #: Length of an account number by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
@@ -36,107 +45,135 @@ PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "natio
 CONTEXT, BONUS, FLOOR = 40, 0.4, 0.5
 
 
-def luhn(text: Column) -> Column:
-    """The digits of `text`, 13 to 19 of them, pass the Luhn check."""
-    digits = F.reverse(F.regexp_replace(text, "[^0-9]+", ""))
+_COUNTRY = {c: n for n, names in IBAN_LENGTHS.items() for c in names.split()}
+_NUMBER = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}") for n in IBAN_LENGTHS}
+_CONTEXT = {kind: re.compile(words) for kind, words in CONTEXT_WORDS.items()}
+_NOT_DIGIT = re.compile("[^0-9]+")
+_DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
-    def value(d: Column, i: Column) -> Column:
-        n = d.cast("int")
-        return F.when(i % 2 == 0, n).when(n < 5, 2 * n).otherwise(2 * n - 9)
 
-    total = F.aggregate(F.transform(F.split(digits, "(?!^)(?!$)", -1), value), F.lit(0), lambda a, x: a + x)
-    return F.when(F.length(digits).between(13, 19), total % 10 == 0).otherwise(F.lit(False))
+def luhn(text: str) -> bool:
+    """The digits of `text`, 13 to 19 of them, pass the Luhn check."""
+    digits = [int(d) for d in reversed(_NOT_DIGIT.sub("", text))]
+    return 13 <= len(digits) <= 19 and (sum(digits[::2]) + sum(_DOUBLED[d] for d in digits[1::2])) % 10 == 0
 
 
-def mod97(text: Column) -> Column:
+def mod97(text: str) -> bool:
     """The international account number check: first four characters last, letters as 10 to 35, remainder 1."""
-    plain = F.replace(text, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
-
-    def step(a: Column, c: Column) -> Column:
-        n = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-        return F.when(n < 10, (a * 10 + n) % 97).otherwise((a * 100 + n) % 97)
-
-    return F.aggregate(F.split(turned, "(?!^)(?!$)", -1), F.lit(0), step) == 1
-
-
-def _iban_spans(text: Column) -> Column:
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses around each @: the run of characters before it that no address before has taken, and the domain after it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        domain = DOMAIN.match(text, at + 1)
+        if domain:
+            start = at
+            while start > done and text[start - 1] in LOCAL:
+                start -= 1
+            if start < at:
+                done = domain.end()
+                yield start, done
+        at = text.find("@", max(at + 1, done))
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
     """Proposed account numbers: as long as their country's are; of other codes, the whole run."""
-    countries = "|".join(c for names in IBAN_LENGTHS.values() for c in names.split())
-    number = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
-    rest = F.when(text.rlike(IBAN), F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))).otherwise(F.array().cast("array<string>"))
-
-    def cut(x: Column, more: Column) -> Column:
-        run = F.concat(x["m"], more)
-        m = F.when(run.rlike(f"^(?:{countries})"), F.regexp_extract(run, f"^(?:{number})", 0)).otherwise(run)
-        return F.struct(x["s"].alias("s"), (x["s"] + F.length(m)).alias("e"), m.alias("m"))
-
-    return F.zip_with(spans(text, IBAN), rest, cut)
-
-
-def _valid(kind: str, m: Column) -> Column:
-    if kind == "ip":
-        parts = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
-        return F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
-    if kind == "card":
-        return luhn(m)
-    if kind == "phone":
-        return F.length(F.regexp_replace(m, "[^0-9]+", "")).between(9, 15)
-    if kind == "iban":
-        return mod97(m)
-    return F.lit(True)
+    for m in IBAN.finditer(text):
+        size = _COUNTRY.get(m[0][:2])
+        number = _NUMBER[size].match(text, m.start(), m.end(1)) if size else None
+        if not size:
+            yield m.start(), m.end(1)
+        elif number:
+            yield number.span()
+
+
+def spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Start and end (exclusive) of the valid spans of each kind, in order."""
+    return {
+        "email": list(_emails(text)),
+        "ip": [m.span() for m in IP.finditer(text) if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in (q.lstrip("0") for q in m[0].split(".")))],
+        "card": [m.span() for m in CARD.finditer(text) if luhn(m[0])],
+        "phone": [m.span() for m in PHONE.finditer(text) if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15],
+        "iban": [(s, e) for s, e in _ibans(text) if mod97(text[s:e])],
+        "national": [m.span() for m in NATIONAL.finditer(text)],
+    }
+
+
+def judged(text: str) -> list[tuple[str, int, int, float]]:
+    """(kind, s, e, score) by kind, then start. Base kinds whenever valid; added kinds when their score reaches the floor and
+    they overlap no base span."""
+    found, out = spans(text), []
+
+    def score(kind: str, s: int) -> float:
+        near = _CONTEXT[kind].search(text[max(0, s - CONTEXT):s].lower())
+        return min(1.0, PRIOR[kind] + (BONUS if near else 0.0))
+
+    for kind in BASE:
+        out += [(kind, s, e, score(kind, s)) for s, e in found[kind]]
+    taken = sorted((s, e) for _, s, e, _ in out)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for kind in ADDED:
+        for s, e in found[kind]:
+            # Of the base spans that start before this one's end, the farthest end.
+            before = bisect_left(starts, e)
+            if (not before or reach[before - 1] <= s) and (sure := score(kind, s)) >= FLOOR:
+                out.append((kind, s, e, sure))
+    return out
+
+
+def redacted(text: str) -> str:
+    """The text with its spans replaced by their kind in brackets. Overlapping ones are one, of the kind that starts first (of
+    equal starts the shorter)."""
+    out, to = [], 0
+    for s, e, kind in sorted((s, e, kind) for kind, s, e, _ in judged(text)):
+        if s >= to:
+            out += [text[to:s], f"[{kind.upper()}]"]
+        to = max(to, e)
+    return "".join([*out, text[to:]]) if out else text
+
+
+_PII = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("score", pa.float64())]))
+
+
+def _mapped(keep: int, name: str, kind: pa.DataType, work: Callable[[str], object]):
+    """Task function: the first `keep` columns and `work` of the text after them, null for null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if t is None else work(t) for t in map(pa.StringScalar.as_py, batch.column(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(made, kind)], [*batch.schema.names[:keep], name])
+    return run
+
+
+def _rows(text: str) -> list[dict]:
+    return [{"kind": k, "s": s, "e": e, "score": x} for k, s, e, x in judged(text)]
 
 
 def find(docs: DataFrame) -> DataFrame:
     """`docs` with `pii`: array<struct<kind,s,e,score>> by kind, then start. Code points, e exclusive.
 
     Base kinds are reported whenever they are valid; added kinds only when their score reaches the floor and they do not
-    overlap a base span. Null text has none. Other columns pass unchanged; one named `pii` is replaced.
+    overlap a base span. Null text has none. Other columns pass unchanged; one named `pii` is replaced. Repeated rows get equal
+    spans, an empty table gives no rows, and a text of any length is read whole, in time that grows with its length and spans.
     """
     carried = Carried(docs, ("pii",))
-    frame = _found(docs.select(*carried.inside(), whole("text").alias("_p_text")))
-    return frame.select(*carried.outside(), "pii")
-
-
-def _found(frame: DataFrame) -> DataFrame:
-    """`frame` with pii, from _p_text."""
-    text = F.col("_p_text")
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "national": NATIONAL}
-
-    def scored(kind: str, x: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(x["s"], F.lit(CONTEXT)).cast("int")))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT_WORDS[kind]), F.lit(BONUS)).otherwise(F.lit(0.0)))
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), score.alias("score"))
-
-    def valid_spans(kind: str) -> Column:
-        good = F.filter(_iban_spans(text) if kind == "iban" else spans(text, patterns[kind]), lambda x: _valid(kind, x["m"]))
-        return F.transform(good, lambda x: scored(kind, x))
-
-    made = {f"_p_{kind}": valid_spans(kind) for kind in patterns}
-    frame = frame.withColumns(made).withColumn("_p_base", F.concat(*[f"_p_{k}" for k in BASE]))
-    extra = F.filter(F.concat(*[f"_p_{k}" for k in ADDED]), lambda x: (x["score"] >= FLOOR) & ~F.exists(
-        "_p_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return frame.withColumn("pii", F.concat("_p_base", extra))
+    frame = docs.select(*carried.inside(), whole("text").alias("_t"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[:-1]), "pii array<struct<kind:string,s:bigint,e:bigint,score:double>>"])
+    made = frame.mapInArrow(_mapped(len(frame.columns) - 1, "pii", _PII, _rows), schema)
+    return made.select(*carried.outside(), "pii")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span of `find` in `text` replaced by its kind in brackets; null text stays null.
 
-    Overlapping spans are replaced as one, by the kind of the one that starts first. Columns are those of `docs`.
+    Overlapping spans are replaced as one, by the kind of the one that starts first. Columns are those of `docs`, in their
+    order; rows, repeated ones too, stay; an empty table gives no rows.
     """
     carried = Carried(docs, ("text",))
-    spans_in_order = F.sort_array(F.transform("pii", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    frame = docs.select(*carried.inside(), F.col("text").alias("_r_text"), whole("text").alias("_p_text"))
-    frame = _found(frame).withColumn("_r_spans", spans_in_order)
-    start = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        part = F.concat(F.substr("_r_text", (a["to"] + 1).cast("int"), (x["s"] - a["to"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["to"], x["e"]).alias("to"), F.when(x["s"] < a["to"], a["out"]).otherwise(F.array_append(a["out"], part)).alias("out"))
-
-    walked = F.aggregate("_r_spans", start, step)
-    frame = frame.withColumn("_r_done", F.when(F.size("_r_spans") > 0, walked))
-    text = F.when(F.col("_r_done").isNull(), F.col("_r_text")).otherwise(
-        F.concat(F.array_join("_r_done.out", ""), F.substr("_r_text", (F.col("_r_done.to") + 1).cast("int"))))
+    frame = docs.select(*carried.inside(), F.col("text").alias("_t"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[:-1]), "_clean string"])
+    made = frame.mapInArrow(_mapped(len(frame.columns) - 1, "_clean", pa.string(), redacted), schema)
     names = dict(zip(carried.names, carried.outside()))
-    return frame.withColumn("_r_new", text).select(*[names.get(c, F.col("_r_new").alias(c)) for c in docs.columns])
+    return made.select(*[names.get(c, F.col("_clean").alias(c)) for c in docs.columns])

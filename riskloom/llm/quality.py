@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import Carried, space_words, whole
+from riskloom.llm.columns import Carried, let, space_words, whole
 from riskloom.session import written
 
 # The commonest function words of the four languages.
@@ -94,17 +94,18 @@ def with_windows(frame: DataFrame, words: str) -> DataFrame:
 def _covered(hashes: Column) -> Column:
     """Words covered by the windows whose hash stands twice or more, from all window hashes in order."""
     order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Sorted neighbours with equal hashes: each position is marked by the one before or after it.
-    marked = F.aggregate(
-        order, F.expr("named_struct('h', cast(null as bigint), 'i', cast(-1 as int), 'open', false, 'out', cast(array() as array<int>))"),
-        lambda a, x: F.struct(
-            x["h"].alias("h"), x["i"].alias("i"), F.coalesce(a["h"] == x["h"], F.lit(False)).alias("open"),
-            F.when(a["h"] == x["h"], F.when(a["open"], F.array_append(a["out"], x["i"])).otherwise(
-                F.concat(a["out"], F.array(a["i"], x["i"])))).otherwise(a["out"]).alias("out")),
-        lambda a: F.sort_array(a["out"]))
-    return F.aggregate(
-        marked, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
-        lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
+
+    def repeated(o: Column) -> Column:
+        # Sorted neighbours with equal hashes.
+        def same(x: Column, k: Column) -> Column:
+            return F.coalesce(F.get(o, k)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(o, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+
+    def words(marked: Column) -> Column:
+        return F.aggregate(F.transform(marked, lambda i, k: F.least(F.lit(WINDOW), i - F.coalesce(F.get(marked, k - 1), F.lit(-WINDOW)))),
+                           F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+    return let(let(order, repeated), words)
 
 
 def measure(docs: DataFrame) -> DataFrame:

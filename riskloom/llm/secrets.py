@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import spans, text_key, whole
+from riskloom.llm.columns import apart, spans, text_key, whole
 from riskloom.session import written
 
 
@@ -56,7 +56,8 @@ def _named(found: Column, kind: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base, added: arrays of struct<s,rank,e,kind> by start, then kind, in code points, e exclusive.
 
-    One row per row of `docs`; equal texts get equal results, null text has no spans, other columns are ignored. A weak
+    One row per row of `docs`, none for an empty table; a text of any length is read whole, in time that grows with its length
+    and its spans. Equal texts get equal results, null text has no spans, other columns are ignored. A weak
     candidate that overlaps a strong span is part of it and is not reported.
     """
     text = F.col("_t")
@@ -64,8 +65,7 @@ def scan(docs: DataFrame) -> DataFrame:
     made = {f"_{kind}": _named(found, kind) for kind, found in _parts(text).items()}
     frame = frame.withColumns(made).withColumns({
         "base": F.sort_array(F.concat(*[f"_{k}" for k in BASE])), "_loose": F.concat(*[f"_{k}" for k in WEAK])})
-    free = F.filter("_loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    frame = written(frame.withColumn("weak", free).select("doc_id", "text_key", "base", "weak"), "secret-parts")
+    frame = written(frame.withColumn("weak", apart(F.col("_loose"), F.col("base"))).select("doc_id", "text_key", "base", "weak"), "secret-parts")
 
     open_texts = frame.where(F.size("weak") > 0).where(F.size("base") + F.size("weak") > 1).select("text_key", "base", "weak").distinct()
     parts = open_texts.select("text_key", F.explode(F.concat("base", "weak")).alias("p")).select("text_key", "p", F.element_at(

@@ -332,3 +332,90 @@ def test_open_elements_cost_no_more_than_their_number(piece):
     start = time.time()
     extract.main_text(piece * 100_000)
     assert time.time() - start < 20
+
+
+# --- texts with many spans ---------------------------------------------------------------------------------------------
+
+def test_scans_in_pieces_are_folds(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.llm.columns import scanned
+
+    rng = random.Random(1)
+    rows = [(n, [rng.randrange(100) for _ in range(n)]) for n in (0, 1, 2, 63, 64, 65, 66, 200, 1000, 1001)]
+    frame = spark.createDataFrame(rows, "n int, v array<bigint>")
+    zero = F.lit(0).cast("long")
+    got = frame.select("n", "v", scanned(F.col("v"), zero, lambda a, x: a + x).alias("sums"), scanned(F.col("v"), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x)).alias("tops"))
+    for r in got.collect():
+        assert r.sums == [sum(r.v[:i]) for i in range(r.n)] and r.tops == [max([-1, *r.v[:i]]) for i in range(r.n)]
+
+
+def test_spans_apart_from_others(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.llm.columns import apart
+
+    rng = random.Random(2)
+
+    def some(n):
+        return sorted((s, s + rng.randint(1, 12)) for s in (rng.randrange(4000) for _ in range(n)))
+
+    rows = [(i, some(a), some(b)) for i, (a, b) in enumerate([(0, 0), (0, 5), (5, 0), (9, 9), (120, 130), (400, 60), (90, 200)])]
+    frame = spark.createDataFrame(rows, "i int, loose array<struct<s:bigint,e:bigint>>, base array<struct<s:bigint,e:bigint>>")
+    for r in frame.select("*", apart(F.col("loose"), F.col("base")).alias("free")).collect():
+        assert [tuple(x) for x in r.free] == [tuple(x) for x in r.loose if not any(b.s < x.e and x.s < b.e for b in r.base)]
+
+
+@pytest.mark.parametrize("piece", ["10.0.0.1 ", "a.b@c.de ", "password=abcdef1 ", "user: anna 0123456789abcdef01234567 ", "DE89370400440532013000 10.1.1.1 "])
+def test_two_hundred_thousand_spans_in_one_text(spark, piece):
+    import time
+
+    from riskloom.llm import pii, secrets
+
+    n = 200_000
+    frame = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+    start = time.time()
+    found = pii.find(frame).selectExpr("size(pii) as n").first().n
+    clean = pii.redact(frame).first().text
+    assert time.time() - start < 60
+    if piece[0] in "1a":
+        assert found == n and clean == ("[IP] " if piece[0] == "1" else "[EMAIL] ") * n
+    start = time.time()
+    spans = secrets.scan(frame).selectExpr("size(base) as b", "size(added) as a").first()
+    assert time.time() - start < 90
+    assert spans.b == (n if "=" in piece or "0123" in piece else 0) and spans.a == (n if "user" in piece else 0)
+
+
+def test_two_hundred_thousand_repeated_windows(spark):
+    import time
+
+    from riskloom.llm import quality
+
+    frame = spark.createDataFrame([(1, "one two three four five six seven " * 30_000, "en")], "doc_id long, text string, lang string")
+    start = time.time()
+    assert quality.measure(frame).first().n_repeat_words == 210_000
+    assert time.time() - start < 60
+
+
+def test_personal_data_is_the_contract_pattern():
+    """Against the plain patterns, which may backtrack, on short random texts."""
+    import re
+
+    from riskloom.llm import pii
+
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    rng = random.Random(3)
+    for _ in range(30_000):
+        text = "".join(rng.choices(["a", "b@", "@", ".", "-", "+", "1", "4111 1111 1111 1111", "7", "25", "255", "300", " ", "(", ")", "é", "c.d", "%"], k=rng.randint(1, 22)))
+        found = pii.spans(text)
+        for kind, pattern in plain.items():
+            assert found[kind] == [m.span() for m in re.finditer(pattern, text) if good(kind, m[0])], (kind, text)
