@@ -30,11 +30,12 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template svg iframe object title textarea canvas video audio noframes".split())
 OUTSIDE_TAGS = frozenset("nav footer aside form head button select menu dialog fieldset".split())
-OUTSIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal overlay newsletter "
-    "subscribe subscription signup share sharing social related recommended recommendations sidebar widget breadcrumb breadcrumbs pagination "
-    "pager menu nav navbar navigation toolbar footer masthead login search skip copyright header".split())
-READER_NAMES = frozenset("comment comments reply replies respond disqus".split())
+# Names that themes also give to wrappers of a whole page, and names that nothing but boilerplate bears.
+WRAPPER_NAMES = frozenset("sidebar widget modal overlay popup header masthead menu nav navbar toolbar footer social search".split())
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice newsletter subscribe subscription "
+    "signup share sharing related recommended recommendations breadcrumb breadcrumbs pagination pager navigation login skip copyright "
+    "comment comments reply replies respond disqus".split())
 #: A name with one of these parts tells of a layout, a state or a topic, not of what the element is; CONTENT only in front.
 LAYOUT_PARTS = frozenset("no not has with without is wrap wrapper container layout open closed enabled disabled category tag format type".split())
 CONTENT_PARTS = frozenset(("content", "main", "page"))
@@ -55,26 +56,26 @@ NEIGHBOUR, SIBLING, STRANGER = 0.8, 0.5, 0.15
 
 
 class Block:
-    """away: what the elements around speak against the text; readers: that of it which comments by readers make up."""
+    """away: what the elements around speak against the text; surely: the part of it that no wrapper of a page can bear."""
 
-    __slots__ = ("text", "linked", "away", "readers", "article", "tag", "parent")
+    __slots__ = ("text", "linked", "away", "surely", "article", "tag", "parent")
 
-    def __init__(self, text: str, linked: int, away: float, readers: float, article: bool, tag: str, parent: int):
-        self.text, self.linked, self.away, self.readers, self.article, self.tag, self.parent = text, linked, away, readers, article, tag, parent
+    def __init__(self, text: str, linked: int, away: float, surely: float, article: bool, tag: str, parent: int):
+        self.text, self.linked, self.away, self.surely, self.article, self.tag, self.parent = text, linked, away, surely, article, tag, parent
 
 
 class _Open:
     """An open element: its context, the innermost block element, and the place of a paragraph that a block would end."""
 
-    __slots__ = ("tag", "number", "away", "readers", "article", "block", "paragraph")
+    __slots__ = ("tag", "number", "away", "surely", "article", "block", "paragraph")
 
-    def __init__(self, tag, number, away, readers, article, block, paragraph):
-        self.tag, self.number, self.away, self.readers, self.article, self.block, self.paragraph = tag, number, away, readers, article, block, paragraph
+    def __init__(self, tag, number, away, surely, article, block, paragraph):
+        self.tag, self.number, self.away, self.surely, self.article, self.block, self.paragraph = tag, number, away, surely, article, block, paragraph
 
 
 def _named(value: str) -> tuple[bool, bool, bool]:
-    """Of a class or id: does a name in it tell of boilerplate, of readers' comments, of an article."""
-    outside = readers = article = False
+    """Of a class or id: does a name in it tell of boilerplate, surely so, of an article."""
+    outside = sure = article = False
     for name in value.split():
         parts = [x.lower() for x in _PARTS.findall(name)]
         if not parts:
@@ -82,9 +83,9 @@ def _named(value: str) -> tuple[bool, bool, bool]:
         article = article or bool(ARTICLE_NAMES.intersection(parts))
         if LAYOUT_PARTS.intersection(parts) or parts[0] in CONTENT_PARTS and len(parts) > 1:
             continue
-        outside = outside or bool(OUTSIDE_NAMES.intersection(parts))
-        readers = readers or bool(READER_NAMES.intersection(parts))
-    return outside, readers, article
+        outside = outside or bool(WRAPPER_NAMES.intersection(parts))
+        sure = sure or bool(SURE_NAMES.intersection(parts))
+    return outside or sure, sure, article
 
 
 def blocks(page: str) -> list[Block]:
@@ -101,7 +102,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(pieces).split())
         if text:
             top = stack[-1]
-            out.append(Block(text, linked, top.away, top.readers, top.article, *top.block))
+            out.append(Block(text, linked, top.away, top.surely, top.article, *top.block))
         pieces.clear()
         linked = 0
 
@@ -166,8 +167,8 @@ def blocks(page: str) -> list[Block]:
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag:
             close(len(stack) - 1)
         top = stack[-1]
-        away, readers, article = top.away, top.readers, top.article
-        outside = of_readers = of_article = False
+        away, surely, article = top.away, top.surely, top.article
+        outside = named_sure = of_article = False
         roles = set()
         if rest:
             for m in _NAMES.finditer(rest):
@@ -176,20 +177,20 @@ def blocks(page: str) -> list[Block]:
                     roles.add(value.lower())
                 else:
                     found_names = _named(value)
-                    outside, of_readers, of_article = outside or found_names[0], of_readers or found_names[1], of_article or found_names[2]
+                    outside, named_sure, of_article = outside or found_names[0], named_sure or found_names[1], of_article or found_names[2]
         if tag in ARTICLE_TAGS or roles & {"main", "article"}:
-            # The article itself: what wrappers are named does not count against it, readers' comments and side columns do.
-            article, away = True, readers + (away - readers) * (0.0 if away - readers <= NAME else 0.5)
+            # The article itself: what wrappers are named does not count against it.
+            article, away = True, surely
         elif tag not in ("html", "body"):
-            telling = ELEMENT if tag in OUTSIDE_TAGS or roles & OUTSIDE_ROLES or tag == "header" and not article else NAME if outside or of_readers else 0.0
-            if of_readers:
-                readers = max(readers, NAME)
-            away = max(away, telling)
+            telling = ELEMENT if tag in OUTSIDE_TAGS and tag != "form" or roles & OUTSIDE_ROLES or tag == "header" and not article else 0.0
+            if telling or named_sure:
+                surely = max(surely, telling, NAME if named_sure else 0.0)
+            away = max(away, surely, NAME if outside or tag == "form" else 0.0)
             article = article or of_article and not away
         count += 1
         block = (tag, count) if tag in BLOCK_TAGS else top.block
         paragraph = len(stack) if tag == "p" else 0 if tag in BLOCK_TAGS else top.paragraph
-        stack.append(_Open(tag, count, away, readers, article, block, paragraph))
+        stack.append(_Open(tag, count, away, surely, article, block, paragraph))
         opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     flush()
@@ -197,14 +198,14 @@ def blocks(page: str) -> list[Block]:
 
 
 def costs(block: Block, names: bool = True) -> tuple[float, float]:
-    """Cost of calling the block boilerplate, and of calling it article. names: whether the elements around count, or only readers'."""
+    """Cost of calling the block boilerplate, and of calling it article. names: whether wrappers' names count."""
     length, share = len(block.text), min(1.0, block.linked / max(1, len(block.text)))
     stops = sum(block.text.count(c) for c in ".,;:!?")
     score = 0.6 * math.log1p(length / 20) + 0.3 * min(stops, 6) - 3.0 * share - 1.2
     score += 1.5 * block.article + 0.5 * (block.tag in ("p", "blockquote", "pre", "h1", "h2", "h3")) - 0.5 * (block.tag in ("li", "td", "th"))
     if not block.article and length < 400 and NOTICE.search(block.text):
         score -= WORDING
-    score -= block.away if names else block.readers
+    score -= block.away if names else block.surely
     return (score, 0.0) if score > 0 else (0.0, -score)
 
 
@@ -295,7 +296,7 @@ def main_text(page: str) -> str:
     row = blocks(page)
     kept = labels(row)
     if not any(kept):
-        # A wrapper of the whole page may bear a telling name: then names tell nothing, but for readers' comments.
+        # A wrapper of the whole page may bear a telling name, or be a form: then such names tell nothing.
         kept = labels(row, names=False)
     return "\n".join(b.text for b, keep in zip(row, kept) if keep)
 
