@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir). Its result is written as Parquet and read again as the next stage's docs, so a lost
 executor costs at most one stage. All stages but the last return the columns of documents.
+
+In every stage equal rows are treated alike and stay as many as they are (but for near-duplicates), an empty table gives an
+empty one, texts of any length are read whole, and columns beside those named here pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,28 +18,32 @@ from riskloom.sources.tables import Tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Null and empty texts have too few words and go; a null lang is a language of its own."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, the one with the smallest doc_id; of copies under one id, one row.
+
+    Texts without words are near nothing and stay."""
     return neardup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage of note."""
+    """Documents that hold no benchmark passage of note. Null and empty texts hold none and stay; items without words mark nothing."""
     return decontam.drop_contaminated(docs, Tables(spark, sf_dir)("benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data replaced by its kind; n_chars follows the text."""
+    """Every document, with personal data replaced by its kind; n_chars follows the text. A null text stays null."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with their place in it (virtual finish time) and the words taken of each."""
+    """The documents the mix takes, with their place in it (virtual finish time) and the words taken of each.
+
+    Texts without words give it nothing and are not in it; a null source is a source; ties are in order of doc_id."""
     return mixing.mix(docs).where("taken > 0")
 
 
