@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir). Its result is written as Parquet and read again as the next stage's docs, so a lost
 executor costs at most one stage. All stages but the last return the columns of documents.
 
-In every stage equal rows are treated alike and stay as many as they are (but for near-duplicates), an empty table gives an
+In every stage equal rows are treated alike and stay as many as they are, an empty table gives an
 empty one, texts of any length are read whole, and columns beside those named here pass unchanged, whatever their names.
 """
 
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; of copies under one id, one row.
+    """One document of each near-duplicate group, the one with the smallest doc_id; equal rows of one id all stay.
 
     Texts without words are near nothing and stay."""
     return neardup.keep_first(docs)
