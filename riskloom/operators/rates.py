@@ -7,10 +7,11 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from riskloom.functions import fixed_values as fixed
 from riskloom.functions.patterns import uni
@@ -65,6 +66,17 @@ def found_pairs(text: str, prices: Sequence[str], items: Sequence[str], proximit
 MENTION = "pos int, raw string, unit string"
 
 
+def mentions(text: Column, units: Sequence[str]) -> Column:
+    """All mentions of a lower-cased text as array<struct<pos, raw, unit>>."""
+    wanted = tuple(units)
+
+    @pandas_udf("array<struct<pos:int,raw:string,unit:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"pos": p, "raw": r, "unit": u} for p, r, u in found_mentions(t or "", wanted)])
+
+    return found(text)
+
+
 def register_mentions(spark: SparkSession, units: Sequence[str], name: str = "mentions") -> str:
     """A table function for SQL: `SELECT ... FROM t, LATERAL mentions(lower(text))` gives a row (pos, raw, unit) a mention."""
     wanted = tuple(units)
