@@ -11,7 +11,9 @@ of near-copies is close to the text they come from. A group thus costs a star an
 What is left are pairs of members, of which one at least is no link of their leader. Two such sets can only be near if
 they differ from the leader in the same shingles: with differences x and y from the leader, |x| + |y| - 2 |x & y| must stay
 within a seventh of both sizes, and as x alone exceeds its share, more than 3/7 of y is in x. So the pairs are found by a
-prefix-filtered join over the differences, rarest first, with bounds on their lengths: exact, and without pairing a group.
+prefix-filtered join over the differences, rarest first, with bounds on their lengths, which is exact. Before it, a member lets
+go of each key under which no member of another component could be near enough, were all its keys shared: of two large groups
+close to each other, whose members hold the same keys, none is left to pair.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import components
@@ -38,6 +40,9 @@ LEAST_ESTIMATE = 0.52
 #: Shingles times registers worked on at once.
 CELLS = 1 << 19
 
+#: Rounds in which members let go of keys that lead to no link, before the join over what is left.
+ROUNDS = 2
+
 _BUCKETS = seeds(REGISTERS, 1 << 30) | U64(1)
 
 
@@ -139,29 +144,52 @@ class Pairs:
         near = written(near.mapInArrow(_agreeing, "a binary, b binary"), "near-pairs")
         return written(self.texts(near).mapInArrow(_confirmed, "a binary, b binary").distinct(), "near-links")
 
-    def among_members(self, stars: DataFrame, found: DataFrame) -> DataFrame:
-        """Distinct pairs of members of one star (a: leader, b: member) that may be links and lie in different components."""
+    def member_prefixes(self, stars: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Keys by which members of one star (a: leader, b: member) meet that may be links and lie in different components.
+
+        The left side holds members apart from their leader, the right side all. One member stands for all of its component
+        with the same keys: the one of most slack (size less seven times its difference), which links wherever any does.
+        """
         named = stars.join(found.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
         open_stars = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("a")
         rows = written(self.texts(stars.join(open_stars, "a", "left_semi")).mapInArrow(
             _differences, "a binary, b binary, na long, nb long, diff array<long>"), "near-differences")
-        # Differences that only one member of a star has cannot be shared; what is left is ordered rarest first.
-        each = rows.select("a", "b", F.explode("diff").alias("key"))
-        common = written(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
-        ordered = each.join(common, "key").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
-        size, both = F.size("diff"), F.col("na") + F.col("nb")
-        member = rows.join(ordered, ["a", "b"]).join(named, ["a", "b"]).select(
-            "b", "nb", "root", "keys", size.alias("s"), F.size("keys").alias("u"), (7 * size > both).alias("apart"),
+        size = F.size("diff").cast("long")
+        fixed = ("a", "b", "root", "na", "s", "slack")
+        held = rows.join(named, ["a", "b"]).select(
+            "a", "b", "root", "na", size.alias("s"), (F.col("nb") - 7 * size).alias("slack"), size.alias("u"), F.explode("diff").alias("key"))
+        for _ in range(ROUNDS):
+            held = written(held, "near-held")
+            best = held.groupBy("key", "root").agg(F.max("slack").alias("best"), F.count("*").alias("n"))
+            # The two components of most slack under a key; ranks beyond are cut before the shuffle.
+            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"), "root"))
+            first = best.withColumn("rank", rank).where("rank <= 2").groupBy("key").agg(
+                F.max(F.when(F.col("rank") == 1, F.col("root"))).alias("root1"), F.max(F.when(F.col("rank") == 1, F.col("best"))).alias("best1"),
+                F.max(F.when(F.col("rank") == 2, F.col("best"))).alias("best2"))
+            keys = written(first.where("best2 is not null").join(best.groupBy("key").agg(F.sum("n").alias("df")), "key"), "near-common")
+            # Null only where no other component has the key; a key stays where some holder may be near enough.
+            other = F.when(F.col("root") == F.col("root1"), F.col("best2")).otherwise(F.col("best1"))
+            ordered = held.join(keys, "key").where(14 * F.col("u") + F.col("slack") + other >= 0).groupBy(*fixed).agg(
+                F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+            ordered = written(ordered, "near-ordered")
+            held = ordered.select(*fixed, F.size("keys").cast("long").alias("u"), F.explode("keys.key").alias("key"))
+        stand = ordered.groupBy("a", "root", "na", "keys").agg(F.max(F.struct("slack", "s", "b")).alias("m"))
+        over = -(F.col("m.slack") + F.col("na"))
+        member = written(stand.select(
+            "m.b", "root", "keys", "m.slack", F.size("keys").alias("u"), (over > 0).alias("apart"),
             # Shared by any pair, at least: of one that is apart from the leader, and of its partner.
-            F.greatest(F.lit(1), F.ceil((7 * size - both) / 14)).alias("least_apart"), (F.floor(3 * size / 7) + 1).alias("least"))
-        member = written(member, "near-members")
+            F.greatest(F.lit(1), F.ceil(over / 14)).alias("least_apart"), (F.floor(3 * F.col("m.s") / 7) + 1).alias("least")), "near-members")
 
         def prefix(frame: DataFrame, least: str, end: str) -> DataFrame:
             length = (F.col("u") - F.col(least) + 1).cast("int")
-            return frame.where(length > 0).select(F.explode(F.slice("keys.key", F.lit(1), length)).alias("key"), *[F.col(c).alias(c + end) for c in ("b", "nb", "root", "s", "u")])
+            return frame.where(length > 0).select(F.explode(F.slice("keys.key", F.lit(1), length)).alias("key"), *[F.col(c).alias(c + end) for c in ("b", "slack", "root", "u")])
 
-        left, right = prefix(member.where("apart"), "least_apart", "1"), prefix(member, "least", "2")
-        fits = 14 * F.least("u1", "u2") >= 7 * (F.col("s1") + F.col("s2")) - F.col("nb1") - F.col("nb2")
+        return prefix(member.where("apart"), "least_apart", "1"), prefix(member, "least", "2")
+
+    def among_members(self, stars: DataFrame, found: DataFrame) -> DataFrame:
+        """Distinct pairs of members of one star that may be links and lie in different components."""
+        left, right = self.member_prefixes(stars, found)
+        fits = 14 * F.least("u1", "u2") + F.col("slack1") + F.col("slack2") >= 0
         met = left.join(right, "key").where((F.col("root1") != F.col("root2")) & fits)
         return met.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
 
