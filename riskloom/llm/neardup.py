@@ -40,8 +40,9 @@ LEAST_ESTIMATE = 0.52
 #: Shingles times registers worked on at once.
 CELLS = 1 << 19
 
-#: Rounds in which members let go of keys that lead to no link, before the join over what is left.
-ROUNDS = 2
+#: Members let go of keys that lead to no link in rounds, until a round leaves more than this share of them. Links are the same
+#: whatever the rounds, only the join after them is smaller.
+SETTLED, ROUNDS = 0.9, 6
 
 _BUCKETS = seeds(REGISTERS, 1 << 30) | U64(1)
 
@@ -158,8 +159,13 @@ class Pairs:
         fixed = ("a", "b", "root", "na", "s", "slack")
         held = rows.join(named, ["a", "b"]).select(
             "a", "b", "root", "na", size.alias("s"), (F.col("nb") - 7 * size).alias("slack"), size.alias("u"), F.explode("diff").alias("key"))
+        before = None
         for _ in range(ROUNDS):
             held = written(held, "near-held")
+            left = held.count()
+            if before is not None and left > SETTLED * before:
+                break
+            before = left
             best = held.groupBy("key", "root").agg(F.max("slack").alias("best"), F.count("*").alias("n"))
             # The two components of most slack under a key; ranks beyond are cut before the shuffle.
             rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"), "root"))
