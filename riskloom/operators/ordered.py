@@ -27,6 +27,19 @@ def recent_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return ranked.filter(F.col("rank") <= n)
 
 
+def recent_with_totals(df: DataFrame, key: str, order: Sequence[Column], n: int, totals: Sequence[str]) -> DataFrame:
+    """First n rows per key in `order`, newest first; each column of `totals` becomes its running sum from the oldest row on.
+
+    A running sum is the key's whole sum without the newer rows, which are all among the n: whole keys are summed
+    before the shuffle and only n rows of each are ordered.
+    """
+    ring = recent_n(df, [key], order, n)
+    sums = df.groupBy(F.col(key).alias("_owner")).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
+    newer = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    running = {c: F.col(f"_sum_{c}") - F.coalesce(F.sum(c).over(newer), F.lit(0)) for c in totals}
+    return ring.join(sums, F.col(key).eqNullSafe(F.col("_owner"))).withColumns(running).select(*df.columns, "rank")
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "position"
 ) -> DataFrame:

@@ -269,11 +269,9 @@ with r as (select user_id, event_id, event_type,
    from events)
 select user_id, event_id, event_type, rn::int as rank, total, flagged from r where rn <= 20""")
 def _(t):
-    rows = t("events").select("user_id", "event_id", "ts", "event_type")
-    totals = ordered.running_total(
-        rows, ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")],
-        {"total": F.lit(1), "flagged": F.when(F.col("event_type") == "error", 1).otherwise(0)})
-    return ordered.recent_n(totals, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).drop("ts")
+    rows = t("events").select("user_id", "event_id", "ts", "event_type").withColumn("flagged", (F.col("event_type") == "error").cast("long"))
+    rows = rows.withColumn("total", F.lit(1).cast("long"))
+    return ordered.recent_with_totals(rows, "user_id", [F.desc("ts"), F.desc("event_id")], 20, ["total", "flagged"]).drop("ts")
 
 
 # ---- top-k -----------------------------------------------------------------------------------

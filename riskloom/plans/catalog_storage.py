@@ -208,6 +208,18 @@ def _(t):
         F.col("html"), F.col("url"), ".example.net", "page", "https://img.example/vi/{}/hq.jpg").alias("thumbnail"))
 
 
+# Of four pages one has its picture in one social tag, one in the other with its attributes turned round, one a relative link,
+# which is no picture, and one none.
+@query("thumbnail_from_social_tags", """
+select page_id, case page_id % 4 when 0 then 'https://img.example/og/' || page_id || '.jpg' when 1 then 'https://img.example/tw/' || page_id || '.jpg' end as thumbnail from pages""")
+def _(t):
+    key = F.col("page_id").cast("string")
+    tag = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<meta property="og:image" content="https://img.example/og/'), key, F.lit('.jpg">')))
+    tag = tag.when(F.col("page_id") % 4 == 1, F.concat(F.lit('<meta content="https://img.example/tw/'), key, F.lit('.jpg" name="twitter:image">')))
+    tag = tag.when(F.col("page_id") % 4 == 2, F.concat(F.lit('<meta property="og:image" content="/img/'), key, F.lit('.jpg">'))).otherwise(F.lit(""))
+    return t("pages").select("page_id", html.thumbnail(F.concat(tag, F.coalesce("html", F.lit(""))), F.col("url")).alias("thumbnail"))
+
+
 @query("embedded_captions", r"""
 select page_id, array_to_string(list_filter(list_distinct([nullif(regexp_extract(html, 'var t="([^"]+)"', 1), ''), nullif(regexp_extract(html, '<h1>([^<]{5,300})', 1), ''), nullif(regexp_extract(html, 'lang="([a-z]{2})"', 1), '')]), lambda x: x is not null).list_sort(), '|') as captions from pages""")
 def _(t):

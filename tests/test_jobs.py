@@ -225,3 +225,15 @@ def test_alerts_of_a_backlog_in_reverse_order(spark, tmp_path, monkeypatch):
     ends = [start + datetime.timedelta(days=d, hours=h) for d in (89, 45, 0) for h in range(1, 28)]
     counts = {e: sum(e - datetime.timedelta(hours=24) <= start + datetime.timedelta(days=d, hours=i) < e for d in (89, 45, 0) for i in range(4)) for e in ends}
     assert found == {(int(e.timestamp()) * 10**6, n) for e, n in counts.items() if n >= 3}
+
+
+def test_recent_rows_with_totals_match_running_sums(spark):
+    rows = [(k, i, (i * 7 + k) % 5 - 1) for k in range(3) for i in range(k * 6)] + [(None, i, 2) for i in range(4)] + [(9, 0, None), (9, 1, 3)]
+    frame = spark.createDataFrame(rows, "k int, id int, v long").repartition(3)
+    found = {(r.k, r.id): (r["rank"], r.v) for r in ordered.recent_with_totals(frame, "k", [F.desc("id")], 5, ["v"]).collect()}
+    expected = {}
+    for key in {k for k, _, _ in rows}:
+        mine = sorted((i, v) for k, i, v in rows if k == key)
+        for rank, (i, _) in enumerate(reversed(mine[-5:]), 1):
+            expected[(key, i)] = (rank, sum(v or 0 for j, v in mine if j <= i))
+    assert found == expected
