@@ -75,7 +75,7 @@ def op5_main_text(t: Tables) -> DataFrame:
 
 @_query
 def op6_source_mix(t: Tables) -> DataFrame:
-    return mixing.mix(t("documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(t("documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @_query

@@ -237,6 +237,53 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert order == sorted(order)
 
 
+def _served_word_by_word(docs, target, budget):
+    """Words taken per row: every word of three passes over each source, in order of its virtual finish time and its source."""
+    own = collections.defaultdict(list)
+    for i, text, source in docs:
+        own[source].append((hashlib.md5(str(i).encode()).hexdigest(), i, len(text.split())))
+    words = []
+    for source, rows in own.items():
+        at = 0
+        for _, i, size in sorted(rows) * 3:
+            for _ in range(size):
+                at += 1
+                words.append((at / target[source], source, i))
+    return collections.Counter(i for _, _, i in sorted(words)[:budget])
+
+
+def test_mix_is_the_global_order_cut_at_the_budget(spark):
+    # Sources of very unequal sizes and, between b and c, targets in whole proportion: their words tie.
+    docs = [(i, "w " * (i * 7 % 23 + 1), "abcdef"[min(i % 8, 5)]) for i in range(160)] + [(900, "w " * 700, "g")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(frame, carry=["doc_id"]).collect()
+    target = {docs[[d[0] for d in docs].index(r.doc_id)][2]: r.target for r in out}
+    assert {r.doc_id: r.taken for r in out if r.taken} == _served_word_by_word(docs, target, sum(int(x + 1e-6) for x in target.values()))
+    for share in (0.0, 0.13, 1.4, 9.0):
+        budget = int(share * sum(len(text.split()) for _, text, _ in docs))
+        out = {r.doc_id: r.taken for r in mixing.mix(frame, carry=["doc_id"], budget=budget).collect() if r.taken}
+        assert out == _served_word_by_word(docs, target, budget)
+
+
+def test_mix_of_equal_targets_ties_by_source(spark):
+    docs = [(i, "w w w", "ab"[i % 2]) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    passes = spark.createDataFrame([(s, 60.0, 3, 3 * k) for s in "ab" for k in range(20)], "_k string, goal double, size long, ahead long")
+    for budget in (1, 2, 31, 60):
+        time, extra = mixing.cut(passes, budget)
+        extra = {r._k: r._extra for r in extra.collect()}
+        assert [int(time * 60) + extra.get(s, 0) for s in "ab"] == [(budget + 1) // 2, budget // 2]
+    first, again = (sorted((r.doc_id, r.taken) for r in mixing.mix(f, budget=31).collect()) for f in (frame, frame.repartition(7)))
+    assert first == again and sum(n for _, n in first) == 31
+
+
+def test_rows_of_one_id_or_none_are_mixed_alike(spark):
+    docs = [(5, f"{k} w w", "a") for k in range(30)] + [(None, f"{k} v v v", "a") for k in range(30)] + [(7, "w " * 50, "b"), (None, None, None)]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n) for rows, n in ((docs, 3), (docs[::-1], 5))]
+    first, again = (sorted((r.text or "", r.taken) for r in mixing.mix(f, budget=70).collect()) for f in frames)
+    assert first == again
+
+
 def _refilled(sizes):
     """Targets by repeated resharing."""
     names = sorted(sizes, key=lambda s: (s is None, s))
