@@ -120,16 +120,22 @@ def mix(docs: DataFrame, carry: list[str] | None = None, budget: int | None = No
     pass; later ones come one source's size later each. Sorted by finish time. Null text has size 0 and takes nothing; sources
     that share a name up to null are one source; an empty table gives an empty result; texts of any length are counted whole.
     Documents with equal ids follow each other by size and hash of the text, so only equal rows are interchangeable. `carry`
-    names the columns of `docs` in the result (all, if not given); those named like an output are replaced.
+    names the columns of `docs` in the result (all, if not given; to be given where they are few); those named like an output
+    are replaced.
     """
     made = ("size", "source_size", "target", "start", "finish", "taken")
     # A key that is never null: rows stay dealt by it from the running sums through the joins.
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     carried = Carried(docs if carry is None else docs.select(*carry), made)
-    frame = written(docs.select(
+    frame = docs.select(
         *carried.inside(), "doc_id", "source", F.size(space_words(whole("text"))).cast("long").alias("size"), key.alias("_k"),
-        order_key().alias("_order"), text_key(whole("text")).alias("_tie")), "mix-rows")
-    totals = written(frame.groupBy("source", "_k").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "mix-sizes")
+        order_key().alias("_order"), text_key(whole("text")).alias("_tie"))
+    # Few columns are stored beside the sizes; a whole table is read, and its words counted, again instead of stored twice.
+    if carry is None:
+        rows = written(frame.select("source", "size", "_k", "_order", "_tie"), "mix-rows")
+    else:
+        rows = frame = written(frame, "mix-rows")
+    totals = written(rows.groupBy("source", "_k").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "mix-sizes")
     goal = targets(totals.select("source", "_k", "source_size", "_rows"))
     # Whole up to rounding: a target that is whole but for the last digits counts as whole.
     near = F.round("target")
@@ -138,7 +144,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, budget: int | None = No
     buckets = 64
     while buckets < 65536 and ((largest or 0) > buckets * BUCKET_ROWS or buckets * buckets < (largest or 0)):
         buckets *= 2
-    runs = _queued(frame.select("_k", "_order", "_tie", "size"), buckets).where("size > 0").join(goal, "_k")
+    runs = _queued(rows.select("_k", "_order", "_tie", "size"), buckets).where("size > 0").join(goal, "_k")
     runs = written(runs.select("_k", "goal", "size", "source_size", "_queued"), "mix-runs")
     passes = runs.select("_k", "goal", "size", F.explode(F.array(
         *[F.col("_queued") + n * F.col("source_size") for n in range(MAX_REPEATS)])).alias("ahead"))
