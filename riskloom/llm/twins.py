@@ -32,7 +32,7 @@ def personal_data() -> str:
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+        "iban": r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}",
         "national": r"(?:^|[^A-Za-z0-9.+-])[0-9]{2,4}-[0-9]{2,4}-[0-9]{3,5}"}
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = (f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 "
@@ -45,10 +45,19 @@ def personal_data() -> str:
         "card": luhn, "phone": f"length({digits}) BETWEEN 9 AND 15", "iban": mod97,
         "national": "NOT regexp_matches(substr(t, e::BIGINT + 1, 1), '[A-Za-z0-9-]')"}
     rank = "list_position([" + ", ".join(f"'{k}'" for k in patterns) + "], kind)"
+    spans = {k: _spans(k, p, 1 if k in pii.ADDED else 0) for k, p in patterns.items()}
+    # An account number is as long as its country's are, within the run that follows its first four characters.
+    head = "[A-Z]{2}[0-9]{2}"
+    by_country = " ".join(
+        f"WHEN substr(run, 1, 2) IN ({', '.join(map(_quoted, names.split()))}) THEN regexp_extract(run, '^{head}(?:\\x20?[A-Z0-9]){{{n - 4}}}')"
+        for n, names in pii.IBAN_LENGTHS.items())
+    spans["iban"] = f"""SELECT rid, kind, s, s + length(m) AS e, m FROM (SELECT *, CASE {by_country} ELSE run END AS m FROM (
+        SELECT rid, kind, s, regexp_extract(substr(t, s::BIGINT + 1, 64), '^{head}(?:\\x20?[A-Z0-9]){{11,30}}') AS run
+        FROM ({spans['iban']}) JOIN d USING (rid)) WHERE run <> '') WHERE m <> ''"""
     found = "\nUNION ALL\n".join(
         f"""SELECT x.rid, kind, s, e, CASE WHEN regexp_matches(lower(substr(t, greatest(s - {pii.CONTEXT} + 1, 1)::BIGINT, least(s, {pii.CONTEXT})::BIGINT)), {_quoted(pii.CONTEXT_WORDS[k])})
             THEN least(1.0::DOUBLE, {pii.PRIOR[k]}::DOUBLE + {pii.BONUS}::DOUBLE) ELSE {pii.PRIOR[k]}::DOUBLE END AS score
-            FROM ({_spans(k, p, 1 if k in pii.ADDED else 0)}) x JOIN d USING (rid) WHERE {valid[k]}""" for k, p in patterns.items())
+            FROM ({spans[k]}) x JOIN d USING (rid) WHERE {valid[k]}""" for k in patterns)
     base = "kind IN ('email', 'ip', 'card', 'phone')"
     return f"""WITH {_ROWS}, f AS MATERIALIZED (SELECT *, {rank} AS rank FROM ({found})),
         g AS (SELECT * FROM f WHERE {base} OR (score >= {pii.FLOOR} AND NOT EXISTS (

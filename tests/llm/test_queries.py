@@ -31,6 +31,21 @@ def test_same_result_as_sql(spark, duck, name):
     assert problem is None, problem
 
 
+def test_account_numbers_are_those_of_the_sql(spark, tmp_path):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947", "XX89370400440532013000"]
+    texts = [f"{lead}{n}{after}" for n in numbers for lead in ("", "my iban ", "x", "AB12 ", "é") for after in ("", " Bank", " BIC COBADEFF", " The end", " 7 I paid", "9", "x", " " + numbers[0])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    frame = catalog.queries()["op4_personal_data"](spark, str(tmp_path))
+    rows = frame.collect()
+    assert sum("iban" in r.spans for r in rows) > 100
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(catalog.sql_texts()["op4_personal_data"])
+    problem = compare("op4_personal_data", table(frame.columns, rows), table([d[0] for d in cur.description], cur.fetchall()))
+    assert problem is None, problem
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = [r for r in catalog.queries()["op2_language"](spark, FOLDER).collect() if r.held_out]
