@@ -116,7 +116,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def communities(edges: DataFrame, hub_edges: int = HUB_EDGES, max_levels: int = 30) -> DataFrame:
-    """(id, community) by modularity: local moves, then the same on the graph of communities, until nothing moves.
+    """(id, community) by modularity: local moves, then the same on the graph of communities, until nothing moves; then
+    communities that gain by it are made one, pair by pair.
 
     All nodes of one half move at a time (the halves change per round), so two neighbours do not swap
     for ever. Ties go to the smallest community; the result does not depend on partitioning.
@@ -133,7 +134,7 @@ def communities(edges: DataFrame, hub_edges: int = HUB_EDGES, max_levels: int =
             member = member.join(step, "community").select("id", F.col("next").alias("community"))
         member = written(member, "members")
         if not changed:
-            return member
+            return _merged(arcs, member)
         a = moved.select(F.col("src"), F.col("community").alias("ca"))
         b = moved.select(F.col("src").alias("dst"), F.col("community").alias("cb"))
         arcs = written(arcs.join(a, "src").join(b, "dst").groupBy(
@@ -151,6 +152,47 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return sums.agg((F.sum("inside") / total - F.sum(F.col("tot") * F.col("tot")) / (total * total)).alias("modularity"))
 
 
+def merge_gains(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, gain): what modularity gains if two communities with an edge between them become one; a < b.
+
+    One row per pair of communities that meet, so as many as the edges at most.
+    """
+    arcs = both_ways(edges)
+    ends = arcs.join(members.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(
+        members.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+    return _gains(written(ends.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "between"))
+
+
+def _gains(between: DataFrame) -> DataFrame:
+    """(a, b, gain) of the pairs that meet, from the weight between all communities, both ways and inside."""
+    weights = between.groupBy("a").agg(F.sum("weight").alias("tot"))
+    total = between.agg(F.sum("weight")).scalar()
+    pairs = between.where("a < b").join(weights.select("a", F.col("tot").alias("ta")), "a").join(
+        weights.select(F.col("a").alias("b"), F.col("tot").alias("tb")), "b")
+    return pairs.select("a", "b", (2 * (F.col("weight") / total - F.col("ta") * F.col("tb") / (total * total))).alias("gain"))
+
+
+def _merged(arcs: DataFrame, member: DataFrame) -> DataFrame:
+    """`member` with communities made one as long as two of them gain by it more than the tolerance.
+
+    In a round, pairs merge that are each other's best. The best pair of all is one of them, and each merge raises the
+    modularity by the tolerance at least, so the rounds have a bound that does not grow with the graph.
+    """
+    between = arcs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
+    while True:
+        gains = _gains(between).where(F.col("gain") > TOLERANCE)
+        ends = gains.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", (-F.round("gain", 12)).alias("cost"))
+        best = ends.groupBy("end").agg(F.min(F.struct("cost", "a", "b")).alias("best"))
+        pairs = written(best.groupBy("best.a", "best.b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b"), "merges")
+        if pairs.isEmpty():
+            return member
+        first, second = (pairs.select(F.col("b").alias(end), F.col("a").alias("into_" + end)) for end in ("a", "b"))
+        between = written(between.join(first, "a", "left").join(second, "b", "left").groupBy(
+            F.coalesce("into_a", "a").alias("a"), F.coalesce("into_b", "b").alias("b")).agg(F.sum("weight").alias("weight")), "between")
+        step = pairs.select(F.col("b").alias("community"), F.col("a").alias("into"))
+        member = written(member.join(step, "community", "left").select("id", F.coalesce("into", "community").alias("community")), "members")
+
+
 def _local_moves(arcs: DataFrame, hub_edges: int) -> DataFrame:
     """(src, community) once neither half moves, or once both halves raise the modularity by less than the tolerance.
 

@@ -197,6 +197,28 @@ def test_communities_beat_components_and_lone_nodes(spark):
     assert value(graph.communities(edges)) > value(whole)
 
 
+def test_gain_of_a_merge_is_the_difference_of_modularity(spark):
+    rows = [(i, j, 1.0 + (i * j) % 3) for i in range(12) for j in range(i, 12) if (i * 5 + j * 3) % 4 == 0]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    label = {i: i % 4 for i in sorted({x for r in rows for x in r[:2]})}
+    frame = lambda members: spark.createDataFrame(list(members.items()), "id long, community long")
+    value = lambda members: graph.modularity(edges, frame(members)).first()[0]
+    gains = {(r.a, r.b): r.gain for r in graph.merge_gains(edges, frame(label)).collect()}
+    assert set(gains) == {tuple(sorted((label[i], label[j]))) for i, j, _ in rows if label[i] != label[j]}
+    for (a, b), gain in gains.items():
+        assert value({i: a if c == b else c for i, c in label.items()}) - value(label) == pytest.approx(gain)
+    assert graph.merge_gains(edges.limit(0), frame(label)).count() == 0
+
+
+def test_merging_goes_on_until_no_pair_gains(spark):
+    rows = [(i, j, 1.0) for g in (range(0, 4), range(4, 8)) for i in g for j in g if i < j] + [(3, 4, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    alone = spark.createDataFrame([(i, i) for i in range(8)], "id long, community long")
+    members = graph._merged(graph.both_ways(edges), alone)
+    assert members.count() == 8 and graph.merge_gains(edges, members).where(F.col("gain") > graph.TOLERANCE).isEmpty()
+    assert graph.modularity(edges, members).first()[0] > graph.modularity(edges, alone).first()[0]
+
+
 def test_copies_of_a_vector_are_one_node(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
