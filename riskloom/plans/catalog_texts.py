@@ -35,7 +35,7 @@ def _(t):
 select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'),
    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '&nbsp;', ' '), chr(8203), ' '), '\s+', ' ', 'g'))) as digest from pages""")
 def _(t):
-    return t.wide("pages").select("page_id", F.sha2(tx.clean_text(F.col("html")), 256).alias("digest"))
+    return t.wide("pages").select("page_id", F.sha2(tx.clean_text(F.col("html"), closed=True), 256).alias("digest"))
 
 
 @query("tags_stripped", r"""
