@@ -58,7 +58,7 @@ def _(t):
 
 @query("slang_expanded", f"select doc_id, sha256({_slang_sql('text')}) as digest from documents")
 def _(t):
-    return t.wide("documents").select("doc_id", F.sha2(tx.expand_slang(F.col("text"), fx.SLANG), 256).alias("digest"))
+    return t.wide("documents").select("doc_id", F.sha2(tx.expand_slang(F.col("text"), fx.SLANG, again=True), 256).alias("digest"))
 
 
 @query("slang_tokens", """

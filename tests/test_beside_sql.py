@@ -41,3 +41,8 @@ def test_references_by_a_browsers_rule_or_closed_ones_only(spark):
     text = "a&amp;&amp b &notit; &#65; &#66 &unknown; &"
     assert one(spark, text, tx.clean_text) == "a&& b ¬it; A B &unknown; &"
     assert one(spark, text, lambda c: tx.clean_text(c, closed=True)) == "a&&amp b &notit; A &#66 &unknown; &"
+
+
+def test_slang_that_an_expansion_completes(spark, tmp_path):
+    texts = ("on, that that thing enonor", "that that thing that thing", "The the² the\nTHE", "que_ que, que", "nothing")
+    assert differs(spark, tmp_path, "slang_expanded", documents(*texts)) is None
