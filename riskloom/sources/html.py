@@ -44,19 +44,19 @@ def visible_markup(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?i)<!doctype[^>]*>", " "), r"<[^>]+>", " ")
 
 
-def with_page_text(df: DataFrame, html: str, out: str = "page_text") -> DataFrame:
+def with_page_text(df: DataFrame, html: str, out: str = "page_text", closed: bool = False) -> DataFrame:
     """Title, social titles and descriptions and ad texts; the visible text when fewer than two.
 
-    Built in stages, so the searches and the entity decoding of a page run once.
+    Built in stages, so the searches and the entity decoding of a page run once. closed: references without a semicolon stay.
     """
     h = F.col(html)
     named = [title(h), meta_content(h, "og:title", "twitter:title"),
              meta_content(h, "og:description", "twitter:description", "description")]
     ads = F.transform(ad_previews(h), lambda a: F.trim(F.regexp_replace(a, "<[^>]+>", " ")))
     staged = df.withColumn("_parts", F.filter(F.concat(F.array_compact(F.array(*named)), ads), lambda p: p != ""))
-    staged = staged.withColumn("_body", clean_text(F.when(F.size("_parts") < 2, visible_markup(h))))
+    staged = staged.withColumn("_body", clean_text(F.when(F.size("_parts") < 2, visible_markup(h)), closed))
     parts = F.array_distinct(F.concat("_parts", F.filter(F.array("_body"), lambda p: p != "")))
-    staged = staged.withColumn("_text", clean_text(F.array_join(parts, " ")))
+    staged = staged.withColumn("_text", clean_text(F.array_join(parts, " "), closed))
     return staged.withColumn(out, F.when(is_garbled(F.col("_text")), "").otherwise(F.col("_text"))).drop("_parts", "_body", "_text")
 
 

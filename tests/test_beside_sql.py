@@ -46,3 +46,7 @@ def test_references_by_a_browsers_rule_or_closed_ones_only(spark):
 def test_slang_that_an_expansion_completes(spark, tmp_path):
     texts = ("on, that that thing enonor", "that that thing that thing", "The the² the\nTHE", "que_ que, que", "nothing")
     assert differs(spark, tmp_path, "slang_expanded", documents(*texts)) is None
+
+
+def test_page_text_keeps_a_cut_reference(spark, tmp_path):
+    assert differs(spark, tmp_path, "page_text", pages(*CUT)) is None
