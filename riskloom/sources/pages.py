@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import clean_text, is_garbled
+from riskloom.functions.text import clean_text, is_garbled, keep_open_references
 
 #: Meta tags whose content belongs to a page's text, in this order.
 TEXT_METAS = ("og:title", "og:description", "twitter:title", "twitter:description", "description")
@@ -92,10 +92,10 @@ class _Page(HTMLParser):
         return self
 
 
-def parse(html: str) -> _Page:
+def parse(html: str, closed: bool = False) -> _Page:
     page = _Page()
     try:
-        page.feed(html)
+        page.feed(keep_open_references(html) if closed else html)
         return page.done()
     except AssertionError:
         # Declarations the parser gives up on: what was read up to there stays.
@@ -104,12 +104,12 @@ def parse(html: str) -> _Page:
         return page
 
 
-def _parts(keep: int):
+def _parts(keep: int, closed: bool):
     metas = pa.map_(pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [parse(h.as_py() or "") for h in batch.column(keep)]
+            pages = [parse(h.as_py() or "", closed) for h in batch.column(keep)]
             wanted = {*TEXT_METAS, *IMAGE_METAS}
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:keep], pa.array([p.title for p in pages], pa.string()),
@@ -120,17 +120,18 @@ def _parts(keep: int):
     return run
 
 
-def page_parts(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
+def page_parts(df: DataFrame, html: str, keep: Sequence[str], closed: bool = False) -> DataFrame:
     """Columns `keep` with title, metas (name to first content), previews (texts of the marked divs, in the order they open)
-    and visible (all text outside scripts and styles). A null page has a null title and nothing else."""
+    and visible (all text outside scripts and styles). A null page has a null title and nothing else.
+    closed: references without a semicolon stay."""
     frame = df.select(*keep, html)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return frame.mapInArrow(_parts(len(keep)), f"{kinds}, title string, metas map<string,string>, previews array<string>, visible string")
+    return frame.mapInArrow(_parts(len(keep), closed), f"{kinds}, title string, metas map<string,string>, previews array<string>, visible string")
 
 
-def with_text(parts: DataFrame, previews: Column, out: str = "page_text") -> DataFrame:
+def with_text(parts: DataFrame, previews: Column, out: str = "page_text", closed: bool = False, judged: bool = True) -> DataFrame:
     """Adds the text of a page from its parts: title, meta texts, preview texts where `previews` holds, each once; the visible
-    text as well when fewer than two are there. Garbled parts are left out, and a garbled whole is empty."""
+    text as well when fewer than two are there. Garbled parts are left out, and a garbled whole is empty if `judged`."""
     named = F.array(*[F.element_at("metas", m) for m in TEXT_METAS])
     every = F.concat(named, F.when(previews, F.col("previews")).otherwise(F.array().cast("array<string>")))
 
@@ -141,10 +142,11 @@ def with_text(parts: DataFrame, previews: Column, out: str = "page_text") -> Dat
     rest = F.filter(F.transform(F.filter(every, lambda p: p.isNotNull()), squeezed), lambda p: ~is_garbled(p))
     title = F.filter(F.array(squeezed(F.col("title"))), lambda p: p.isNotNull())
     staged = parts.withColumn("_parts", F.array_distinct(F.filter(F.concat(title, rest), lambda p: p != "")))
-    staged = staged.withColumn("_body", F.when(F.size("_parts") < 2, clean_text(F.col("visible"))))
+    staged = staged.withColumn("_body", F.when(F.size("_parts") < 2, clean_text(F.col("visible"), closed)))
     whole = F.concat("_parts", F.filter(F.array("_body"), lambda b: b.isNotNull() & (b != "") & ~is_garbled(b)))
-    staged = staged.withColumn("_text", clean_text(F.array_join(F.array_distinct(whole), " ")))
-    return staged.withColumn(out, F.when(is_garbled(F.col("_text")), "").otherwise(F.col("_text"))).drop("_parts", "_body", "_text")
+    staged = staged.withColumn("_text", clean_text(F.array_join(F.array_distinct(whole), " "), closed))
+    text = F.col("_text")
+    return staged.withColumn(out, F.when(is_garbled(text), "").otherwise(text) if judged else text).drop("_parts", "_body", "_text")
 
 
 def image_link(metas: str = "metas") -> Column:

@@ -50,3 +50,7 @@ def test_slang_that_an_expansion_completes(spark, tmp_path):
 
 def test_page_text_keeps_a_cut_reference(spark, tmp_path):
     assert differs(spark, tmp_path, "page_text", pages(*CUT)) is None
+
+
+def test_page_parts_keeps_a_cut_reference_and_odd_titles(spark, tmp_path):
+    assert differs(spark, tmp_path, "page_parts", pages(*CUT, *GARBLED)) is None
