@@ -54,3 +54,9 @@ def test_page_text_keeps_a_cut_reference(spark, tmp_path):
 
 def test_page_parts_keeps_a_cut_reference_and_odd_titles(spark, tmp_path):
     assert differs(spark, tmp_path, "page_parts", pages(*CUT, *GARBLED)) is None
+
+
+@pytest.mark.parametrize("name", ["rule_detector", "rule_detector_from_table", "rule_detector_with_trusted_source"])
+def test_detector_code_before_an_accented_letter(spark, tmp_path, name):
+    texts = ("zu undß der this", "zu und der this", "zu undx der this", "zu und_ der this", "der undö this from with")
+    assert differs(spark, tmp_path, name, documents(*texts)) is None
