@@ -192,6 +192,17 @@ def test_index_spares_pairs_of_blocks_and_loses_nothing(spark):
     assert {(r.query_id, r.vec_id) for r in edges.select("query_id", "vec_id").collect()} == near and pairs.compared < 0.3 * pairs.possible
 
 
+def test_a_block_travels_once_a_tile(spark):
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1200, 4)))], "id long, vector array<double>")
+    pivots = vector_index.pivots_of(vector_index.sampled(frame), 8)
+    laid = vector_index.blocks(frame, pivots, 5)
+    n, met = laid.count(), vector_index._met(laid, laid, len(pivots), one_way=False)
+    # 240 blocks and more: pair by pair each would travel as often as there are blocks.
+    assert n >= 240 and met.count() <= 2 * vector_index.TILES * n
+    assert met.select("a", "b").distinct().count() <= vector_index.TILES ** 2
+
+
 def test_threshold_of_two_tables_in_blocks(spark):
     rng = np.random.default_rng(7)
     a, b = rng.standard_normal((60, 4)), rng.standard_normal((70, 4))
