@@ -117,3 +117,17 @@ def test_garbled_and_noise(spark):
     assert one(spark, "Ã" * 30, tx.is_garbled)
     assert one(spark, "1.2K", tx.is_noise) and one(spark, "5 phút trước", tx.is_noise) and one(spark, "Haha", tx.is_noise)
     assert not one(spark, "xin chào các bạn", tx.is_noise)
+
+
+def test_numbers_of_mentions_are_read_as_columns_are(spark):
+    raws = ["1.000.000", "1,5", "1.234,56", "1,234.56", "12", "1.5", "1,000", "1.000,000.000", "0", "007", "1.0000", "82.500,87", "999,999"]
+    df = spark.createDataFrame([(r,) for r in raws], "x string").select("x", tx.parse_number(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == {r: rates.number_of(r) for r in raws}
+
+
+def test_pairs_of_mentions_leave_no_number_to_the_plan(spark):
+    offers = spark.createDataFrame([(1, "5k nhận 1.000 robux, 0 vnd, 2,5 rbx"), (2, None)], "id long, text string")
+    pairs = rates.rate_pairs(offers, "id", "text", ["robux", "rbx"], 80)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 0, 8, 5000.0, 1000.0, "robux"), (1, 0, 28, 5000.0, 2.5, "rbx")]
+    # The text is read in the task; parsing in the plan repeated its regular expressions for every use of a number.
+    assert "RLIKE" not in pairs._jdf.queryExecution().optimizedPlan().toString()
