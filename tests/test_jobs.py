@@ -219,6 +219,19 @@ def test_merging_goes_on_until_no_pair_gains(spark):
     assert graph.modularity(edges, members).first()[0] > graph.modularity(edges, alone).first()[0]
 
 
+def test_communities_of_an_even_graph_take_few_rounds(spark, monkeypatch):
+    # Neighbours drawn at random: single moves alone had not ended after 120 s here.
+    rng = np.random.default_rng(0)
+    rows = {(int(a), int(b)) for a, b in zip(rng.integers(0, 400, 6000), rng.integers(400, 900, 6000))}
+    edges = spark.createDataFrame(sorted(rows), "src long, dst long").withColumn("weight", F.lit(1.0))
+    labels, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: labels.append(label) or write(df, label))
+    members = write(graph.communities(edges), "members")
+    assert members.count() == 900 and graph.merge_gains(edges, members).where(F.col("gain") > graph.TOLERANCE).isEmpty()
+    assert labels.count("named") <= 25 and labels.count("moves") <= 40
+    assert graph.modularity(edges, members).first()[0] > 0.1
+
+
 def test_copies_of_a_vector_are_one_node(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
