@@ -232,6 +232,19 @@ def test_communities_of_an_even_graph_take_few_rounds(spark, monkeypatch):
     assert graph.modularity(edges, members).first()[0] > 0.1
 
 
+def test_mentions_of_all_kinds_come_from_one_pass(spark):
+    from riskloom.operators import rates
+    from riskloom.plans import registry
+
+    frame = spark.createDataFrame([(1, "10k 5 kc 3 k"), (2, None), (3, "1.000 VND, 7 uc")], "id long, text string")
+    kinds = {"price": ["vnd", "k"], "item": ["kc", "uc"]}
+    found = sorted(tuple(r) for r in rates.mention_kinds(frame, "id", "text", kinds).collect())
+    apart = sorted((r.id, kind, r.pos, r.raw, r.unit) for kind, units in kinds.items() for r in rates.mention_rows(frame, "id", "text", units).collect())
+    assert found == apart and len(found) == 5
+    plan = registry.runners()["quantity_mentions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_copies_of_a_vector_are_one_node(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
