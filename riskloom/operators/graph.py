@@ -7,12 +7,14 @@ back with its true size, so the planner's estimates stay right however many roun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import bucketed, written
 
 HUB_EDGES = 1_000_000
+#: Rows and columns of cells that the arcs of a ranking lie in.
+GRID_SIDE = 4
 #: Gain of modularity below which a round of moves counts as no gain.
 TOLERANCE = 1e-4
 
@@ -65,31 +67,67 @@ class Adjacency:
 
 
 def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub_edges: int = HUB_EDGES,
-              every: int = 5) -> DataFrame:
+              every: int = 5, side: int = GRID_SIDE) -> DataFrame:
     """(id, score) summing to 1. `edges` holds directed arcs (src, dst, weight); rank of nodes
-    without outgoing arcs is spread over all nodes."""
+    without outgoing arcs is spread over all nodes.
+
+    Arcs lie in a grid of `side` times `side` cells, by source and by target, one bucket a cell. A rank goes to `side` cells and
+    `side` sums come back to a node, however many neighbours it has. A hub's arcs are dealt over the rows of the grid.
+    """
+    spark = edges.sparkSession
     edges = written(edges, "edges")
-    adj = Adjacency(edges, hub_edges)
-    ids = written(adj.nodes.select(F.col("src").alias("id"), "parts").union(
-        edges.select(F.col("dst").alias("id"), F.lit(0))).groupBy("id").agg(F.max("parts").alias("parts")), "ids")
+    stats = edges.groupBy("src").agg(F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("degree")).select(
+        F.col("src").alias("id"), "out_weight", F.least(F.ceil(F.col("degree") / hub_edges), F.lit(side)).cast("int").alias("parts"))
+    ids = bucketed(stats.unionByName(edges.select(F.col("dst").alias("id"), F.lit(None).cast("double").alias("out_weight"), F.lit(0).alias("parts"))).groupBy(
+        "id").agg(F.max("out_weight").alias("out_weight"), F.max("parts").alias("parts")), "ids", "id", partitions=side * side)
+    cells = _bucket_labels(spark, side * side)
+
+    def cell(part: Column, column: Column) -> Column:
+        return F.get(cells, (F.pmod(F.xxhash64("src") + part, F.lit(side)) * side + column).cast("int")).alias("cell")
+
+    nodes = ids.select(F.col("id").alias("src"), "out_weight", "parts")
+    arcs = bucketed(edges.join(nodes, "src").select(
+        cell(F.pmod(F.xxhash64("dst", "src"), F.col("parts")), F.pmod(F.xxhash64("dst"), F.lit(side))), "src", "dst",
+        (F.col("weight") / F.col("out_weight")).alias("share")), "arcs", "cell", partitions=side * side)
     facts = ids.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parts") == 0).alias("sinks")).first()
     n = facts["n"]
+    ids = ids.select("id", "parts")
     ranks = ids.withColumn("score", F.lit(1.0 / n))
-    for step in range(1, iterations + 1):
-        inflow = adj.send(ranks.withColumnRenamed("id", "src"), "score").groupBy(F.col("dst").alias("id")).agg(
-            F.sum(F.col("score") * F.col("share")).alias("inflow"))
-        lost = F.lit(0.0)
-        if facts["sinks"]:
-            lost = F.coalesce(ranks.filter("parts = 0").agg(F.sum("score")).scalar(), F.lit(0.0))
-        base = F.lit((1 - damping) / n) + F.lit(damping) * lost / n
-        ranks = ids.join(inflow, "id", "left").select(
-            "id", "parts", (base + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("score"))
-        # With sinks a step reads the ranks twice, so each is written before the next one.
-        if (facts["sinks"] or step % every == 0) and step < iterations:
-            ranks = written(ranks, "ranks")
+    # Arcs stay in their cells, although they are joined by cell and source: no exchange may have more partitions than these.
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.shuffle.partitions": str(side * side)}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for step in range(1, iterations + 1):
+            sent = ranks.where("parts > 0").select(F.col("id").alias("src"), "parts", "score").select(
+                "src", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+                "src", "score", "part", F.explode(F.array(*[F.lit(c) for c in range(side)])).alias("column")).select(
+                cell(F.col("part"), F.col("column")), "src", "score")
+            inflow = arcs.join(sent.hint("shuffle_hash"), ["cell", "src"]).groupBy(F.col("dst").alias("id")).agg(
+                F.sum(F.col("score") * F.col("share")).alias("inflow"))
+            lost = F.lit(0.0)
+            if facts["sinks"]:
+                lost = F.coalesce(ranks.filter("parts = 0").agg(F.sum("score")).scalar(), F.lit(0.0))
+            base = F.lit((1 - damping) / n) + F.lit(damping) * lost / n
+            ranks = ids.join(inflow, "id", "left").select(
+                "id", "parts", (base + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("score"))
+            # With sinks a step reads the ranks twice, so each is written before the next one.
+            if facts["sinks"] or step % every == 0 or step == iterations:
+                ranks = written(ranks, "ranks")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return ranks.select("id", "score")
 
 
+def _bucket_labels(spark: SparkSession, n: int) -> Column:
+    """An array of n labels that a table of n buckets keeps in one bucket each."""
+    found = spark.range(100 * n).select(F.col("id").cast("int").alias("label")).groupBy(
+        F.pmod(F.hash("label"), F.lit(n)).alias("bucket")).agg(F.min("label").alias("label")).orderBy("bucket").collect()
+    return F.array(*[F.lit(r["label"]) for r in found])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each node.
 

@@ -73,6 +73,30 @@ def test_rank_sums_to_one_and_hub_parts_change_nothing(spark):
     assert whole == pytest.approx(parts)
 
 
+def test_ranks_leave_the_arcs_in_their_cells(spark, monkeypatch):
+    plans, write = [], graph.written
+
+    def kept(df, label):
+        if label == "ranks":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "written", kept)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "7")
+        graph.page_rank(small_graph(spark), iterations=1).collect()
+        assert spark.conf.get(names[1]) == "7"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    exchanged = [line for line in plans[0].split("\n") if "Exchange hashpartitioning" in line]
+    # Ranks go to their cells and sums come back to their nodes.
+    assert sorted(line.split("(")[1].split("#")[0] for line in exchanged) == ["cell", "dst"]
+
+
 def test_components_are_named_by_their_smallest_node(spark):
     got = {r["id"]: r["component"] for r in graph.components(small_graph(spark)).collect()}
     assert got == {**dict.fromkeys(range(1, 7), 1), 10: 10, 11: 10, 12: 10}
