@@ -240,6 +240,44 @@ def test_ten_thousand_patterns(spark):
     assert got == sorted((i, c, p) for i, t in docs for c, p, x in tests if x.search((t or "").lower()))
 
 
+FAR = pattern_lexicon.UNBOUND
+
+
+@pytest.mark.parametrize("pattern, near", [
+    (r"las?\s+(?:the\s+|[a-z]{2}\s+)?de", (["la"], ["de"], 4, 1, 0, -1, -1)), (r"token\s*=", (["token"], ["="], 0, FAR, FAR, -1, -1)),
+    (r"(?:free|cheap) robux[0-9]{0,2}", (["cheap", "free"], [" robux"], 0, FAR, FAR, -1, 2)), (r"\p{L}{1,4}\sword[a-z]?", (["word"], [], 0, FAR, FAR, 4, 1)),
+    (r"ab(?:x\s+yy|z \w){1,2}c?dd", (["ab"], ["dd"], 7, 1, 3, -1, -1)), (r"\bpay day", None), (r"ab.*cd", None), (r"ab++cd", None), (r"a[b[c]]def", None),
+    (r"(?i)offer now", None), (r"[0-9]{16}", None), (r"(abc)x\1", None), (r"ab\vcd", None), (r"ab.{0,5000}cd", None)])
+def test_near_literals(pattern, near):
+    assert pattern_lexicon.near_literals(pattern) == near
+
+
+def test_texts_are_matched_only_where_literals_are_near():
+    import pyarrow as pa
+
+    near = pattern_lexicon.near_literals(r"alphas?\s+(?:the\s+)?beta")
+    words = "alpha gamma delta beta " * 10_000
+    texts = [words, words + "alphas  the\nbeta " + words, "alpha", "beta"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["id", "low"])
+    got = [row for own in pattern_lexicon._candidates([(7, near)], [])(iter([batch])) for row in own.to_pylist()]
+    assert got == [{"id": 1, "texts": ["alphas  the\nbeta"], "numbers": [7]}]
+
+
+def test_bounded_patterns_match_as_every_pattern_on_every_text(spark):
+    rng = random.Random(11)
+    words = ["a", "b", "ab", "ba", "abc", "é", "cab", "x=", "the"]
+    parts = [r"s?", r"\s+", r"\s*", r"[a-c]{0,2}", r"(?:the\s+|[a-z]{2}\s+)?", r"(?: x|\sab ?)", r".?", r"\S{1,3}", " ", r"(?:a\s?){1,2}", r"[^b]", r"(ab|cab|é)", r"\p{L}", r"\b", r"[ \t]+?"]
+    lexicon = sorted({"".join(rng.choice(words) if i % 2 == 0 or rng.random() < 0.2 else rng.choice(parts) for i in range(rng.randint(1, 6))) for _ in range(500)}
+                     | {rng.choice(parts) + rng.choice(words) + rng.choice(parts) for _ in range(60)} - {""})
+    lexicon += lexicon[:9]
+    whites = [" ", " ", "  ", "\n", "\t ", "", "\x0b", "\x1c", " ", " " * 300]
+    docs = [(i, "".join(rng.choice([*words, "s", "cc"]) + rng.choice(whites) for _ in range(rng.randint(0, 25)))) for i in range(120)]
+    texts, table = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame([("c", p) for p in lexicon], "category string, pattern string")
+    found = sorted(tuple(r) for r in pattern_lexicon.regex_matches(texts, "id", "text", table).collect())
+    assert sum(pattern_lexicon.near_literals(p) is not None for p in lexicon) > 200
+    assert found == sorted(tuple(r) for r in texts.crossJoin(table).where(F.regexp(F.lower("text"), F.col("pattern"))).select("id", "category", "pattern").collect())
+
+
 # --- pages --------------------------------------------------------------------------------------------------------------
 
 def test_page_parts(spark):
