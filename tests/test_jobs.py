@@ -201,6 +201,22 @@ def test_lexicon_rule_is_the_same_at_every_size(spark):
     assert (1, "b", "two words") in found[0] and (5, "b", "ating") in found[0] and found[0].count((1, "a", "token")) == 2
 
 
+def test_long_texts_are_searched_slice_by_slice():
+    import pyarrow as pa
+
+    from riskloom.sources import reference
+
+    texts = ["ab cd " * 2_000 if i % 3 else "" for i in range(300)] + ["cd " * reference.SLICE_BYTES, "ab", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "low"])
+    cut = list(reference.slices([batch.slice(0, 0), batch], 1))
+    assert [t for own in cut for t in own.column(1).to_pylist()] == texts
+    assert all(own.num_rows and (own.num_rows == 1 or sum(map(len, own.column(1).to_pylist())) <= reference.SLICE_BYTES) for own in cut)
+    found = list(reference._search([("x", "ab"), ("y", "ab"), ("x", "cd")])(iter([batch])))
+    assert len(found) == len(cut) and max(own.num_rows for own in found) < 150
+    assert sorted(tuple(r.values()) for own in found for r in own.to_pylist()) == sorted(
+        (i, c, p) for i, t in enumerate(texts) for c, p in (("x", "ab"), ("y", "ab"), ("x", "cd")) if p in t)
+
+
 def test_literal_tables_are_joined_without_a_shuffle(spark):
     from riskloom.operators.rates import band_table
 
