@@ -15,6 +15,8 @@ from riskloom.session import bucketed, written
 HUB_EDGES = 1_000_000
 #: Rows and columns of cells that the arcs of a ranking lie in.
 GRID_SIDE = 4
+#: Edges a node that components are looked for in first.
+SAMPLED_EDGES = 3.0
 #: Gain of modularity below which a round of moves counts as no gain.
 TOLERANCE = 1e-4
 
@@ -128,14 +130,38 @@ def _bucket_labels(spark: SparkSession, n: int) -> Column:
     return F.array(*[F.lit(r["label"]) for r in found])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable from each node.
+def components(edges: DataFrame, max_rounds: int = 60, sampled: float = SAMPLED_EDGES) -> DataFrame:
+    """(id, component): the smallest id reachable from each node. The edges are read several times: give a stored table.
+
+    If there are many edges a node, the components of a sample of them, `sampled` a node, are found first. Edges inside one of
+    those tell nothing new; all others join them, so the result is that of all edges, and rounds run on few of them.
+    """
+    links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    n, nodes = links.agg(F.count(F.lit(1)), F.approx_count_distinct("u") + F.approx_count_distinct("v")).first()
+    if sampled * nodes * 2 >= n:
+        found = _star_roots(links, max_rounds)
+    else:
+        share = 1 << 20
+        some = written(_star_roots(links.where(F.pmod(F.xxhash64("u", "v"), F.lit(share)) < int(share * sampled * nodes / n)), max_rounds), "roots")
+        u, v = (some.select(F.col("id").alias(end), F.col("component").alias("of_" + end)) for end in ("u", "v"))
+        a, b = F.coalesce("of_u", "u"), F.coalesce("of_v", "v")
+        between = links.join(u, "u", "left").join(v, "v", "left").where(a != b)
+        rest = written(between.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+        joined = _star_roots(rest, max_rounds)
+        # A node outside the sample is joined under its own id.
+        found = some.join(joined.select(F.col("id").alias("component"), F.col("component").alias("into")), "component", "left").select(
+            "id", F.coalesce("into", "component").alias("component")).unionByName(joined.join(some, "id", "left_anti"))
+    alone = edges.where("src = dst").select(F.col("src").alias("id")).distinct().join(found, "id", "left_anti")
+    return found.unionByName(alone.select("id", F.col("id").alias("component")))
+
+
+def _star_roots(links: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, component) of the nodes of `links` (u, v), u > v.
 
     Large and small stars in turn: every node ties its larger neighbours to its smallest one, then itself and its smaller
     neighbours to the smallest of them. No step joins on the component, so one giant component is no hot key.
     """
-    stars = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
-    before = None
+    stars, before = links, None
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -145,10 +171,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         stars = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         mark = stars.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if mark == before:
-            found = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
             roots = stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            alone = edges.where("src = dst").select(F.col("src").alias("id")).distinct().join(found.unionByName(roots), "id", "left_anti")
-            return found.unionByName(roots).unionByName(alone.select("id", F.col("id").alias("component")))
+            return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
         before = mark
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 

@@ -133,11 +133,15 @@ LABELS = _labels_sql(12)
 
 @query("connected_components", f"with {LABELS} select id, component from c")
 def _(t):
-    return graph.components(_edges(t).select("src", "dst"))
+    return graph.components(_pairs(t))
+
+
+def _pairs(t):
+    return written(_edges(t).select("src", "dst"), "edges")
 
 
 def _members(t):
-    return graph.components(_edges(t).select("src", "dst")).withColumnRenamed("component", "community")
+    return graph.components(_pairs(t)).withColumnRenamed("component", "community")
 
 
 @query("botnet_communities", f"""with {LABELS}, {NODE_SQL},
@@ -157,8 +161,9 @@ select 'edges' as metric, count(*)::double as value from e union all select 'nod
 union all select 'victims', count_if(node_type = 'VICTIM') from nodes union all select 'communities', count(*) from k union all select 'avg_community_size', round(avg(n), 6) from k
 union all select 'largest_community', max(n) from k union all select 'botnets', count(*) from z union all select 'high_confidence_botnets', coalesce(count_if(p > 0.7), 0) from z""")
 def _(t):
-    members, nodes = written(_members(t), "members"), _nodes(t)
-    out = graph.graph_summary(_edges(t), nodes, members, graph.botnet_communities(members, nodes, 3, 0.1, 0.3))
+    edges, nodes = _pairs(t), _nodes(t)
+    members = written(graph.components(edges).withColumnRenamed("component", "community"), "members")
+    out = graph.graph_summary(edges, nodes, members, graph.botnet_communities(members, nodes, 3, 0.1, 0.3))
     return out.withColumn("value", F.round("value", 6))
 
 

@@ -102,6 +102,38 @@ def test_components_are_named_by_their_smallest_node(spark):
     assert got == {**dict.fromkeys(range(1, 7), 1), 10: 10, 11: 10, 12: 10}
 
 
+def test_components_of_many_edges_come_from_a_sample(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(0, 300), rng.randrange(300, 400)) for _ in range(6000)] + [(rng.randrange(1000, 1100), 1200) for _ in range(3000)]
+    rows += [(i, i + 1) for i in range(2000, 2060)] + [(2060, 399), (3000, 3001), (3001, 3000), (4000, 4000), (5, 5), (9, 9)] + [(5000, i) for i in range(5001, 5400)]
+    low = {i: i for row in rows for i in row}
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in rows:
+        a, b = sorted((top(a), top(b)))
+        low[b] = a
+    stars, write = [], graph.written
+
+    def kept(df, label):
+        out = write(df, label)
+        if label == "stars":
+            stars.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", kept)
+    edges = spark.createDataFrame(rows, "src long, dst long").repartition(3)
+    for sampled in (graph.SAMPLED_EDGES, 0.4):
+        got = [tuple(r) for r in graph.components(edges, sampled=sampled).select("id", "component").collect()]
+        assert sorted(got) == sorted((i, top(i)) for i in low)
+        # 6,018 different edges of 965 nodes: the rounds run on a sample of them.
+        assert sampled != graph.SAMPLED_EDGES or max(stars) < 2500
+    assert graph.components(edges.where("src < 0")).count() == 0
+
+
 def test_communities_find_the_cliques(spark):
     def clique(ids):
         return [(a, b) for a in ids for b in ids if a < b]
