@@ -171,6 +171,21 @@ def test_copies_become_a_star(spark):
     assert sorted((r["src"], r["dst"]) for r in similarity.similar_edges(df, 0.9).collect()) == [(0, i) for i in range(1, 5)]
 
 
+def test_similar_to_edges_has_all_pairs_of_copies(spark, tmp_path):
+    import duckdb
+
+    from riskloom.plans import registry
+    from riskloom.sources.tables import SCHEMAS
+
+    rows = [(i, [1.0, 0.0], 0) for i in range(5)] + [(9, [0.0, 1.0], 1), (10, [0.5, 1.0], 1), (11, [0.5, 1.0], 0)]
+    spark.createDataFrame(rows, SCHEMAS["embeddings"]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = sorted(con.execute(registry.sql_texts()["similar_to_edges"]).fetchall())
+    found = sorted(tuple(r) for r in registry.runners()["similar_to_edges"](spark, str(tmp_path)).select("src", "dst", "similarity").collect())
+    assert found == wanted and len(wanted) == 23
+
+
 def test_noise_is_stable_and_flags_tell_the_truth(spark):
     df = spark.createDataFrame([(i, f"xin chào các bạn, hay lắm nhé số {i}! ok thanks") for i in range(60)], "id long, t string")
     a = {r["id"]: r for r in noise.augment(df, "id", "t").collect()}
