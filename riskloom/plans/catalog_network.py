@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import graph, similarity
+from riskloom.operators import graph
 from riskloom.plans.registry import query
 from riskloom.session import fresh_path, written
 
@@ -219,9 +219,7 @@ h(id, d) as (select vec_id, 0 from embeddings where label = 1 union select p.dst
 select id, min(d) as depth from h group by 1""")
 def _(t):
     vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    heads = similarity.head_of(vectors)
-    edges = similarity.head_edges(vectors, heads, 0.3).select("src", "dst")
-    return graph.propagation_depth(edges, t("embeddings").filter("label = 1").select(F.col("vec_id").alias("id")), heads, 4)
+    return graph.similar_depth(vectors, t("embeddings").filter("label = 1").select(F.col("vec_id").alias("id")), 0.3, 4)
 
 
 # ---- node upkeep ------------------------------------------------------------------------------------

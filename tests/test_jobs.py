@@ -343,6 +343,30 @@ def test_copies_of_a_vector_are_one_node(spark):
     assert {r.id: r.depth for r in graph.propagation_depth(edges, seeds, heads, 3).collect()} == {1: 0, 4: 0, 2: 1, 5: 1}
 
 
+def test_propagation_stores_no_edges_and_copies_of_seeds_are_one_step_away(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from riskloom.plans import registry
+    from riskloom.sources.tables import SCHEMAS
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=12)], 1 if i % 40 == 0 else 0) for i in range(300)]
+    rows += [(300 + i, rows[5 * i][1], 0) for i in range(20)] + [(400 + i, [float(x) for x in 3 + rng.normal(size=12)], 2) for i in range(4)]
+    spark.createDataFrame(rows, SCHEMAS["embeddings"]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    sql = registry.sql_texts()["propagation_depth"].replace("0.3)", "0.6)")
+    wanted = dict(con.execute(sql).fetchall())
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>, label int")
+    sizes, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: sizes.append((out := write(df, label)).count()) or out)
+    found = {r.id: r.depth for r in graph.similar_depth(vectors.drop("label"), vectors.where("label = 1").select("id"), 0.6, 4, block=64).collect()}
+    assert found == wanted and len(set(wanted.values())) > 3 and wanted[300] == 1
+    assert max(sizes) <= len(rows)
+    wanted = dict(con.execute(registry.sql_texts()["propagation_depth"]).fetchall())
+    assert {r.id: r.depth for r in registry.runners()["propagation_depth"](spark, str(tmp_path)).collect()} == wanted
+
+
 def test_alerts_of_a_backlog_in_reverse_order(spark, tmp_path, monkeypatch):
     import datetime
 
