@@ -332,6 +332,20 @@ def test_mentions_of_all_kinds_come_from_one_pass(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_mentions_are_counted_by_key_without_being_shuffled(spark):
+    from riskloom.operators import rates
+    from riskloom.plans import registry
+
+    rows = [(i % 7, "10k 5 kc 3 k" if i % 3 else f"1.000 VND, {i} uc 10k") for i in range(3_000)] + [(None, "7 kc"), (None, "7 kc"), (8, None)]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    kinds = {"price": ["vnd", "k"], "item": ["kc", "uc"]}
+    found = sorted((tuple(r) for r in rates.mention_counts(frame, "id", "text", kinds).collect()), key=repr)
+    counted = rates.mention_kinds(frame, "id", "text", kinds).groupBy("id", "kind", "pos", "raw", "unit").count()
+    assert found == sorted((tuple(r) for r in counted.collect()), key=repr) and (None, "item", 0, "7", "kc", 2) in found
+    plan = registry.runners()["quantity_mentions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_copies_of_a_vector_are_one_node(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
