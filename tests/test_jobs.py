@@ -346,6 +346,24 @@ def test_mentions_are_counted_by_key_without_being_shuffled(spark):
     assert "Aggregate" not in plan
 
 
+def test_rate_risk_beside_the_text_equals_the_joined_verdict(spark):
+    from riskloom.operators import rates
+    from riskloom.plans import registry
+
+    rows = [(1, "10k nhận 900 kc"), (1, "10k nhận 400 kc"), (2, "10k nhận 650 kc"), (2, None), (3, "10k nhận 5 kc"), (4, "0k 5 kc"), (5, ""),
+            (6, "1" * 400 + "k " + "2" * 400 + " uc"), (7, "20.000 vnd 1,5 robux 400 rbx"), (8, "10k nhận 999 pets")]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    names = ["kc", "uc", "robux", "rbx", "pets"]
+    mine = rates.with_rate_risk(frame, "id", "text", names)
+    hits = rates.rate_hits(rates.rate_pairs(frame, "id", "text", names), rates.band_table(spark))
+    joined = frame.join(rates.rate_verdict(hits, "id").select("id", "rate_risk", "top_severity"), "id", "left")
+    order = {"key": repr}
+    found = sorted((tuple(r) for r in mine.collect()), **order)
+    assert found == sorted((tuple(r) for r in joined.collect()), **order) and {r[3] for r in found} == {None, "suspicious", "scam"}
+    plan = registry.runners()["rule_detector_with_rates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RLIKE") < 20
+
+
 def test_copies_of_a_vector_are_one_node(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
