@@ -27,6 +27,19 @@ def recent_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return ranked.filter(F.col("rank") <= n)
 
 
+def means_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """(keys..., mean): the mean per key, its values added one after the other in `order`.
+
+    A sum of doubles depends on the order they are added in, and a mean that lies on a tie of the digit it is rounded to shows it.
+    A running sum adds row by row and spills if a key has many, so the result does not depend on how the rows are dealt.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = Window.partitionBy(*keys).orderBy(*order)
+    running = df.select(*keys, F.sum(value).over(before).alias("_sum"), F.count(value).over(before).alias("_n"), F.row_number().over(place).alias("_at"))
+    last = running.groupBy(*keys).agg(F.max_by(F.struct("_sum", "_n"), "_at").alias("_last"))
+    return last.select(*keys, F.try_divide("_last._sum", "_last._n").alias("mean"))
+
+
 def recent_with_totals(df: DataFrame, key: str, order: Sequence[Column], n: int, totals: Sequence[str]) -> DataFrame:
     """First n rows per key in `order`, newest first; each column of `totals` becomes its running sum from the oldest row on.
 

@@ -8,7 +8,7 @@ from riskloom.functions import fixed_values as fixed
 from riskloom.functions import maps, scores
 from riskloom.functions.patterns import any_pattern, count_words, matched_words
 from riskloom.functions.text import match_form
-from riskloom.operators import drift, lexicon
+from riskloom.operators import drift, lexicon, ordered
 from riskloom.plans import fixture as fx
 from riskloom.plans.fixture import dbl, quoted, sql_count_patterns, sql_count_words
 from riskloom.plans.registry import query
@@ -307,7 +307,9 @@ PROMPT_GROUPS = {"safe": ["click", "view"], "suspicious": ["signup"], "high_risk
 
 def _prompt_map(t):
     """Per user: event type -> mean value / 100, a stand-in for prompt probabilities."""
-    per = t("events").groupBy("user_id", "event_type").agg(F.round(F.avg("value") / 100, 6).alias("p"))
+    # Added in the order of the events, as a scan of the file adds them: many means lie on a tie of the sixth digit.
+    per = ordered.means_in_order(t("events"), ["user_id", "event_type"], ["event_id", "ts", "value"], "value").select(
+        "user_id", "event_type", scores.half_away(F.col("mean") / 100, 6).alias("p"))
     return per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "p"))).alias("probs"))
 
 

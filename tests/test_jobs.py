@@ -364,6 +364,24 @@ def test_rate_risk_beside_the_text_equals_the_joined_verdict(spark):
     assert "Join" not in plan and plan.count("RLIKE") < 20
 
 
+def test_means_are_added_in_the_order_of_the_events(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from riskloom.plans import registry
+    from riskloom.sources.tables import SCHEMAS
+
+    rng, start = random.Random(7), datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, start + datetime.timedelta(seconds=i), i % 500, ["click", "error"][i % 3 == 0], round(rng.uniform(5, 60), 2), None) for i in range(12_000)]
+    for part in range(6):
+        spark.createDataFrame(rows[part * 2000:(part + 1) * 2000], SCHEMAS["events"]).coalesce(1).write.parquet(f"{tmp_path}/events.parquet/at={part}")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*/*.parquet', hive_partitioning = false) order by event_id")
+    wanted = sorted(con.execute(registry.sql_texts()["top_map_entries"]).fetchall())
+    assert sorted(tuple(r) for r in registry.runners()["top_map_entries"](spark, str(tmp_path)).collect()) == wanted and len(wanted) == 500
+
+
 def test_copies_of_a_vector_are_one_node(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [0.6, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
