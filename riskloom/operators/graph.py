@@ -14,8 +14,8 @@ from riskloom.operators import similarity, vector_index
 from riskloom.session import bucketed, written
 
 HUB_EDGES = 1_000_000
-#: Rows and columns of cells that the arcs of a ranking lie in.
-GRID_SIDE = 4
+#: Cells that the grid of a ranking's arcs may have on few cores, and rows it may have at most.
+LEAST_CELLS, MOST_ROWS = 16, 32
 #: Edges a node that components are looked for in first.
 SAMPLED_EDGES = 3.0
 #: Gain of modularity below which a round of moves counts as no gain.
@@ -70,34 +70,37 @@ class Adjacency:
 
 
 def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub_edges: int = HUB_EDGES,
-              every: int = 5, side: int = GRID_SIDE) -> DataFrame:
+              every: int = 5, side: int | None = None) -> DataFrame:
     """(id, score) summing to 1. `edges` holds directed arcs (src, dst, weight); rank of nodes
     without outgoing arcs is spread over all nodes.
 
-    Arcs lie in a grid of `side` times `side` cells, by source and by target, one bucket a cell. A rank goes to `side` cells and
-    `side` sums come back to a node, however many neighbours it has. A hub's arcs are dealt over the rows of the grid.
+    Arcs lie in a grid of cells, rows by source and columns by target, one bucket a cell: `side` times `side`, or as many as keep
+    all cores at work. A rank goes to a row's cells and a column's sums come back to a node, however many neighbours it has. A
+    hub's arcs are dealt over the rows of the grid.
     """
     spark = edges.sparkSession
+    height, width = (side, side) if side else grid_for(spark.sparkContext.defaultParallelism)
+    n_cells = height * width
     edges = written(edges, "edges")
     stats = edges.groupBy("src").agg(F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("degree")).select(
-        F.col("src").alias("id"), "out_weight", F.least(F.ceil(F.col("degree") / hub_edges), F.lit(side)).cast("int").alias("parts"))
+        F.col("src").alias("id"), "out_weight", F.least(F.ceil(F.col("degree") / hub_edges), F.lit(height)).cast("int").alias("parts"))
     ids = bucketed(stats.unionByName(edges.select(F.col("dst").alias("id"), F.lit(None).cast("double").alias("out_weight"), F.lit(0).alias("parts"))).groupBy(
-        "id").agg(F.max("out_weight").alias("out_weight"), F.max("parts").alias("parts")), "ids", "id", partitions=side * side)
-    cells = _bucket_labels(spark, side * side)
+        "id").agg(F.max("out_weight").alias("out_weight"), F.max("parts").alias("parts")), "ids", "id", partitions=n_cells)
+    cells = _bucket_labels(spark, n_cells)
 
     def cell(part: Column, column: Column) -> Column:
-        return F.get(cells, (F.pmod(F.xxhash64("src") + part, F.lit(side)) * side + column).cast("int")).alias("cell")
+        return F.get(cells, (F.pmod(F.xxhash64("src") + part, F.lit(height)) * width + column).cast("int")).alias("cell")
 
     nodes = ids.select(F.col("id").alias("src"), "out_weight", "parts")
     arcs = bucketed(edges.join(nodes, "src").select(
-        cell(F.pmod(F.xxhash64("dst", "src"), F.col("parts")), F.pmod(F.xxhash64("dst"), F.lit(side))), "src", "dst",
-        (F.col("weight") / F.col("out_weight")).alias("share")), "arcs", "cell", partitions=side * side)
+        cell(F.pmod(F.xxhash64("dst", "src"), F.col("parts")), F.pmod(F.xxhash64("dst"), F.lit(width))), "src", "dst",
+        (F.col("weight") / F.col("out_weight")).alias("share")), "arcs", "cell", partitions=n_cells)
     facts = ids.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parts") == 0).alias("sinks")).first()
     n = facts["n"]
     ids = ids.select("id", "parts")
     ranks = ids.withColumn("score", F.lit(1.0 / n))
     # Arcs stay in their cells, although they are joined by cell and source: no exchange may have more partitions than these.
-    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.shuffle.partitions": str(side * side)}
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.shuffle.partitions": str(n_cells)}
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -105,7 +108,7 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub
         for step in range(1, iterations + 1):
             sent = ranks.where("parts > 0").select(F.col("id").alias("src"), "parts", "score").select(
                 "src", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
-                "src", "score", "part", F.explode(F.array(*[F.lit(c) for c in range(side)])).alias("column")).select(
+                "src", "score", "part", F.explode(F.array(*[F.lit(c) for c in range(width)])).alias("column")).select(
                 cell(F.col("part"), F.col("column")), "src", "score")
             inflow = arcs.join(sent.hint("shuffle_hash"), ["cell", "src"]).groupBy(F.col("dst").alias("id")).agg(
                 F.sum(F.col("score") * F.col("share")).alias("inflow"))
@@ -124,6 +127,12 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, hub
     return ranks.select("id", "score")
 
 
+def grid_for(cores: int) -> tuple[int, int]:
+    """Rows and columns of the nearly square grid whose cells, a task each, leave the fewest cores idle; of like ones the smallest."""
+    grids = [(r, r + more) for r in range(3, MOST_ROWS + 1) for more in range(3) if r * (r + more) <= max(LEAST_CELLS, 2 * cores)]
+    return min(grids, key=lambda g: (round(-(-g[0] * g[1] // cores) * cores / (g[0] * g[1]), 1), sum(g)))
+
+
 def _bucket_labels(spark: SparkSession, n: int) -> Column:
     """An array of n labels that a table of n buckets keeps in one bucket each."""
     found = spark.range(100 * n).select(F.col("id").cast("int").alias("label")).groupBy(

@@ -332,6 +332,18 @@ def test_mentions_of_all_kinds_come_from_one_pass(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_cells_of_a_ranking_keep_all_cores_at_work(spark, monkeypatch):
+    assert [graph.grid_for(n) for n in (6, 8, 12, 16, 97)] == [(3, 4), (4, 4), (3, 4), (4, 4), (9, 10)]
+    edges = spark.createDataFrame([(i % 17, (i * i + 1) % 23, 1.0 + i % 3) for i in range(400)] + [(99, 5, 1.0)], "src long, dst long, weight double")
+    cells, make = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda *a, partitions=None, **k: cells.append(partitions) or make(*a, partitions=partitions, **k))
+    wide = {r.id: r.score for r in graph.page_rank(edges, iterations=4, hub_edges=10).collect()}
+    assert cells == [12, 12]  # four cores: three full waves
+    square = {r.id: r.score for r in graph.page_rank(edges, iterations=4, hub_edges=10, side=4).collect()}
+    assert wide.keys() == square.keys() and all(abs(wide[k] - square[k]) < 1e-12 for k in wide)
+    assert abs(sum(wide.values()) - 1) < 1e-9
+
+
 def test_mentions_are_counted_by_key_without_being_shuffled(spark):
     from riskloom.operators import rates
     from riskloom.plans import registry
